@@ -5,9 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.plans import customers, loading, revenue, sales, shapes
+from millrace.operators import graph
+from millrace.operators.staging import new_path, stage
+from millrace.plans import (
+    catalog, customers, dbt, impact, lineage, loading, models, patterns, revenue, sales, shapes, statement_graph, trace,
+)
 from millrace.plans.warehouse import raw_accounts, raw_orders
+from millrace.sources import corpus
+from millrace.sources.tables import write_graph_json
+from millrace.streaming.incremental import stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,5 +66,229 @@ def _business() -> dict[str, Query]:
     }
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """Lists as comma-joined text and small integers as long ones, for comparison with other engines."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind == "array":
+            out.append(F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name))
+        elif kind == "integer":
+            out.append(F.col(f.name).cast("bigint").alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+def _statements(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.statements(corpus.scripts(spark, folder))
+
+
+def _slim(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue without texts, written once for the graph jobs that read it several times."""
+    return stage(
+        _statements(spark, folder).select("script_id", "stmt_no", "label", "target_table", "source_tables"), "statements"
+    )
+
+
+def _full(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(_statements(spark, folder), "catalog")
+
+
+def _parsed(statements: DataFrame) -> DataFrame:
+    return models.models(models.by_script(statements))
+
+
+def _models(spark: SparkSession, folder: str) -> DataFrame:
+    scripts = models.by_script(corpus.scripts(spark, folder))
+    return models.models(catalog.statements(scripts))
+
+
+def _registered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Registered models and the catalogue, both written once."""
+    statements = _full(spark, folder)
+    return stage(impact.registered(_parsed(statements), statements), "models"), statements
+
+
+def _graph_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Column index, model edges and tasks."""
+    registered, statements = _registered(spark, folder)
+    return (
+        stage(impact.column_index(registered), "columns"),
+        stage(impact.model_edges(registered), "edges"),
+        impact.tasks(statements),
+    )
+
+
+def _questions(columns: DataFrame) -> DataFrame:
+    """Every projected column of each script, and one that no script has."""
+    asked = columns.select("script_id", "column").where("column <> '*'").distinct()
+    return asked.unionByName(asked.select("script_id", F.lit("no_such_column").alias("column")).distinct())
+
+
+def _statement_queries() -> dict[str, Query]:
+    def stmt_catalog(s, d):
+        return _statements(s, d).drop("veiled")
+
+    def stmt_aggregations(s, d):
+        used = _statements(s, d).select("script_id", "stmt_no", F.explode("aggregations").alias("aggregation"))
+        return used.groupBy("aggregation").agg(
+            F.count(F.lit(1)).alias("statements"), F.count_distinct("script_id").alias("scripts")
+        )
+
+    def levels(s, d):
+        statements = _slim(s, d)
+        return statement_graph.levels(statements, statement_graph.edges(statements))
+
+    def dependency_labels(s, d):
+        statements = _slim(s, d)
+        edges = stage(statement_graph.edges(statements), "edges")
+        return statement_graph.dependency_labels(statements, edges, statement_graph.levels(statements, edges))
+
+    return {
+        "script_clean": lambda s, d: catalog.normalised(corpus.scripts(s, d)),
+        "rejected_scripts": lambda s, d: catalog.rejected(corpus.scripts(s, d)),
+        "unsafe_labels": lambda s, d: catalog.rejected_labels(_statements(s, d)),
+        "stmt_catalog": stmt_catalog,
+        "stmt_aggregations": stmt_aggregations,
+        "stmt_edges": lambda s, d: statement_graph.edges(_slim(s, d)),
+        "stmt_edges_nearest_prior": lambda s, d: statement_graph.edges(_slim(s, d), "nearest_prior"),
+        "stmt_predecessors": lambda s, d: statement_graph.predecessors(statement_graph.edges(_slim(s, d))),
+        "stmt_levels": levels,
+        "cycles": lambda s, d: statement_graph.cycles(levels(s, d)),
+        "dependency_labels": dependency_labels,
+        "tables_touched": lambda s, d: catalog.tables_touched(_statements(s, d)),
+        "corpus_rollup": lambda s, d: catalog.type_rollup(_statements(s, d)),
+        "most_read_tables": lambda s, d: catalog.most_read(_statements(s, d)),
+        "script_changes": lambda s, d: catalog.snapshot_changes(
+            corpus.script_versions(s, d).select("script_id", F.col("v1").alias("sql_text")),
+            corpus.script_versions(s, d).select("script_id", F.col("v2").alias("sql_text")),
+        ),
+        "pattern_hits": lambda s, d: patterns.pattern_hits(corpus.scripts(s, d)).drop("line"),
+        "nesting_depth": lambda s, d: patterns.nesting_depth(corpus.scripts(s, d)),
+        "pattern_warnings": lambda s, d: patterns.warnings(corpus.scripts(s, d)),
+        "script_complexity": lambda s, d: patterns.complexity(corpus.scripts(s, d)),
+        "cte_order": lambda s, d: patterns.cte_order(corpus.scripts(s, d)),
+    }
+
+
+def _model_queries() -> dict[str, Query]:
+    def cte_bodies(s, d):
+        from millrace.functions.sqltext import unveil
+
+        return _models(s, d).select("script_id", "stmt_no", "ord", "is_final", "name", unveil(F.col("body")).alias("body"))
+
+    def dbt_levels(s, d):
+        parsed = stage(dbt.parse(corpus.dbt_models(s, d)), "dbt")
+        nodes = parsed.select("project", F.col("name").alias("node"))
+        return graph.levels(nodes, dbt.edges(parsed), ["project"]).withColumnRenamed("node", "name")
+
+    def dbt_models(s, d):
+        pair = lambda p: F.concat(p["schema"], F.lit("."), p["table"])
+        return dbt.parse(corpus.dbt_models(s, d)).withColumn("sources", F.transform("sources", pair))
+
+    return {
+        "cte_bodies": cte_bodies,
+        "model_columns": lambda s, d: models.model_columns(_models(s, d)).drop("item"),
+        "column_counts": lambda s, d: models.column_counts(_models(s, d)),
+        "model_catalog": lambda s, d: models.model_catalog(_models(s, d)),
+        "model_refs": lambda s, d: models.model_refs(stage(_models(s, d), "models")),
+        "source_catalog": lambda s, d: models.source_catalog(stage(_models(s, d), "models")),
+        "dbt_models": dbt_models,
+        "dbt_rejected": lambda s, d: dbt.rejected(corpus.dbt_models(s, d)),
+        "dbt_edges": lambda s, d: dbt.edges(stage(dbt.parse(corpus.dbt_models(s, d)), "dbt")),
+        "dbt_levels": dbt_levels,
+    }
+
+
+def _impact_queries() -> dict[str, Query]:
+    def impact_all_columns(s, d):
+        return impact.impact(*_graph_inputs(s, d))
+
+    def model_closure(s, d):
+        registered, _ = _registered(s, d)
+        return graph.closure(stage(impact.model_edges(registered), "edges"), ["script_id"])
+
+    def dependency_tree(s, d):
+        index, edges, _ = _graph_inputs(s, d)
+        return impact.dependency_tree(index, edges)
+
+    def critical_path(s, d):
+        registered, _ = _registered(s, d)
+        index = stage(impact.column_index(registered), "columns")
+        edges = stage(impact.model_edges(registered), "edges")
+        first = registered.groupBy("script_id", F.col("name").alias("model")).agg(
+            F.min(F.struct("stmt_no", "ord")).alias("place")
+        )
+        return impact.critical_path(index, edges, first)
+
+    def rename_impact(s, d):
+        registered, _ = _registered(s, d)
+        renames = impact.column_index(registered).select(
+            "script_id", F.col("column").alias("old_value"), F.concat("column", F.lit("_v2")).alias("new_value")
+        ).distinct()
+        return impact.rename_impact(registered, renames)
+
+    def traced(s, d):
+        statements = _full(s, d)
+        parsed = stage(_parsed(statements), "models")
+        questions = _questions(models.model_columns(parsed))
+        return trace.trace_steps(parsed, questions), statements, questions
+
+    def column_trace(s, d):
+        return traced(s, d)[0].drop("is_final")
+
+    return {
+        "model_edges": lambda s, d: impact.model_edges(_registered(s, d)[0]),
+        "column_index": lambda s, d: impact.column_index(_registered(s, d)[0]),
+        "model_closure": model_closure,
+        "impact_all_columns": impact_all_columns,
+        "dependency_tree": dependency_tree,
+        "critical_path": critical_path,
+        "rename_impact": rename_impact,
+        "breaking_changes": lambda s, d: impact.breaking_changes(corpus.script_versions(s, d)),
+        "column_trace": column_trace,
+        "trace_rollup": lambda s, d: trace.trace_rollup(*traced(s, d)),
+    }
+
+
+def _lineage_queries() -> dict[str, Query]:
+    def inputs(s, d):
+        registered, statements = _registered(s, d)
+        return registered, impact.tasks(statements)
+
+    def neighbours(s, d):
+        registered, tasks = inputs(s, d)
+        return lineage.neighbours(lineage.nodes(registered, tasks), lineage.edges(registered, tasks))
+
+    def export(s, d):
+        registered, tasks = inputs(s, d)
+        node, edge = lineage.export(lineage.nodes(registered, tasks), lineage.edges(registered, tasks))
+        path = new_path(s, "lineage-json")
+        write_graph_json(node, edge, path)
+        nodes = s.read.schema(node.schema).json(f"{path}/nodes").select(
+            F.lit("node").alias("kind"), "script_id", F.col("id").alias("a"), F.col("label").alias("b")
+        )
+        edges = s.read.schema(edge.schema).json(f"{path}/edges").select(
+            F.lit("edge").alias("kind"), "script_id", F.col("source").alias("a"), F.col("target").alias("b")
+        )
+        return nodes.unionByName(edges)
+
+    return {
+        "lineage_nodes": lambda s, d: lineage.nodes(*inputs(s, d)),
+        "lineage_edges": lambda s, d: lineage.edges(*inputs(s, d)),
+        "lineage_neighbours": neighbours,
+        "lineage_export": export,
+    }
+
+
+def _flattened(entries: dict[str, Query]) -> dict[str, Query]:
+    return {name: (lambda s, d, q=query: flat(q(s, d))) for name, query in entries.items()}
+
+
 def queries() -> dict[str, Query]:
-    return _business()
+    return {
+        **_business(),
+        "incremental_events_stream": stream_events,
+        **_flattened({**_statement_queries(), **_model_queries(), **_impact_queries(), **_lineage_queries()}),
+    }
