@@ -145,7 +145,7 @@ def select_body(sql: Column, kind: Column) -> Column:
     """The query of a statement: what follows its CREATE or INSERT head."""
     return (
         F.when(kind == "CTAS", F.regexp_extract(sql, CTAS_BODY, 2))
-        .when(kind.isin("INSERT_SELECT", "INSERT_VALUES"), F.regexp_extract(sql, INSERT_BODY, 2))
+        .when(kind == "INSERT_SELECT", F.regexp_extract(sql, INSERT_BODY, 2))
         .otherwise(sql)
     )
 
@@ -233,3 +233,13 @@ def words(expr: Column) -> Column:
     """Distinct lower-case bare words of a veiled expression."""
     found = F.regexp_extract_all(expr, F.lit(r"\w+"), F.lit(0))
     return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
+
+
+_CUT = " [...]"
+
+
+def shorten(text: Column, width: int = 300) -> Column:
+    """Blanks collapsed; longer text ends at a word boundary with a cut sign, within ``width``."""
+    flat = strip(F.regexp_replace(text, r"\s+", " "))
+    kept = F.regexp_extract(flat, rf"^(.{{0,{width - len(_CUT)}}})\s", 1)
+    return F.when(F.length(flat) <= width, flat).otherwise(F.concat(kept, F.lit(_CUT)))

@@ -16,12 +16,12 @@ SHARED_DIR_CONF = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one is set only where none is named."""
-    folder = spark.conf.get(SHARED_DIR_CONF, None)
+    folder = spark.conf.get(SHARED_DIR_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SHARED_DIR_CONF} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set(SHARED_DIR_CONF, folder)
+        spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 

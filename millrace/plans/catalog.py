@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,13 @@ def accepted(scripts: DataFrame, max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataF
     return scripts.where(F.octet_length("sql_text") <= max_bytes)
 
 
+def by_script(df: DataFrame) -> DataFrame:
+    """Spread a corpus over the cluster by script; a fixed count keeps AQE from merging the partitions
+    by their size, which is far smaller than the work they expand to."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "script_id")
+
+
 def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataFrame:
     """One row per non-empty statement with its nine catalogue fields, and the veiled text for later stages.
 
@@ -110,7 +115,3 @@ def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
         F.col("o.checksum").alias("old_checksum"), F.col("n.checksum").alias("new_checksum"),
     )
     return joined.where(F.col("change").isNotNull())
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -12,48 +12,45 @@ from millrace.plans import catalog, models as model_plans
 KEY = ["script_id"]
 
 
-def registered(models: DataFrame, statements: DataFrame) -> DataFrame:
-    """Named models, targets of plain value inserts included; these have no columns."""
-    values = statements.where("statement_type = 'INSERT_VALUES'").select(
-        "script_id", "stmt_no", F.lit(0).cast("bigint").alias("ord"), F.lit(True).alias("is_final"),
-        F.col("target_table").alias("name"), "target_table", F.col("veiled").alias("body"),
-        F.lit(None).cast("array<string>").alias("items"),
+def digest(models: DataFrame) -> DataFrame:
+    """What the graphs need of each named model, without its text: references, columns, a short snippet."""
+    names = F.transform("items", lambda i: sql.column_name(i))
+    return models.where("name IS NOT NULL").select(
+        "script_id", "stmt_no", "ord", "is_final", "name",
+        sql.table_refs(F.col("body")).alias("refs"),
+        F.array_distinct(F.filter(names, lambda n: n.isNotNull())).alias("columns"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("column_count"),
+        sql.shorten(sql.unveil(F.col("body"))).alias("snippet"),
     )
-    return models.where("name IS NOT NULL").unionByName(values)
 
 
-def latest(registered: DataFrame) -> DataFrame:
-    """The definition of each model that counts: the last one."""
-    place = F.struct("stmt_no", "ord")
-    best = registered.groupBy("script_id", "name").agg(
-        F.max_by(F.struct("stmt_no", "ord", "is_final", "body", "items"), place).alias("d")
+def latest(models: DataFrame, *columns: str) -> DataFrame:
+    """The definition of each named model that counts, which is the last one."""
+    best = models.where("name IS NOT NULL").groupBy("script_id", "name").agg(
+        F.max_by(F.struct(*columns), F.struct("stmt_no", "ord")).alias("d")
     )
     return best.select("script_id", "name", "d.*")
 
 
-def model_edges(registered: DataFrame) -> DataFrame:
+def model_edges(digest: DataFrame) -> DataFrame:
     """``(script_id, src, dst)``: a model reads one that its script defines in the same or an earlier statement."""
-    first = registered.groupBy("script_id", F.col("name").alias("src")).agg(F.min("stmt_no").alias("since"))
-    reads = registered.select(
-        "script_id", "stmt_no", F.col("name").alias("dst"), F.explode(sql.table_refs(F.col("body"))).alias("src")
-    )
+    first = digest.groupBy("script_id", F.col("name").alias("src")).agg(F.min("stmt_no").alias("since"))
+    reads = digest.select("script_id", "stmt_no", F.col("name").alias("dst"), F.explode("refs").alias("src"))
     return (
         reads.join(first, ["script_id", "src"]).where("since <= stmt_no AND src <> dst")
         .select("script_id", "src", "dst").distinct()
     )
 
 
-def column_index(registered: DataFrame) -> DataFrame:
+def column_index(digest: DataFrame) -> DataFrame:
     """``(script_id, column, model)``: which models project a column."""
-    item = latest(registered).select("script_id", F.col("name").alias("model"), F.explode("items").alias("expr"))
-    return (
-        item.select("script_id", sql.column_name(F.col("expr")).alias("column"), "model")
-        .where("column IS NOT NULL").distinct()
+    return latest(digest, "columns").select(
+        "script_id", F.explode("columns").alias("column"), F.col("name").alias("model")
     )
 
 
 def tasks(statements: DataFrame) -> DataFrame:
-    """One task per statement with a target: ``(script_id, task_id, source_tables, raw_sql)``."""
+    """One task per statement with a target: ``(script_id, task_id, source_tables, target_table, raw_sql)``."""
     return statements.where("target_table IS NOT NULL").select(
         "script_id", sql.safe_label(F.col("label")).alias("task_id"), "source_tables", "target_table", "raw_sql"
     )
@@ -120,17 +117,17 @@ def critical_path(index: DataFrame, edges: DataFrame, first_models: DataFrame) -
     return straight.unionByName(first)
 
 
-def rename_impact(registered: DataFrame, renames: DataFrame) -> DataFrame:
+def rename_impact(models: DataFrame, index: DataFrame, renames: DataFrame) -> DataFrame:
     """The first line of each projecting model that holds the old name as a word.
 
     ``renames`` is ``(script_id, old_value, new_value)``. Lines are indexed by their words, so the lookup
     is an equality join; the text of a line is fetched only for the hits.
     """
-    current = latest(registered).select("script_id", F.col("name").alias("model"), "body")
+    current = latest(models, "body").withColumnRenamed("name", "model")
     lines = current.select("script_id", "model", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     words = lines.select("script_id", "model", "line_no", F.explode(sql.words(F.col("line"))).alias("column"))
     wanted = renames.withColumn("column", F.lower("old_value"))
-    projecting = column_index(registered).join(wanted, ["script_id", "column"])
+    projecting = index.join(wanted, ["script_id", "column"])
     named = projecting.join(words, ["script_id", "model", "column"])
     first = named.groupBy("script_id", "model", "old_value", "new_value").agg(F.min("line_no").alias("line_no"))
     return first.join(lines, ["script_id", "model", "line_no"]).select(
@@ -151,7 +148,7 @@ def version_columns(versions: DataFrame) -> DataFrame:
             F.struct(F.lit(n).alias("version"), F.col(f"v{n}").alias("sql_text")) for n in (1, 2)
         ])).alias("v"),
     ).select(F.struct("script_id", "v.version").alias("script_id"), "v.sql_text")
-    parsed = model_plans.models(catalog.statements(model_plans.by_script(each)))
+    parsed = model_plans.models(catalog.statements(catalog.by_script(each)))
     items = parsed.where("is_final").select(
         F.col("script_id.script_id").alias("id"), F.col("script_id.version").alias("version"), "stmt_no",
         F.posexplode("items").alias("item", "expr"),

@@ -2,51 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
 from millrace.plans.impact import latest
 from millrace.plans.models import MART_SCHEMAS
 
-SNIPPET = 300
 TASK_SNIPPET = 200
-_CUT = " [...]"
 
 
-def shorten(text: Column, width: int = SNIPPET) -> Column:
-    """Blanks collapsed; longer text ends at a word boundary with a cut sign, within ``width``."""
-    flat = sql.strip(F.regexp_replace(text, r"\s+", " "))
-    kept = F.regexp_extract(flat, rf"^(.{{0,{width - len(_CUT)}}})\s", 1)
-    return F.when(F.length(flat) <= width, flat).otherwise(F.concat(kept, F.lit(_CUT)))
-
-
-def edges(registered: DataFrame, tasks: DataFrame) -> DataFrame:
+def edges(digest: DataFrame, tasks: DataFrame) -> DataFrame:
     """Distinct ``(script_id, source, target)``: read table → reader, and node → task that reads it."""
-    reads = registered.select(
-        "script_id", F.explode(sql.table_refs(F.col("body"))).alias("source"), F.col("name").alias("target")
-    ).distinct()
+    reads = digest.select("script_id", F.explode("refs").alias("source"), F.col("name").alias("target")).distinct()
     known = (
-        registered.select("script_id", F.col("name").alias("source"))
+        digest.select("script_id", F.col("name").alias("source"))
         .unionByName(reads.select("script_id", "source")).distinct()
     )
     to_task = tasks.select("script_id", F.explode("source_tables").alias("source"), F.col("task_id").alias("target"))
     return reads.unionByName(to_task.join(known, ["script_id", "source"], "left_semi")).distinct()
 
 
-def nodes(registered: DataFrame, tasks: DataFrame) -> DataFrame:
+def nodes(digest: DataFrame, tasks: DataFrame) -> DataFrame:
     """``(script_id, id, label, node_type, snippet, column_count)``; a definition beats a reference."""
     schema = F.substring_index("name", ".", 1)
     is_mart = F.col("is_final") & F.col("name").contains(".") & schema.isin(*MART_SCHEMAS)
-    defined = latest(registered).select(
+    defined = latest(digest, "is_final", "snippet", "column_count").select(
         "script_id", F.col("name").alias("id"),
-        F.when(is_mart, "dbt_model").otherwise("cte").alias("node_type"),
-        shorten(sql.unveil(F.col("body"))).alias("snippet"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("column_count"),
+        F.when(is_mart, "dbt_model").otherwise("cte").alias("node_type"), "snippet", "column_count",
     )
-    named = registered.select(
-        "script_id", F.explode(sql.table_refs(F.col("body"))).alias("id")
-    ).distinct()
+    named = digest.select("script_id", F.explode("refs").alias("id")).distinct()
     referenced = named.join(defined, ["script_id", "id"], "left_anti").select(
         "script_id", "id", F.when(F.col("id").contains("."), "table").otherwise("cte").alias("node_type"),
         F.concat(F.lit("Referenced as: "), "id").alias("snippet"), F.lit(0).cast("bigint").alias("column_count"),

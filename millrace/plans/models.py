@@ -22,21 +22,15 @@ _SELECT, _FROM = f"{_MARK}SELECT{_MARK}", f"{_MARK}FROM{_MARK}"
 _OPENS_CTE = r"(?i)\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?$"
 
 
-def by_script(df: DataFrame) -> DataFrame:
-    """Spread a corpus over the cluster by script; a fixed count keeps AQE from merging the partitions
-    by their text size, which is far smaller than the tokens they expand to."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "script_id")
-
-
 def _tokens(statements: DataFrame) -> DataFrame:
     body = sql.select_body(F.col("veiled"), F.col("statement_type"))
     has_with = body.rlike(r"(?i)^\s*WITH\b")
     inner = F.regexp_replace(body, r"(?i)^\s*WITH\s+(?:RECURSIVE\s+)?", "")
     marked = F.regexp_replace(inner, r"(?i)\b(SELECT|FROM)\b", f"{_MARK}$1{_MARK}")
-    return statements.where("statement_type <> 'INSERT_VALUES'").select(
+    return statements.select(
         "script_id",
         "stmt_no",
+        "statement_type",
         "target_table",
         has_with.alias("has_with"),
         F.posexplode(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))).alias("pos", "tok"),
@@ -74,7 +68,7 @@ def _placed(tokens: DataFrame) -> DataFrame:
     )
     ord_ = F.when(~F.col("main") & (level >= 1), F.col("opened") - 1).otherwise(F.col("opened"))
     return scoped.select(
-        "script_id", "stmt_no", "pos", "tok", "level", role.alias("role"), ord_.alias("ord"),
+        "script_id", "stmt_no", "statement_type", "pos", "tok", "level", role.alias("role"), ord_.alias("ord"),
         F.when(F.col("main"), F.col("target_table")).alias("target_table"), F.col("main").alias("is_final"),
     ).where("role IS NOT NULL")
 
@@ -110,7 +104,7 @@ def _sectioned(placed: DataFrame) -> DataFrame:
 
 
 def models(statements: DataFrame) -> DataFrame:
-    """One row per select: ``(script_id, stmt_no, ord, is_final, name, target_table, body, items)``.
+    """One row per select: ``(script_id, stmt_no, ord, statement_type, is_final, name, body, items)``.
 
     CTEs come first in definition order; the final select has the greatest ``ord``, and its name is the
     full target table or NULL. ``body`` and ``items`` are veiled text. ``items`` is NULL without a
@@ -121,6 +115,7 @@ def models(statements: DataFrame) -> DataFrame:
     joined = sections.groupBy("script_id", "stmt_no", "ord", "role", "section", "item").agg(
         F.translate(text, _MARK, "").alias("text"),
         F.min("pos").alias("pos"),
+        F.any_value("statement_type").alias("statement_type"),
         F.any_value("target_table").alias("target_table"),
         F.any_value("is_final").alias("is_final"),
     )
@@ -135,6 +130,7 @@ def models(statements: DataFrame) -> DataFrame:
         F.array_join(gathered(body), "").alias("body"),
         gathered(body & (F.col("section") == 1)).alias("parts"),
         F.max(body & (F.col("section") == 2)).alias("has_from"),
+        F.any_value("statement_type").alias("statement_type"),
         F.max(F.when(body, F.col("target_table"))).alias("target_table"),
         F.coalesce(F.max(F.when(body, F.col("is_final"))), F.lit(False)).alias("is_final"),
         F.max(body).alias("has_body"),
@@ -145,17 +141,22 @@ def models(statements: DataFrame) -> DataFrame:
         "script_id",
         "stmt_no",
         "ord",
+        "statement_type",
         "is_final",
         F.when(F.col("is_final"), F.col("target_table")).otherwise(cte_name).alias("name"),
-        "target_table",
         sql.strip(F.col("body")).alias("body"),
         F.when(F.col("has_from"), F.filter(items, lambda i: i != "")).alias("items"),
     )
 
 
+def compiled(models: DataFrame) -> DataFrame:
+    """The named models that come from a query; plain value inserts define none."""
+    return models.where("name IS NOT NULL AND statement_type <> 'INSERT_VALUES'")
+
+
 def model_columns(models: DataFrame) -> DataFrame:
     """One row per named select item with its type, description and transformation class."""
-    item = models.where("name IS NOT NULL").select(
+    item = compiled(models).select(
         "script_id", "stmt_no", "ord", "is_final", F.col("name").alias("model"), F.posexplode("items").alias("item", "expr")
     )
     named = item.withColumn("column", sql.column_name(F.col("expr"))).where("column IS NOT NULL")
@@ -170,7 +171,7 @@ def model_columns(models: DataFrame) -> DataFrame:
 
 def column_counts(models: DataFrame) -> DataFrame:
     """Select items per model; ``*`` is one, no select list is none."""
-    return models.where("name IS NOT NULL").select(
+    return compiled(models).select(
         "script_id", "stmt_no", F.col("name").alias("model"), F.coalesce(F.size("items"), F.lit(0)).alias("column_count")
     )
 
@@ -182,7 +183,7 @@ def model_catalog(models: DataFrame) -> DataFrame:
     windowed = body.rlike(sql.WINDOW)
     schema = F.when(F.col("name").contains("."), F.substring_index("name", ".", 1)).otherwise("staging")
     short = sql.last_part(F.col("name"))
-    return models.where("name IS NOT NULL").select(
+    return compiled(models).select(
         "script_id",
         "stmt_no",
         "ord",
@@ -204,11 +205,10 @@ def model_catalog(models: DataFrame) -> DataFrame:
 def reference_kinds(models: DataFrame) -> DataFrame:
     """Each table a model reads, with whether an earlier model of its script bears that short name.
 
-    The readers and the defining models of one ``(script, name)`` are put in one order, and the
-    first definition before a reader is looked up by a running minimum, not by pairing them.
+    Only the first definition of a name is compared with its readers, not every definition.
     """
     place = F.struct("stmt_no", "ord")
-    named = models.where("name IS NOT NULL")
+    named = compiled(models)
     short = sql.last_part(F.col("name"))
     defined = named.groupBy("script_id", short.alias("short")).agg(F.min(place).alias("first_place"))
     reads = named.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
-from millrace.plans.catalog import accepted
+from millrace.plans.catalog import accepted, by_script
 
 # Pattern type, score, pattern.
 RULES = (
@@ -51,6 +51,9 @@ WARNINGS = (
 )
 
 _MARK = "\u0001"
+_PAREN = -1
+_CTE = [rule[0] for rule in RULES].index("CTE")
+_RECURSIVE = [number for number, rule in enumerate(RULES) if rule[0] == "RECURSIVE_CTE"]
 _PARENS = r"(?i)\(\s{0,53}SELECT\b|[()]"
 
 
@@ -60,80 +63,90 @@ def _searchable(scripts: DataFrame) -> DataFrame:
     return accepted(scripts).select("script_id", text.alias("text"))
 
 
-def _pieces_before_hits(number: int, kind: str, score: int, pattern: str) -> Column:
+def _piece(number: int, n: Column, chars, lines, step) -> Column:
+    return F.struct(
+        F.lit(number).alias("rule"), n.alias("n"), chars.cast("int").alias("chars"), lines.cast("int").alias("lines"),
+        step.cast("int").alias("step"),
+    )
+
+
+def _pieces_before_hits(number: int, pattern: str) -> Column:
+    """One entry per match: the length and the line breaks of the text between it and the match before."""
     parts = F.split(F.regexp_replace("text", pattern, f"{_MARK}$0"), _MARK)
     return F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
-        lambda p, i: F.struct(
-            F.lit(number).alias("rule"),
-            F.lit(kind).alias("pattern_type"),
-            F.lit(score).alias("score"),
-            i.alias("n"),
-            F.length(p).alias("chars"),
-            (F.length(p) - F.length(F.translate(p, "\n", ""))).alias("lines"),
-        ),
+        lambda p, i: _piece(number, i, F.length(p), F.length(p) - F.length(F.translate(p, "\n", "")), F.lit(0)),
     )
 
 
-def _rule_hits(scripts: DataFrame) -> DataFrame:
-    pieces = F.concat(*[_pieces_before_hits(i, *rule) for i, rule in enumerate(RULES)])
-    exploded = _searchable(scripts).select("script_id", F.inline(pieces))
+def _parentheses() -> Column:
+    """One entry per parenthesis outside literals: −1 closes, 1 opens, 2 opens a subquery."""
+    bare = F.regexp_replace("text", "'[^']*'", "''")
+    found = F.regexp_extract_all(bare, F.lit(_PARENS), F.lit(0))
+    step = lambda t: F.when(t == ")", -1).when(t == "(", 1).otherwise(2)
+    return F.transform(found, lambda t, i: _piece(_PAREN, i, F.lit(0), F.lit(0), step(t)))
+
+
+def _depths(parens: DataFrame) -> DataFrame:
+    """Add the depth of each subquery parenthesis; a stray closing one counts for nothing.
+
+    The depth that never falls below zero is the running sum less its running minimum, where that is negative.
+    """
     upto = (
         Window.partitionBy("script_id", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return exploded.select(
-        "script_id", "pattern_type", "score",
-        F.sum("chars").over(upto).alias("location"),
-        (F.sum("lines").over(upto) + 1).alias("line"),
+    depth = F.col("total") - F.least(F.min("total").over(upto), F.lit(0))
+    return parens.withColumn("total", F.sum(F.least("step", F.lit(1))).over(upto)).withColumn(
+        "depth", F.when(F.col("step") == 2, depth)
     )
 
 
 def nesting_depth(scripts: DataFrame) -> DataFrame:
-    """Deepest parenthesis of each script that is followed by SELECT; a stray closing one counts for nothing.
-
-    The depth that never falls below zero is the running sum less its running minimum, where that is negative.
-    """
-    bare = F.regexp_replace("text", "'[^']*'", "''")
-    found = F.regexp_extract_all(bare, F.lit(_PARENS), F.lit(0))
-    step = F.transform(found, lambda t: F.when(t == ")", -1).when(t == "(", 1).otherwise(2))
-    exploded = _searchable(scripts).select("script_id", F.posexplode_outer(step).alias("n", "step"))
-    upto = Window.partitionBy("script_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = exploded.withColumn("total", F.sum(F.least("step", F.lit(1))).over(upto))
-    depth = F.col("total") - F.least(F.min("total").over(upto), F.lit(0))
-    return (
-        summed.withColumn("depth", F.when(F.col("step") == 2, depth))
-        .groupBy("script_id")
-        .agg(F.coalesce(F.max("depth"), F.lit(0)).cast("bigint").alias("max_depth"))
+    """Deepest parenthesis of each script that is followed by SELECT."""
+    parens = _searchable(scripts).select("script_id", F.inline_outer(_parentheses()))
+    return _depths(parens).groupBy("script_id").agg(
+        F.coalesce(F.max("depth"), F.lit(0)).cast("bigint").alias("max_depth")
     )
 
 
+def _of_rule(position: int) -> Column:
+    out = F.when(F.col("rule") == _PAREN, (NESTED, NESTED_FROM)[position])
+    for number, rule in enumerate(RULES):
+        out = out.when(F.col("rule") == number, rule[position])
+    return out
+
+
 def pattern_hits(scripts: DataFrame) -> DataFrame:
     """``(script_id, pattern_type, location, complexity_score, line)``.
 
-    A plain CTE close to a recursive hit is dropped; the nearest recursive hits on both sides come from
-    one ordered pass.
+    The text is scanned in one stage and its numbers are shuffled once, by script; every window below
+    works in that layout. A plain CTE close to a recursive hit is dropped: the nearest recursive hits on
+    both sides come from one ordered pass. Deep nesting is one hit at the start of the script.
     """
-    hits = _rule_hits(scripts)
-    recursive = F.when(F.col("pattern_type") == "RECURSIVE_CTE", F.col("location"))
+    pieces = F.concat(*[_pieces_before_hits(i, rule[2]) for i, rule in enumerate(RULES)], _parentheses())
+    spread = by_script(_searchable(scripts).select("script_id", F.inline(pieces)))
+    upto = (
+        Window.partitionBy("script_id", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    placed = _depths(spread).select(
+        "script_id", "rule", "n", "depth",
+        F.sum("chars").over(upto).alias("location"), (F.sum("lines").over(upto) + 1).alias("line"),
+    )
+    recursive = F.when(F.col("rule").isin(*_RECURSIVE), F.col("location"))
     by_place = Window.partitionBy("script_id").orderBy("location")
     before = F.last(recursive, True).over(by_place.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first(recursive, True).over(by_place.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    deepest = F.max("depth").over(Window.partitionBy("script_id"))
     near = ((F.col("location") - F.col("before")) < NEAR) | ((F.col("after") - F.col("location")) < NEAR)
-    kept = hits.withColumns({"before": before, "after": after}).where(
-        (F.col("pattern_type") != "CTE") | ~F.coalesce(near, F.lit(False))
+    is_paren, is_cte = F.col("rule") == _PAREN, F.col("rule") == _CTE
+    kept = placed.withColumns({"before": before, "after": after, "deepest": deepest}).where(
+        F.when(is_paren, (F.col("n") == 0) & (F.col("deepest") >= NESTED_FROM))
+        .when(is_cte, ~F.coalesce(near, F.lit(False)))
+        .otherwise(True)
     )
-    nested = nesting_depth(scripts).where(F.col("max_depth") >= NESTED_FROM)
-    columns = ["script_id", "pattern_type", "location", "complexity_score", "line"]
-    return (
-        kept.withColumn("complexity_score", F.col("score"))
-        .select(*columns)
-        .unionByName(
-            nested.select(
-                "script_id", F.lit(NESTED).alias("pattern_type"), F.lit(0).cast("bigint").alias("location"),
-                F.lit(NESTED_FROM).alias("complexity_score"), F.lit(1).cast("bigint").alias("line"),
-            )
-        )
-        .withColumn("complexity_score", F.col("complexity_score").cast("bigint"))
+    return kept.select(
+        "script_id", _of_rule(0).alias("pattern_type"), "location", _of_rule(1).cast("bigint").alias("complexity_score"),
+        "line",
     )
 
 

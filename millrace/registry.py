@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.sqltext import unveil
 from millrace.operators import graph
 from millrace.operators.staging import new_path, stage
 from millrace.plans import (
@@ -85,39 +86,29 @@ def _statements(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _slim(spark: SparkSession, folder: str) -> DataFrame:
-    """The catalogue without texts, written once for the graph jobs that read it several times."""
+    """The catalogue with the head of each text only, written once for the jobs that read it several times."""
     return stage(
-        _statements(spark, folder).select("script_id", "stmt_no", "label", "target_table", "source_tables"), "statements"
+        _statements(spark, folder).select(
+            "script_id", "stmt_no", "label", "target_table", "source_tables",
+            F.substring("raw_sql", 1, lineage.TASK_SNIPPET).alias("raw_sql"),
+        ),
+        "statements",
     )
 
 
-def _full(spark: SparkSession, folder: str) -> DataFrame:
-    return stage(_statements(spark, folder), "catalog")
-
-
-def _parsed(statements: DataFrame) -> DataFrame:
-    return models.models(models.by_script(statements))
-
-
 def _models(spark: SparkSession, folder: str) -> DataFrame:
-    scripts = models.by_script(corpus.scripts(spark, folder))
+    scripts = catalog.by_script(corpus.scripts(spark, folder))
     return models.models(catalog.statements(scripts))
 
 
-def _registered(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Registered models and the catalogue, both written once."""
-    statements = _full(spark, folder)
-    return stage(impact.registered(_parsed(statements), statements), "models"), statements
+def _digest(spark: SparkSession, folder: str) -> DataFrame:
+    return stage(impact.digest(_models(spark, folder)), "digest")
 
 
-def _graph_inputs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Column index, model edges and tasks."""
-    registered, statements = _registered(spark, folder)
-    return (
-        stage(impact.column_index(registered), "columns"),
-        stage(impact.model_edges(registered), "edges"),
-        impact.tasks(statements),
-    )
+def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Column index and model edges."""
+    digest = _digest(spark, folder)
+    return stage(impact.column_index(digest), "columns"), stage(impact.model_edges(digest), "edges")
 
 
 def _questions(columns: DataFrame) -> DataFrame:
@@ -174,9 +165,8 @@ def _statement_queries() -> dict[str, Query]:
 
 def _model_queries() -> dict[str, Query]:
     def cte_bodies(s, d):
-        from millrace.functions.sqltext import unveil
-
-        return _models(s, d).select("script_id", "stmt_no", "ord", "is_final", "name", unveil(F.col("body")).alias("body"))
+        selects = _models(s, d).where("statement_type <> 'INSERT_VALUES'")
+        return selects.select("script_id", "stmt_no", "ord", "is_final", "name", unveil(F.col("body")).alias("body"))
 
     def dbt_levels(s, d):
         parsed = stage(dbt.parse(corpus.dbt_models(s, d)), "dbt")
@@ -203,67 +193,65 @@ def _model_queries() -> dict[str, Query]:
 
 def _impact_queries() -> dict[str, Query]:
     def impact_all_columns(s, d):
-        return impact.impact(*_graph_inputs(s, d))
+        return impact.impact(*_graph(s, d), impact.tasks(_slim(s, d)))
 
     def model_closure(s, d):
-        registered, _ = _registered(s, d)
-        return graph.closure(stage(impact.model_edges(registered), "edges"), ["script_id"])
-
-    def dependency_tree(s, d):
-        index, edges, _ = _graph_inputs(s, d)
-        return impact.dependency_tree(index, edges)
+        return graph.closure(_graph(s, d)[1], ["script_id"])
 
     def critical_path(s, d):
-        registered, _ = _registered(s, d)
-        index = stage(impact.column_index(registered), "columns")
-        edges = stage(impact.model_edges(registered), "edges")
-        first = registered.groupBy("script_id", F.col("name").alias("model")).agg(
+        digest = _digest(s, d)
+        index = stage(impact.column_index(digest), "columns")
+        edges = stage(impact.model_edges(digest), "edges")
+        first = digest.groupBy("script_id", F.col("name").alias("model")).agg(
             F.min(F.struct("stmt_no", "ord")).alias("place")
         )
         return impact.critical_path(index, edges, first)
 
     def rename_impact(s, d):
-        registered, _ = _registered(s, d)
-        renames = impact.column_index(registered).select(
+        parsed = stage(_models(s, d), "models")
+        index = stage(impact.column_index(impact.digest(parsed)), "columns")
+        renames = index.select(
             "script_id", F.col("column").alias("old_value"), F.concat("column", F.lit("_v2")).alias("new_value")
         ).distinct()
-        return impact.rename_impact(registered, renames)
+        return impact.rename_impact(parsed, index, renames)
 
     def traced(s, d):
-        statements = _full(s, d)
-        parsed = stage(_parsed(statements), "models")
+        parsed = stage(_models(s, d).drop("body"), "models")
         questions = _questions(models.model_columns(parsed))
-        return trace.trace_steps(parsed, questions), statements, questions
+        return trace.trace_steps(parsed, questions), questions
 
     def column_trace(s, d):
         return traced(s, d)[0].drop("is_final")
 
+    def trace_rollup(s, d):
+        steps, questions = traced(s, d)
+        return trace.trace_rollup(steps, _statements(s, d), questions)
+
     return {
-        "model_edges": lambda s, d: impact.model_edges(_registered(s, d)[0]),
-        "column_index": lambda s, d: impact.column_index(_registered(s, d)[0]),
+        "model_edges": lambda s, d: impact.model_edges(_digest(s, d)),
+        "column_index": lambda s, d: impact.column_index(_digest(s, d)),
         "model_closure": model_closure,
         "impact_all_columns": impact_all_columns,
-        "dependency_tree": dependency_tree,
+        "dependency_tree": lambda s, d: impact.dependency_tree(*_graph(s, d)),
         "critical_path": critical_path,
         "rename_impact": rename_impact,
         "breaking_changes": lambda s, d: impact.breaking_changes(corpus.script_versions(s, d)),
         "column_trace": column_trace,
-        "trace_rollup": lambda s, d: trace.trace_rollup(*traced(s, d)),
+        "trace_rollup": trace_rollup,
     }
 
 
 def _lineage_queries() -> dict[str, Query]:
     def inputs(s, d):
-        registered, statements = _registered(s, d)
-        return registered, impact.tasks(statements)
+        return _digest(s, d), impact.tasks(_slim(s, d))
 
     def neighbours(s, d):
-        registered, tasks = inputs(s, d)
-        return lineage.neighbours(lineage.nodes(registered, tasks), lineage.edges(registered, tasks))
+        digest, tasks = inputs(s, d)
+        return lineage.neighbours(lineage.nodes(digest, tasks), lineage.edges(digest, tasks))
 
     def export(s, d):
-        registered, tasks = inputs(s, d)
-        node, edge = lineage.export(lineage.nodes(registered, tasks), lineage.edges(registered, tasks))
+        digest, tasks = inputs(s, d)
+        node, edge = lineage.export(lineage.nodes(digest, tasks), lineage.edges(digest, tasks))
         path = new_path(s, "lineage-json")
         write_graph_json(node, edge, path)
         nodes = s.read.schema(node.schema).json(f"{path}/nodes").select(
