@@ -1,7 +1,7 @@
 """Graph operators over edge tables ``(keys…, src, dst)``; each key value is a graph of its own.
 
 All graphs advance together, one distributed join per round, and every round is a written table.
-Nothing is collected; a round is over when the written table has no new rows.
+Nothing is collected but the row count of a round; a loop ends with a round that adds nothing.
 """
 
 from __future__ import annotations
@@ -11,29 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.staging import new_path
-
-
-class _Rounds:
-    """Numbered tables of one loop."""
-
-    def __init__(self, spark, tag: str):
-        self._spark, self._base, self._schema, self.count = spark, new_path(spark, tag), None, 0
-
-    def add(self, df: DataFrame) -> DataFrame:
-        self._schema = df.schema
-        df.write.parquet(self._path(self.count))
-        self.count += 1
-        return self.read(self.count - 1)
-
-    def _path(self, n: int) -> str:
-        return f"{self._base}/r{n}"
-
-    def read(self, n: int) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(self._path(n))
-
-    def read_all(self) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(*[self._path(i) for i in range(self.count)])
+from millrace.operators.staging import Rounds
 
 
 def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
@@ -43,30 +21,31 @@ def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds:
     of its edges are removed. The edge table only shrinks; what cannot be peeled lies on or behind a cycle.
     """
     keys = list(keys)
-    rounds = _Rounds(nodes.sparkSession, "levels")
+    rounds = Rounds(nodes.sparkSession, "levels", max_rounds)
     arcs = edges.select(*keys, "src", "dst").where("src <> dst").distinct()
     targets = arcs.select(*keys, F.col("dst").alias("src")).distinct().withColumn("waits", F.lit(True))
-    state = rounds.add(
+    removed = rounds.add(
         arcs.join(targets, [*keys, "src"], "left").select(
             *keys, "src", "dst", F.col("waits").isNull().alias("removed"), F.lit(1).alias("level")
-        )
+        ),
+        F.col("removed"),
     )
 
     def settled(table: DataFrame) -> DataFrame:
         done = table.groupBy(*keys, F.col("dst").alias("node"), "level").agg(F.min("removed").alias("done"))
         return done.where("done").drop("done")
 
-    while not state.where("removed").isEmpty():
-        if rounds.count > max_rounds:
-            raise RuntimeError(f"graph deeper than {max_rounds} levels")
+    while removed:
+        state = rounds.last()
         ready = settled(state).select(*keys, F.col("node").alias("src"), F.lit(True).alias("ready"))
-        state = rounds.add(
+        removed = rounds.add(
             state.where("NOT removed").join(ready, [*keys, "src"], "left").select(
                 *keys, "src", "dst", F.col("ready").isNotNull().alias("removed"), F.lit(rounds.count + 1).alias("level")
-            )
+            ),
+            F.col("removed"),
         )
-    placed = settled(rounds.read_all())
-    blocked = rounds.read(rounds.count - 1).select(*keys, F.col("dst").alias("node")).distinct()
+    placed = settled(rounds.all())
+    blocked = rounds.last().select(*keys, F.col("dst").alias("node")).distinct()
     known = placed.withColumn("state", F.lit("placed")).unionByName(
         blocked.withColumn("level", F.lit(None).cast("int")).withColumn("state", F.lit("blocked"))
     )
@@ -84,15 +63,13 @@ def reachable(
     Semi-naive: only rows that are new in a round are joined in the next. Cycles end by themselves.
     """
     keys, columns = list(keys), [*keys, *carry, "node"]
-    rounds = _Rounds(starts.sparkSession, "reach")
+    rounds = Rounds(starts.sparkSession, "reach", max_rounds)
     arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next"))
-    frontier = rounds.add(starts.select(*columns).distinct())
-    while not frontier.isEmpty():
-        if rounds.count > max_rounds:
-            raise RuntimeError(f"no end of the walk within {max_rounds} rounds")
-        step = frontier.join(arcs, [*keys, "node"]).select(*keys, *carry, F.col("next").alias("node")).distinct()
-        frontier = rounds.add(step.join(rounds.read_all(), columns, "left_anti"))
-    return rounds.read_all()
+    fresh = rounds.add(starts.select(*columns).distinct())
+    while fresh:
+        step = rounds.last().join(arcs, [*keys, "node"]).select(*keys, *carry, F.col("next").alias("node")).distinct()
+        fresh = rounds.add(step.join(rounds.all(), columns, "left_anti"))
+    return rounds.all()
 
 
 def closure(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,19 +84,17 @@ def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_ro
     Round ``r`` keeps, per end node, the first path by name of those with ``r`` edges.
     """
     keys = list(keys)
-    rounds = _Rounds(nodes.sparkSession, "paths")
+    rounds = Rounds(nodes.sparkSession, "paths", max_rounds)
     arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).where("node <> next").distinct()
-    frontier = rounds.add(
+    extended = rounds.add(
         nodes.select(*keys, "node", F.array("node").alias("path"), F.lit(0).alias("length")).distinct()
     )
-    while not frontier.isEmpty():
-        if rounds.count > max_rounds:
-            raise RuntimeError(f"no end of the paths within {max_rounds} rounds; the graph may hold a cycle")
-        step = frontier.join(arcs, [*keys, "node"]).select(
+    while extended:
+        step = rounds.last().join(arcs, [*keys, "node"]).select(
             *keys, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")
         )
-        frontier = rounds.add(
+        extended = rounds.add(
             step.groupBy(*keys, "node").agg(F.min("path").alias("path")).withColumn("length", F.lit(rounds.count))
         )
     best = F.min(F.struct((-F.col("length")).alias("rank"), "path"))
-    return rounds.read_all().groupBy(*keys).agg(best.alias("best")).select(*keys, F.col("best.path").alias("path"))
+    return rounds.all().groupBy(*keys).agg(best.alias("best")).select(*keys, F.col("best.path").alias("path"))

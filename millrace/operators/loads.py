@@ -14,14 +14,13 @@ POLICIES = ("view", "table", "incremental", "ephemeral")
 
 
 def newer_than(source: DataFrame, target: DataFrame, ts: str) -> DataFrame:
-    """Rows of ``source`` past ``SELECT MAX(ts) FROM target``; all of them for an empty target."""
-    mark = target.select(F.max(ts)).scalar()
-    return source.where(mark.isNull() | (F.col(ts) > mark))
+    """Rows of ``source`` past ``SELECT MAX(ts) FROM target``; the comparison reaches the scan of the source."""
+    return source.where(F.col(ts) > target.select(F.max(ts)).scalar())
 
 
 def incremental(target: DataFrame | None, source: DataFrame, ts: str) -> DataFrame:
-    """The target after an incremental load; without a target this is a full load."""
-    if target is None:
+    """The target after an incremental load; a missing or empty target gets a full load."""
+    if target is None or target.isEmpty():
         return source
     return target.unionByName(newer_than(source, target, ts))
 
@@ -57,7 +56,7 @@ def materialize(
             raise ValueError("a stored model needs a path")
         if policy == "incremental" and table_exists(spark, path):
             stored = spark.read.schema(df.schema).parquet(path)
-            append(newer_than(df, stored, ts) if ts else df, path)
+            append(newer_than(df, stored, ts) if ts and not stored.isEmpty() else df, path)
         else:
             create_table_as(df, path, replace=True)
         df = spark.read.schema(df.schema).parquet(path)

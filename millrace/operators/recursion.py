@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.staging import new_path
+from millrace.operators.staging import Rounds
 
 
 def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
@@ -15,18 +15,12 @@ def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], m
 
     Unlike the built-in recursive CTE there is no row limit, and each round is a written table.
     """
-    spark = anchor.sparkSession
-    base = new_path(spark, "recursion")
-    schema = anchor.schema
-    frontier = anchor
-    for n in range(max_rounds):
-        path = f"{base}/round={n}"
-        frontier.select(*schema.fieldNames()).write.parquet(path)
-        written = spark.read.schema(schema).parquet(path)
-        if written.isEmpty():
-            return spark.read.schema(schema).parquet(*[f"{base}/round={i}" for i in range(n + 1)])
-        frontier = step(written)
-    raise RuntimeError(f"recursion did not end within {max_rounds} rounds; the data may hold a cycle")
+    columns = anchor.columns
+    rounds = Rounds(anchor.sparkSession, "recursion", max_rounds)
+    fresh = rounds.add(anchor)
+    while fresh:
+        fresh = rounds.add(step(rounds.last()).select(*columns))
+    return rounds.all()
 
 
 def connect_by(

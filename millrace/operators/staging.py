@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 
@@ -39,3 +40,32 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """The numbered tables of one loop, all of one schema.
+
+    Each round is one write; how many of its rows matter to the loop is counted by that same write.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str, limit: int):
+        self._spark, self._base, self._limit = spark, new_path(spark, tag), limit
+        self._schema = None
+        self.count = 0
+
+    def add(self, df: DataFrame, counted: Column | None = None) -> int:
+        """Write the next round and return the number of its rows, or of those where ``counted`` holds."""
+        if self.count > self._limit:
+            raise RuntimeError(f"no end within {self._limit} rounds; the data may hold a cycle")
+        self._schema = df.schema
+        seen = Observation()
+        rows = F.count(F.lit(1)) if counted is None else F.count(F.when(counted, 1))
+        df.observe(seen, rows.alias("rows")).write.parquet(f"{self._base}/r{self.count}")
+        self.count += 1
+        return seen.get["rows"]
+
+    def last(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(f"{self._base}/r{self.count - 1}")
+
+    def all(self) -> DataFrame:
+        return self._spark.read.schema(self._schema).parquet(*[f"{self._base}/r{i}" for i in range(self.count)])

@@ -13,13 +13,6 @@ def accepted(scripts: DataFrame, max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataF
     return scripts.where(F.octet_length("sql_text") <= max_bytes)
 
 
-def by_script(df: DataFrame) -> DataFrame:
-    """Spread a corpus over the cluster by script; a fixed count keeps AQE from merging the partitions
-    by their size, which is far smaller than the work they expand to."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, "script_id")
-
-
 def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataFrame:
     """One row per non-empty statement with its nine catalogue fields, and the veiled text for later stages.
 
@@ -41,7 +34,7 @@ def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MA
         "script_id",
         "stmt_no",
         F.concat(F.lit("stmt_"), F.col("stmt_no").cast("string")).alias("stmt_id"),
-        F.concat(sql.strip(sql.unveil(F.col("part.text"))), terminator).alias("raw_sql"),
+        sql.strip(F.concat(sql.unveil(F.col("part.text")), terminator)).alias("raw_sql"),
         sql.unveil(F.col("veiled")).alias("clean_sql"),
         "statement_type",
         "target_table",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
+from millrace.sources.tables import scripts_from_directory
 
 # The template calls.
 REF = r"""(?i)\{\{\s*ref\(\s*['"]([^'"]+)['"]\s*\)\s*\}\}"""
@@ -38,6 +39,11 @@ def parse(models: DataFrame) -> DataFrame:
     )
 
 
+def project_from_directory(spark: SparkSession, folder: str, project: str) -> DataFrame:
+    """The ``(project, name, sql_text)`` rows of all model files below ``folder``."""
+    return scripts_from_directory(spark, folder).select(F.lit(project).alias("project"), "name", "sql_text")
+
+
 def rejected(models: DataFrame) -> DataFrame:
     """Models with an unsafe name or of excessive size."""
     reason = F.when(~F.col("name").rlike(sql.SAFE_MODEL_NAME), "unsafe name").when(~_safe(), "too large")

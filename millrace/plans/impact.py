@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
 from millrace.operators import graph
+from millrace.operators.layout import by_script
 from millrace.plans import catalog, models as model_plans
 
 KEY = ["script_id"]
@@ -148,7 +149,7 @@ def version_columns(versions: DataFrame) -> DataFrame:
             F.struct(F.lit(n).alias("version"), F.col(f"v{n}").alias("sql_text")) for n in (1, 2)
         ])).alias("v"),
     ).select(F.struct("script_id", "v.version").alias("script_id"), "v.sql_text")
-    parsed = model_plans.models(catalog.statements(catalog.by_script(each)))
+    parsed = model_plans.models(catalog.statements(by_script(each)))
     items = parsed.where("is_final").select(
         F.col("script_id.script_id").alias("id"), F.col("script_id.version").alias("version"), "stmt_no",
         F.posexplode("items").alias("item", "expr"),

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
-from millrace.plans.catalog import accepted, by_script
+from millrace.operators.layout import by_script
+from millrace.plans.catalog import accepted
 
 # Pattern type, score, pattern.
 RULES = (

@@ -97,8 +97,7 @@ def _slim(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _models(spark: SparkSession, folder: str) -> DataFrame:
-    scripts = catalog.by_script(corpus.scripts(spark, folder))
-    return models.models(catalog.statements(scripts))
+    return models.models(_statements(spark, folder))
 
 
 def _digest(spark: SparkSession, folder: str) -> DataFrame:

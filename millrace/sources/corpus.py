@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.layout import by_script
 from millrace.sources.tables import table
 
 CHAIN = """-- refresh the summary of account {k}
@@ -206,27 +207,34 @@ DBT_DIM = ("dim_{seg}", "SELECT seg FROM {{ source('app', 'segments') }}")
 
 
 def _fill(text: Column) -> Column:
-    number = F.col("c_custkey").cast("string")
-    text = F.replace(text, F.lit("{k}"), number)
-    return F.replace(text, F.lit("{seg}"), F.lower("c_mktsegment"))
+    text = F.replace(text, F.lit("{k}"), F.col("script_id").cast("string"))
+    return F.replace(text, F.lit("{seg}"), F.lower("segment"))
 
 
 def _pick(texts: tuple[str, ...]) -> Column:
-    number = (F.col("c_custkey") % len(texts) + 1).cast("int")
+    number = (F.col("script_id") % len(texts) + 1).cast("int")
     return _fill(F.element_at(F.array(*[F.lit(t) for t in texts]), number))
 
 
+def _authors(spark: SparkSession, folder: str) -> DataFrame:
+    """The customers spread by script id while they are still two short columns; the texts built from
+    them keep that layout, so the jobs keyed by script need no shuffle of texts or tokens."""
+    return by_script(
+        table(spark, folder, "customer").select(
+            F.col("c_custkey").alias("script_id"), F.col("c_mktsegment").alias("segment"), "c_nationkey"
+        )
+    )
+
+
 def scripts(spark: SparkSession, folder: str) -> DataFrame:
     """``(script_id, sql_text)``, one row per customer."""
-    customer = table(spark, folder, "customer")
-    return customer.select(F.col("c_custkey").alias("script_id"), _pick(TEMPLATES).alias("sql_text"))
+    return _authors(spark, folder).select("script_id", _pick(TEMPLATES).alias("sql_text"))
 
 
 def script_versions(spark: SparkSession, folder: str) -> DataFrame:
     """``(script_id, v1, v2)``, one row per customer."""
-    customer = table(spark, folder, "customer")
-    return customer.select(
-        F.col("c_custkey").alias("script_id"),
+    return _authors(spark, folder).select(
+        "script_id",
         _pick(tuple(a for a, _ in VERSIONS)).alias("v1"),
         _pick(tuple(b for _, b in VERSIONS)).alias("v2"),
     )
@@ -237,7 +245,7 @@ def dbt_models(spark: SparkSession, folder: str) -> DataFrame:
 
     The two looping models exist in the project of nation 7 only.
     """
-    customer = table(spark, folder, "customer")
+    customer = _authors(spark, folder)
     project = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("project")
     looping = F.col("model.name").startswith("loop_")
     each = customer.select(

@@ -29,8 +29,10 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 
 def insert_values(target: DataFrame, rows: Sequence[Sequence]) -> DataFrame:
-    """The table after ``INSERT INTO target VALUES rows``."""
-    return target.unionByName(target.sparkSession.createDataFrame(list(rows), target.schema))
+    """The table after ``INSERT INTO target VALUES rows``; the rows are literals of the plan."""
+    fields = target.schema.fields
+    records = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return target.unionByName(target.sparkSession.range(1).select(F.inline(F.array(*records))))
 
 
 def truncate_load(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -49,12 +51,7 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def scripts_from_directory(spark: SparkSession, folder: str) -> DataFrame:
     """One ``(name, path, sql_text)`` row per ``*.sql`` file below ``folder``; name = file stem."""
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.sql")
-        .text(folder)
-    )
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql")
     return files.select(
         F.regexp_replace(F.col("_metadata.file_name"), r"\.sql$", "").alias("name"),
         F.col("_metadata.file_path").alias("path"),

@@ -69,7 +69,7 @@ def statements_of(source: str, out: str) -> str:
 {out}_k AS (SELECT *, CASE WHEN {has('veiled', t.CTAS)} THEN 'CTAS' WHEN {has('veiled', t.INSERT_SELECT)} THEN 'INSERT_SELECT'
               WHEN {has('veiled', t.INSERT_VALUES)} THEN 'INSERT_VALUES' ELSE 'UNKNOWN' END AS statement_type FROM {out}_c),
 {out} AS (SELECT script_id, stmt_no, veiled, statement_type,
-            {trim(shown('part'))} || CASE WHEN i < n THEN ';' ELSE '' END AS raw_sql,
+            {trim(f"({shown('part')} || CASE WHEN i < n THEN ';' ELSE '' END)")} AS raw_sql,
             CASE WHEN statement_type = 'CTAS' THEN {named(f"regexp_extract(veiled, {q(t.CTAS_BODY)}, 1)")}
                  WHEN statement_type <> 'UNKNOWN' THEN {named(f"regexp_extract(veiled, {q(t.INSERT_BODY)}, 1)")}
             END AS target_table
