@@ -24,7 +24,7 @@ COMMENT_START, COMMENT_END = chr(_PRIVATE + 1), chr(_PRIVATE + 2)
 
 PIECES = r"""(?s)'[^']*'?|"[^"]*"|--[^\n]*|/\*.*?\*/|[^'"/\-]+|."""
 COMMENT = f"{COMMENT_START}[^{COMMENT_END}]*{COMMENT_END}"
-_GAP = rf"(?:\s|{COMMENT})*"
+_GAP = rf"\s*(?:{COMMENT}\s*)*"
 BLOCK = rf"(?is)\bBEGIN\b(.*?)\bEND\b{_GAP};"
 
 _NAMED_TABLE = r"\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+(\S+)\s+AS"
@@ -36,7 +36,7 @@ CTAS_BODY = rf"(?is){_NAMED_TABLE}\s*(.*)$"
 INSERT_BODY = rf"(?is){_INTO}(.*)$"
 TABLE_REF = r"(?i)\b(?:FROM|JOIN)\s+(\w+(?:\.\w+)*)"
 FROM_REF = r"(?i)\bFROM\s+(\w+(?:\.\w+)?)\b"
-CTE_NAME = r"(?i)(\w+)\s*(?:\([^()]*\)\s*)?\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
+CTE_NAME = r"(?i)\b(\w+)\s*(?:\([^()]*\)\s*)?\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
 AGGREGATE = rf"(?i)\b({'|'.join(AGGREGATES)})\s*\("
 WINDOW = r"(?i)\bOVER\s*\("
 CAST = r"(?is)\bCAST\s*\(.+?\s+AS\s+(\w+(?:\s*\(\s*\d+\s*(?:,\s*\d+\s*)?\))?)\s*\)"

@@ -79,22 +79,32 @@ def closure(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
-    """``(keys…, path)``: the longest path of each acyclic graph; among equals the first by node names.
+    """``(keys…, path)``: the longest path of each graph, NULL where it has a cycle.
 
-    Round ``r`` keeps, per end node, the first path by name of those with ``r`` edges.
+    Among equally long paths the first by node names is taken. Round ``r`` keeps, per end node, the first
+    path of those with ``r`` edges. A path that would come back to one of its own nodes shows a cycle,
+    and its graph leaves the loop.
     """
     keys = list(keys)
     rounds = Rounds(nodes.sparkSession, "paths", max_rounds)
     arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).where("node <> next").distinct()
     extended = rounds.add(
-        nodes.select(*keys, "node", F.array("node").alias("path"), F.lit(0).alias("length")).distinct()
+        nodes.select(
+            *keys, "node", F.array("node").alias("path"), F.lit(0).alias("length"), F.lit(False).alias("cyclic")
+        ).distinct()
     )
     while extended:
-        step = rounds.last().join(arcs, [*keys, "node"]).select(
-            *keys, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path")
+        ended = rounds.last().where("cyclic").select(*keys).distinct()
+        going = rounds.last().where("NOT cyclic").join(ended, keys, "left_anti")
+        step = going.join(arcs, [*keys, "node"]).select(
+            *keys, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"),
+            F.array_contains("path", F.col("next")).alias("back"),
         )
         extended = rounds.add(
-            step.groupBy(*keys, "node").agg(F.min("path").alias("path")).withColumn("length", F.lit(rounds.count))
+            step.groupBy(*keys, "node").agg(F.min("path").alias("path"), F.max("back").alias("cyclic"))
+            .select(*keys, "node", "path", F.lit(rounds.count).alias("length"), "cyclic")
         )
     best = F.min(F.struct((-F.col("length")).alias("rank"), "path"))
-    return rounds.all().groupBy(*keys).agg(best.alias("best")).select(*keys, F.col("best.path").alias("path"))
+    return rounds.all().groupBy(*keys).agg(best.alias("best"), F.max("cyclic").alias("cyclic")).select(
+        *keys, F.when(~F.col("cyclic"), F.col("best.path")).alias("path")
+    )

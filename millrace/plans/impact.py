@@ -98,24 +98,21 @@ def dependency_tree(index: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def critical_path(index: DataFrame, edges: DataFrame, first_models: DataFrame) -> DataFrame:
+def critical_path(index: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
     """The longest path through the affected models of each column.
 
-    Where these form a cycle the path is the first affected model only; ``first_models`` gives the place
+    Where these form a cycle the path is the first affected model only; ``places`` gives the position
     of each model, ``(script_id, model, place)``.
     """
     keys = ["script_id", "column"]
-    inside = affected_edges(index, edges)
     nodes = index.select(*keys, F.col("model").alias("node"))
-    cyclic = graph.levels(nodes, inside, keys).where("level IS NULL").select(*keys).distinct()
-    straight = graph.longest_path(
-        nodes.join(cyclic, keys, "left_anti"), inside.join(cyclic, keys, "left_anti"), keys
-    )
+    paths = graph.longest_path(nodes, affected_edges(index, edges), keys)
+    cyclic = paths.where("path IS NULL").select(*keys)
     first = (
-        index.join(cyclic, keys, "left_semi").join(first_models, ["script_id", "model"])
+        index.join(cyclic, keys, "left_semi").join(places, ["script_id", "model"])
         .groupBy(*keys).agg(F.array(F.min_by("model", "place")).alias("path"))
     )
-    return straight.unionByName(first)
+    return paths.where("path IS NOT NULL").unionByName(first)
 
 
 def rename_impact(models: DataFrame, index: DataFrame, renames: DataFrame) -> DataFrame:

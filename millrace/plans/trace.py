@@ -19,12 +19,11 @@ _AT = ["script_id", "stmt_no", "ord", "input_col"]
 
 
 def items(models: DataFrame) -> DataFrame:
-    """Every select item with its alias, transformation class and text."""
-    item = models.select("script_id", "stmt_no", "ord", F.posexplode("items").alias("item", "expr"))
-    alias = F.lower(F.regexp_extract("expr", sql.ALIAS, 1))
+    """Every select item with its model, transformation class and text."""
+    name = F.coalesce(sql.last_part(F.col("name")), F.lit(UNNAMED)).alias("model_name")
+    item = models.select("script_id", "stmt_no", "ord", "is_final", name, F.posexplode("items").alias("item", "expr"))
     return item.select(
-        "script_id", "stmt_no", "ord", "item",
-        F.when(alias != "", alias).alias("alias"),
+        "script_id", "stmt_no", "ord", "item", "is_final", "model_name",
         sql.transformation(F.col("expr")).alias("transformation"),
         sql.unveil(F.col("expr")).alias("snippet"),
     )
@@ -78,13 +77,8 @@ def trace_steps(models: DataFrame, questions: DataFrame) -> DataFrame:
         )
 
     visited = recursive_union(anchor, step)
-    named = models.select(
-        "script_id", "stmt_no", "ord", "is_final",
-        F.coalesce(sql.last_part(F.col("name")), F.lit(UNNAMED)).alias("model_name"),
-    )
     order = Window.partitionBy("script_id", "column").orderBy("stmt_no", "ord")
-    placed = visited.join(links, _AT).join(named, ["script_id", "stmt_no", "ord"])
-    return placed.join(items(models), ["script_id", "stmt_no", "ord", "item"]).select(
+    return visited.join(links, _AT).join(items(models), ["script_id", "stmt_no", "ord", "item"]).select(
         "script_id", "column", F.row_number().over(order).cast("bigint").alias("hop"), "stmt_no", "model_name",
         "is_final", "input_col", "output_col", "transformation", "snippet",
     )

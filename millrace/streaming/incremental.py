@@ -13,6 +13,10 @@ from millrace.operators.staging import new_path
 from millrace.sources.tables import table
 
 
+# A long backlog is loaded in batches of this many files, each committed on its own.
+FILES_PER_BATCH = 1000
+
+
 def load_new_files(source: DataFrame, target: str, checkpoint: str) -> None:
     """Append all available input of a streaming ``source`` to a Parquet folder, exactly once."""
     query = (
@@ -34,7 +38,10 @@ def stream_events(spark: SparkSession, folder: str) -> DataFrame:
     base = new_path(spark, "stream")
     for _ in range(2):
         events = (
-            spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+            spark.readStream.schema(schema)
+            .option("pathGlobFilter", "events.parquet")
+            .option("maxFilesPerTrigger", FILES_PER_BATCH)
+            .parquet(folder)
             .select("event_id", "ts", "user_id", "event_type")
         )
         load_new_files(events, f"{base}/target", f"{base}/checkpoint")
