@@ -19,6 +19,7 @@ MART_SCHEMAS = ("mart", "marts", "dw", "warehouse")
 _MARK = "\u0001"
 _TOKEN = f"[(),]|{_MARK}\\w+{_MARK}|[^(),{_MARK}]+"
 _SELECT, _FROM = f"{_MARK}SELECT{_MARK}", f"{_MARK}FROM{_MARK}"
+_FINAL = 2**31 - 1
 _OPENS_CTE = r"(?i)\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?$"
 
 
@@ -42,7 +43,10 @@ def _word(token: Column) -> Column:
 
 
 def _placed(tokens: DataFrame) -> DataFrame:
-    """Add the nesting level of each token, the select it lies in and its role there."""
+    """Add the nesting level of each token, the select it lies in and its role there.
+
+    The running values need two passes over one order: the level first, then everything that asks for it.
+    """
     order = Window.partitionBy("script_id", "stmt_no").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tok, level = F.col("tok"), F.col("level")
@@ -52,24 +56,24 @@ def _placed(tokens: DataFrame) -> DataFrame:
         tokens.withColumn("delta", delta)
         .withColumn("level", F.sum("delta").over(upto) - F.greatest(F.col("delta"), F.lit(0)))
         .withColumn("before", F.lag("tok").over(order))
-        .withColumn("main", F.max(~F.col("has_with") | ((_word(tok) == _SELECT) & (level == 0))).over(upto))
-    )
-    opens = ~F.col("main") & (tok == "(") & (level == 0) & F.coalesce(F.col("before").rlike(_OPENS_CTE), F.lit(False))
-    scoped = (
-        leveled.withColumn("opens", opens)
-        .withColumn("opened", F.sum(F.col("opens").cast("int")).over(upto))
-        .withColumn("in_cte", F.last(F.when((tok == "(") & (level == 0), F.col("opens")), True).over(upto))
     )
+    opening = (tok == "(") & (level == 0)
+    opens = opening & F.coalesce(F.col("before").rlike(_OPENS_CTE), F.lit(False))
+    scoped = leveled.withColumns({
+        "main": F.max(~F.col("has_with") | ((_word(tok) == _SELECT) & (level == 0))).over(upto),
+        "opened": F.sum(opens.cast("int")).over(upto),
+        "in_cte": F.last(F.when(opening, opens), True).over(upto),
+    })
     paren = tok.isin("(", ")")
     role = (
         F.when(F.col("main"), "body")
         .when((level >= 1) & F.col("in_cte"), "body")
         .when((level == 0) & ~paren, "head")
     )
-    ord_ = F.when(~F.col("main") & (level >= 1), F.col("opened") - 1).otherwise(F.col("opened"))
+    ord_ = F.when(F.col("main"), _FINAL).when(level >= 1, F.col("opened") - 1).otherwise(F.col("opened"))
     return scoped.select(
-        "script_id", "stmt_no", "statement_type", "pos", "tok", "level", role.alias("role"), ord_.alias("ord"),
-        F.when(F.col("main"), F.col("target_table")).alias("target_table"), F.col("main").alias("is_final"),
+        "script_id", "stmt_no", "statement_type", "target_table", "pos", "tok", "level", role.alias("role"),
+        ord_.alias("ord"),
     ).where("role IS NOT NULL")
 
 
@@ -84,22 +88,21 @@ def _sectioned(placed: DataFrame) -> DataFrame:
         .orderBy("pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    word, level = _word(F.col("tok")), F.col("level")
-    based = placed.withColumn("base", F.first(F.when(word == _SELECT, level), True).over(upto))
-    flagged = based.withColumn("selects", F.sum(((word == _SELECT) & (level == F.col("base"))).cast("int")).over(upto))
-    closing = (word == _FROM) & (level == F.col("base")) & (F.col("selects") >= 1)
-    closed = flagged.withColumn("closed", F.coalesce(F.max(closing).over(upto), F.lit(False)))
-    starts = (word == _SELECT) & (F.col("selects") == 1) & (level == F.col("base"))
+    word, is_select = _word(F.col("tok")), _word(F.col("tok")) == _SELECT
+    based = placed.withColumns({
+        "base": F.first(F.when(is_select, F.col("level")), True).over(upto),
+        "selects": F.sum(is_select.cast("int")).over(upto),
+    })
+    here = F.coalesce(F.col("level") == F.col("base"), F.lit(False))
+    counted = based.withColumns({
+        "closed": F.max(here & (word == _FROM)).over(upto),
+        "commas": F.sum((here & (F.col("tok") == ",")).cast("int")).over(upto),
+    })
     section = (
-        F.when(F.col("closed"), 2)
-        .when(F.coalesce(F.col("selects"), F.lit(0)) == 0, 0)
-        .when(starts, 0)
-        .otherwise(1)
+        F.when(F.col("closed"), 2).when(F.col("base").isNull() | (is_select & (F.col("selects") == 1)), 0).otherwise(1)
     )
-    sectioned = closed.withColumn("section", section)
-    comma = (F.col("section") == 1) & (F.col("tok") == ",") & (level == F.col("base"))
-    return sectioned.withColumn(
-        "item", F.when(F.col("section") == 1, F.sum(comma.cast("int")).over(upto)).otherwise(0)
+    return counted.withColumn("section", section).withColumn(
+        "item", F.when(F.col("section") == 1, F.col("commas")).otherwise(0)
     )
 
 
@@ -117,7 +120,6 @@ def models(statements: DataFrame) -> DataFrame:
         F.min("pos").alias("pos"),
         F.any_value("statement_type").alias("statement_type"),
         F.any_value("target_table").alias("target_table"),
-        F.any_value("is_final").alias("is_final"),
     )
     body = F.col("role") == "body"
 
@@ -131,19 +133,20 @@ def models(statements: DataFrame) -> DataFrame:
         gathered(body & (F.col("section") == 1)).alias("parts"),
         F.max(body & (F.col("section") == 2)).alias("has_from"),
         F.any_value("statement_type").alias("statement_type"),
-        F.max(F.when(body, F.col("target_table"))).alias("target_table"),
-        F.coalesce(F.max(F.when(body, F.col("is_final"))), F.lit(False)).alias("is_final"),
+        F.any_value("target_table").alias("target_table"),
         F.max(body).alias("has_body"),
     )
+    is_final = F.col("ord") == _FINAL
+    ctes_before = F.count(F.lit(1)).over(Window.partitionBy("script_id", "stmt_no")) - 1
     items = F.transform(F.col("parts"), lambda p: sql.strip(F.regexp_replace(p, "^,", "")))
     cte_name = F.lower(F.regexp_extract("head", r"^[\s,]*(\w+)", 1))
     return grouped.where("has_body").select(
         "script_id",
         "stmt_no",
-        "ord",
+        F.when(is_final, ctes_before).otherwise(F.col("ord")).alias("ord"),
         "statement_type",
-        "is_final",
-        F.when(F.col("is_final"), F.col("target_table")).otherwise(cte_name).alias("name"),
+        is_final.alias("is_final"),
+        F.when(is_final, F.col("target_table")).otherwise(cte_name).alias("name"),
         sql.strip(F.col("body")).alias("body"),
         F.when(F.col("has_from"), F.filter(items, lambda i: i != "")).alias("items"),
     )
