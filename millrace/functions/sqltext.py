@@ -164,11 +164,12 @@ def cte_names(sql: Column) -> Column:
 
 
 def source_tables(sql: Column, target: Column) -> Column:
+    """Referenced tables without the target and the statement's own CTEs.
+
+    Lists are subtracted as a whole: an expression inside a lambda would be computed anew per element.
+    """
     own = F.transform(cte_names(sql), lambda n: F.lower(n))
-    return F.filter(
-        table_refs(sql),
-        lambda t: (t != F.coalesce(target, F.lit(""))) & ~F.array_contains(own, t),
-    )
+    return F.array_remove(F.array_except(table_refs(sql), own), F.coalesce(target, F.lit("")))
 
 
 def aggregations(sql: Column) -> Column:

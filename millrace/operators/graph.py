@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from millrace.operators.staging import Rounds
 
 
-def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, node, level)``: the length of the longest path to each node; NULL where a cycle precedes it.
 
     Layers are peeled: each round removes the edges whose source is settled, and a node settles when all
     of its edges are removed. The edge table only shrinks; what cannot be peeled lies on or behind a cycle.
     """
     keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "levels", max_rounds)
+    rounds = Rounds(nodes.sparkSession, "levels")
     arcs = edges.select(*keys, "src", "dst").where("src <> dst").distinct()
     targets = arcs.select(*keys, F.col("dst").alias("src")).distinct().withColumn("waits", F.lit(True))
     removed = rounds.add(
@@ -55,15 +55,13 @@ def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds:
     )
 
 
-def reachable(
-    starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), max_rounds: int = 10_000
-) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """All ``(keys…, carry…, node)`` rows reached from ``starts``, which are included.
 
     Semi-naive: only rows that are new in a round are joined in the next. Cycles end by themselves.
     """
     keys, columns = list(keys), [*keys, *carry, "node"]
-    rounds = Rounds(starts.sparkSession, "reach", max_rounds)
+    rounds = Rounds(starts.sparkSession, "reach")
     arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next"))
     fresh = rounds.add(starts.select(*columns).distinct())
     while fresh:
@@ -78,7 +76,7 @@ def closure(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return reachable(starts, edges, keys, ["src"]).withColumnRenamed("node", "dst")
 
 
-def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_rounds: int = 10_000) -> DataFrame:
+def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, path)``: the longest path of each graph, NULL where it has a cycle.
 
     Among equally long paths the first by node names is taken. Round ``r`` keeps, per end node, the first
@@ -86,7 +84,7 @@ def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], max_ro
     and its graph leaves the loop.
     """
     keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "paths", max_rounds)
+    rounds = Rounds(nodes.sparkSession, "paths")
     arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).where("node <> next").distinct()
     extended = rounds.add(
         nodes.select(

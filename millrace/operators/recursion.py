@@ -16,9 +16,11 @@ def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], m
     Unlike the built-in recursive CTE there is no row limit, and each round is a written table.
     """
     columns = anchor.columns
-    rounds = Rounds(anchor.sparkSession, "recursion", max_rounds)
+    rounds = Rounds(anchor.sparkSession, "recursion")
     fresh = rounds.add(anchor)
     while fresh:
+        if rounds.count > max_rounds:
+            raise RuntimeError(f"no end within {max_rounds} rounds; the data may hold a cycle")
         fresh = rounds.add(step(rounds.last()).select(*columns))
     return rounds.all()
 

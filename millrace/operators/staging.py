@@ -46,26 +46,34 @@ class Rounds:
     """The numbered tables of one loop, all of one schema.
 
     Each round is one write; how many of its rows matter to the loop is counted by that same write.
+    After a number of rounds the tables so far are merged, so that a deep loop does not list ever more
+    folders.
     """
 
-    def __init__(self, spark: SparkSession, tag: str, limit: int):
-        self._spark, self._base, self._limit = spark, new_path(spark, tag), limit
-        self._schema = None
+    MERGE_AFTER = 32
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self._spark, self._base = spark, new_path(spark, tag)
+        self._schema, self._latest, self._parts = None, None, []
         self.count = 0
 
     def add(self, df: DataFrame, counted: Column | None = None) -> int:
         """Write the next round and return the number of its rows, or of those where ``counted`` holds."""
-        if self.count > self._limit:
-            raise RuntimeError(f"no end within {self._limit} rounds; the data may hold a cycle")
         self._schema = df.schema
+        if len(self._parts) >= self.MERGE_AFTER:
+            merged = f"{self._base}/to{self.count}"
+            self.all().write.parquet(merged)
+            self._parts = [merged]
         seen = Observation()
         rows = F.count(F.lit(1)) if counted is None else F.count(F.when(counted, 1))
-        df.observe(seen, rows.alias("rows")).write.parquet(f"{self._base}/r{self.count}")
+        self._latest = f"{self._base}/r{self.count}"
+        df.observe(seen, rows.alias("rows")).write.parquet(self._latest)
+        self._parts.append(self._latest)
         self.count += 1
         return seen.get["rows"]
 
     def last(self) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(f"{self._base}/r{self.count - 1}")
+        return self._spark.read.schema(self._schema).parquet(self._latest)
 
     def all(self) -> DataFrame:
-        return self._spark.read.schema(self._schema).parquet(*[f"{self._base}/r{i}" for i in range(self.count)])
+        return self._spark.read.schema(self._schema).parquet(*self._parts)

@@ -18,11 +18,12 @@ def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MA
 
     ``has_where``, ``has_group_by`` and all names come from comment-free text with literals veiled.
     """
-    parts = F.split(sql.drop_blocks(sql.veil(F.col("sql_text")), blocks), ";")
-    ended = F.transform(parts, lambda p, i: F.struct(p.alias("text"), (i < F.size(parts) - 1).alias("ended")))
+    parts = F.split(sql.drop_blocks(sql.veil(F.col("sql_text")), blocks), ";").alias("parts")
+    ended = F.transform("parts", lambda p, i: F.struct(p.alias("text"), (i < F.size("parts") - 1).alias("ended")))
     present = F.filter(ended, lambda x: sql.strip(sql.cut_comments(x["text"])) != "")
     split = (
         accepted(scripts, max_bytes)
+        .select("script_id", parts)
         .select("script_id", F.posexplode(present).alias("stmt_no", "part"))
         .select("script_id", "stmt_no", "part", sql.strip(sql.cut_comments(F.col("part.text"))).alias("veiled"))
     )

@@ -24,18 +24,19 @@ _OPENS_CTE = r"(?i)\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?$"
 
 
 def _tokens(statements: DataFrame) -> DataFrame:
-    body = sql.select_body(F.col("veiled"), F.col("statement_type"))
-    has_with = body.rlike(r"(?i)^\s*WITH\b")
-    inner = F.regexp_replace(body, r"(?i)^\s*WITH\s+(?:RECURSIVE\s+)?", "")
+    """One row per token. Everything drawn from the text is a column before the explosion, which then
+    repeats short values only. The outer form keeps the optimizer from adding a filter on the number of
+    tokens, which it would push below the projections and so lex every statement twice."""
+    kept = ["script_id", "stmt_no", "statement_type", "target_table"]
+    body = statements.select(*kept, sql.select_body(F.col("veiled"), F.col("statement_type")).alias("body"))
+    inner = F.regexp_replace("body", r"(?i)^\s*WITH\s+(?:RECURSIVE\s+)?", "")
     marked = F.regexp_replace(inner, r"(?i)\b(SELECT|FROM)\b", f"{_MARK}$1{_MARK}")
-    return statements.select(
-        "script_id",
-        "stmt_no",
-        "statement_type",
-        "target_table",
-        has_with.alias("has_with"),
-        F.posexplode(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))).alias("pos", "tok"),
+    lexed = body.select(
+        *kept,
+        F.col("body").rlike(r"(?i)^\s*WITH\b").alias("has_with"),
+        F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
     )
+    return lexed.select(*kept, "has_with", F.posexplode_outer("tokens").alias("pos", "tok")).where("tok IS NOT NULL")
 
 
 def _word(token: Column) -> Column:

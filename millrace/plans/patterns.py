@@ -71,9 +71,14 @@ def _piece(number: int, n: Column, chars, lines, step) -> Column:
     )
 
 
-def _pieces_before_hits(number: int, pattern: str) -> Column:
+def _cut(number: int, pattern: str) -> Column:
+    """The text cut before every match of a rule."""
+    return F.split(F.regexp_replace("text", pattern, f"{_MARK}$0"), _MARK).alias(f"cut{number}")
+
+
+def _pieces_before_hits(number: int) -> Column:
     """One entry per match: the length and the line breaks of the text between it and the match before."""
-    parts = F.split(F.regexp_replace("text", pattern, f"{_MARK}$0"), _MARK)
+    parts = F.col(f"cut{number}")
     return F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
         lambda p, i: _piece(number, i, F.length(p), F.length(p) - F.length(F.translate(p, "\n", "")), F.lit(0)),
@@ -124,8 +129,10 @@ def pattern_hits(scripts: DataFrame) -> DataFrame:
     works in that layout. A plain CTE close to a recursive hit is dropped: the nearest recursive hits on
     both sides come from one ordered pass. Deep nesting is one hit at the start of the script.
     """
-    pieces = F.concat(*[_pieces_before_hits(i, rule[2]) for i, rule in enumerate(RULES)], _parentheses())
-    spread = by_script(_searchable(scripts).select("script_id", F.inline(pieces)))
+    cuts = [_cut(number, rule[2]) for number, rule in enumerate(RULES)]
+    pieces = F.concat(*[_pieces_before_hits(number) for number in range(len(RULES))], F.col("parens"))
+    searched = _searchable(scripts).select("script_id", *cuts, _parentheses().alias("parens"))
+    spread = by_script(searched.select("script_id", F.inline(pieces)))
     upto = (
         Window.partitionBy("script_id", "rule").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )

@@ -32,10 +32,11 @@ def items(models: DataFrame) -> DataFrame:
 def hops(models: DataFrame) -> DataFrame:
     """The first item per select and mentioned word, with the name it goes on under."""
     item = models.select("script_id", "stmt_no", "ord", F.posexplode("items").alias("item", "expr"))
-    alias = F.lower(F.regexp_extract("expr", sql.ALIAS, 1))
-    word = item.select(
-        "script_id", "stmt_no", "ord", "item", alias.alias("alias"), F.explode(sql.words(F.col("expr"))).alias("input_col")
+    read = item.select(
+        "script_id", "stmt_no", "ord", "item", F.lower(F.regexp_extract("expr", sql.ALIAS, 1)).alias("alias"),
+        sql.words(F.col("expr")).alias("words"),
     )
+    word = read.select("script_id", "stmt_no", "ord", "item", "alias", F.explode("words").alias("input_col"))
     first = word.groupBy(*_AT).agg(F.min(F.struct("item", "alias")).alias("first"))
     return first.select(
         *_AT,
@@ -88,7 +89,7 @@ def trace_rollup(steps: DataFrame, statements: DataFrame, questions: DataFrame)
     """Found, depth, final output and source table of every asked column."""
     cte = F.transform(sql.cte_names(F.col("veiled")), lambda n: F.lower(n))
     read = F.transform(F.regexp_extract_all("veiled", F.lit(sql.FROM_REF), F.lit(1)), lambda t: F.lower(t))
-    outside = F.filter(read, lambda t: ~F.array_contains(cte, t))
+    outside = F.array_except(read, cte)
     onward = Window.partitionBy("script_id").orderBy("stmt_no").rowsBetween(
         Window.currentRow, Window.unboundedFollowing
     )

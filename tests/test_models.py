@@ -1,6 +1,6 @@
 import pytest
 
-from millrace.plans import catalog, dbt, models
+from millrace.plans import catalog, dbt, models, patterns
 
 CTES = """CREATE TABLE mart.month AS
 WITH raw_orders AS (SELECT id, customer_id, amount FROM raw.orders WHERE d >= '2024-01-01'),
@@ -169,3 +169,20 @@ def test_dbt_directory(spark, tmp_path):
 def test_one_shuffle_of_the_corpus(scripts):
     plan = parse(scripts, CTES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_large_scripts_are_read_whole(spark, scripts):
+    """A wide select, very many statements and a deep nest; each step has to stay linear in the text."""
+    wide = "CREATE TABLE t AS SELECT " + ", ".join(f"f(a{i}, 'x;y{i}') AS c{i}" for i in range(5000)) + " FROM raw.r"
+    many = "\n".join(f"CREATE TABLE t{i} AS SELECT a, b{i} FROM raw.r WHERE x = ';' -- c;\n;" for i in range(3000))
+    deep = "SELECT " + "(" * 5000 + "SELECT 1" + ")" * 5000 + " FROM t"
+    table = scripts(wide, many, deep)
+    statements = catalog.statements(table)
+    assert {r.script_id: r["count"] for r in statements.groupBy("script_id").count().collect()} == {0: 1, 1: 3000, 2: 1}
+    parsed = models.models(statements)
+    got = {r.script_id: r.n for r in parsed.groupBy("script_id").agg({"items": "count"}).withColumnRenamed("count(items)", "n").collect()}
+    assert got == {0: 1, 1: 3000, 2: 0}
+    assert models.model_columns(parsed).where("script_id = 0").count() == 5000
+    assert parsed.where("script_id = 0").first()["items"][4999].endswith("AS c4999")
+    depth = {r.script_id: r.max_depth for r in patterns.nesting_depth(table).collect()}
+    assert depth == {0: 0, 1: 0, 2: 5000}
