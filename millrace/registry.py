@@ -112,8 +112,8 @@ def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def _questions(columns: DataFrame) -> DataFrame:
     """Every projected column of each script, and one that no script has."""
-    asked = columns.select("script_id", "column").where("column <> '*'").distinct()
-    return asked.unionByName(asked.select("script_id", F.lit("no_such_column").alias("column")).distinct())
+    asked = F.explode(F.array("column", F.lit("no_such_column")))
+    return columns.where("column <> '*'").select("script_id", asked.alias("column")).distinct()
 
 
 def _statement_queries() -> dict[str, Query]:
@@ -216,7 +216,7 @@ def _impact_queries() -> dict[str, Query]:
 
     def traced(s, d):
         parsed = stage(_models(s, d).drop("body"), "models")
-        questions = _questions(models.model_columns(parsed))
+        questions = stage(_questions(models.model_columns(parsed)), "questions")
         return trace.trace_steps(parsed, questions), questions
 
     def column_trace(s, d):
