@@ -65,7 +65,7 @@ def merge_balances(spark: SparkSession, folder: str) -> DataFrame:
 def incremental_events(spark: SparkSession, folder: str) -> DataFrame:
     """Append the events newer than the newest stored one."""
     events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type")
-    stored = events.where(F.col("ts") < F.lit(EVENTS_UNTIL).cast("timestamp_ntz")).withColumn("load", F.lit("first"))
+    stored = events.where(F.col("ts") < moment(EVENTS_UNTIL)).withColumn("load", F.lit("first"))
     return loads.incremental(stored, events.withColumn("load", F.lit("second")), "ts")
 
 
@@ -111,7 +111,7 @@ def row_count_gate(spark: SparkSession, folder: str) -> DataFrame:
 def stored_policies(spark: SparkSession, folder: str) -> DataFrame:
     """One model published under each materialisation policy, the incremental one in two runs."""
     events = table(spark, folder, "events").select("event_id", "ts", "event_type")
-    early = events.where(F.col("ts") < F.lit(EVENTS_UNTIL).cast("timestamp_ntz"))
+    early = events.where(F.col("ts") < moment(EVENTS_UNTIL))
     path = new_path(spark, "policies")
 
     def publish(policy: str) -> DataFrame:

@@ -18,7 +18,7 @@ def monthly_revenue(spark: SparkSession, folder: str, since: dt.date = dt.date(1
     """
     raw = raw_orders(spark, folder).where(F.col("order_date") >= moment(since))
     per_customer = raw.groupBy(
-        F.date_trunc("month", F.col("order_date").cast("timestamp")).cast("date").alias("month"), "customer_id"
+        F.trunc(F.col("order_date").cast("date"), "month").alias("month"), "customer_id"
     ).agg(F.sum("total_amount").alias("amount"), F.count("order_id").alias("orders"))
     region = table(spark, folder, "nation").join(
         table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")

@@ -14,8 +14,11 @@ MONEY = "decimal(15,2)"
 
 
 def moment(day: dt.date) -> Column:
-    """Midnight of ``day`` in the type of the stored timestamps, so that filters reach the scan."""
-    return F.lit(dt.datetime.combine(day, dt.time())).cast("timestamp_ntz")
+    """A day (at midnight) or a moment in the type of the stored timestamps, so that filters reach the scan.
+
+    It goes through text: a Python datetime would pass through the session time zone.
+    """
+    return F.lit(day.isoformat()).cast("timestamp_ntz")
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:

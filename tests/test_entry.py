@@ -37,6 +37,18 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate" in plan and "o_orderpriority" not in plan
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_results_do_not_depend_on_the_time_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for name in ("customer_txn", "stg_orders", "monthly_revenue", "incremental_events"):
+            ok, note = compare(spark, connect(SMALL), name, SMALL)
+            assert ok, f"{name}: {note}"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_top_n_is_cut_before_the_shuffle(spark):
     plan = registry.queries()["cross_apply_top_orders"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 2, Partial" in plan
