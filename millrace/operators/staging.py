@@ -27,11 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path under the shared folder, removed by the file system client when it closes."""
-    path = f"{shared_dir(spark)}/millrace/{tag}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    """A fresh path below the application's own folder, which goes when the application ends."""
+    root = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
