@@ -34,7 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
     groups = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).join(ids, "__row")
     keep = groups.groupBy("__group").agg(F.min("__id").alias("__id")).select(F.col("__id.__row").alias("__row"))
-    return numbered.join(staged(keep, "keep"), "__row", "left_semi").select(*[numbered[f"`{c}`"] for c in docs.columns])
+    # Texts move once, at any size: what is kept grows with the documents and is never broadcast.
+    kept = staged(keep, "keep").hint("merge")
+    return numbered.join(kept, "__row", "left_semi").select(*[numbered[f"`{c}`"] for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ import numpy as np
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for lower-case printable ASCII.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Words remembered by one worker before it starts afresh; bounds its memory, not its results.
-MOST_WORDS = 300_000
+#: Words, and the vocabulary's pieces of words, that one worker remembers before it starts afresh. They
+#: bound its memory, not its results. Pieces cost most to work out, and fewer of them are different.
+MOST_WORDS, MOST_PIECES = 250_000, 1_000_000
 
 
 class Encoder:
@@ -38,6 +39,7 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or any(map(str.isspace, t["content"])) for t in spec["added_tokens"])
         )
         self._special = [t["content"] for t in spec["added_tokens"]]
+        self._bytes = [k.to_bytes(4, "little") for k in range(1 + max(self._tokenizer.get_vocab().values()))]
         self._words: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
 
@@ -50,7 +52,6 @@ class Encoder:
         new = [w for w in set(words) if w not in known]
         if len(known) + len(new) > MOST_WORDS:
             known.clear()
-            self._pieces.clear()
             new = set(words)
         for word in new:
             known[word] = self._word(word)
@@ -70,7 +71,10 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self._pieces.get(piece)
         if ids is None:
-            ids = b"".join(t.id.to_bytes(4, "little") for t in self._tokenizer.model.tokenize(piece))
+            as_bytes = self._bytes
+            ids = b"".join([as_bytes[t.id] for t in self._tokenizer.model.tokenize(piece)])
+            if len(self._pieces) >= MOST_PIECES:
+                self._pieces.clear()
             self._pieces[piece] = ids
         return ids
 
