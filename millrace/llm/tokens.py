@@ -12,9 +12,20 @@ import numpy as np
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for lower-case printable ASCII.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Letters below this need no normalisation but lower case.
+PLAIN = "\u0180"
 #: Words, and the vocabulary's pieces of words, that one worker remembers before it starts afresh. They
 #: bound its memory, not its results. Pieces cost most to work out, and fewer of them are different.
-MOST_WORDS, MOST_PIECES = 250_000, 1_000_000
+MOST_WORDS, MOST_PIECES = 400_000, 900_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes that are no printable Latin-1 character."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {byte: 256 + k for k, byte in enumerate(b for b in range(256) if b not in printable)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -58,6 +69,11 @@ class Encoder:
         return b"".join(map(known.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
+        stem = word[:-1] if word[-1:] in (".", ",") else word
+        if stem.isalpha() and max(stem) < PLAIN and (lower := stem.lower()).isalpha():
+            if not lower.isascii():
+                lower = lower.encode().decode("latin-1").translate(BYTE_LETTERS)
+            return self._piece(lower) if stem is word else self._piece(lower) + self._piece(word[-1])
         if word.isascii() and word.isprintable() and not any(s in word for s in self._special):
             pieces = ASCII_PIECES.findall(word.lower())
         elif any(s in word for s in self._special):
