@@ -186,5 +186,7 @@ def read(manifest: DataFrame) -> DataFrame:
     # One row per shard; the running total of their sizes gives each shard's first position.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = based.repartition("shard").select("path", "base")
+    # The manifest is tiny, so only a fixed number keeps its shards in tasks of their own.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = based.repartition(tasks, "shard").select("path", "base")
     return spread.mapInPandas(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
