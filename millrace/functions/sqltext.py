@@ -4,7 +4,7 @@
 code points, one for one, so that later patterns see neither a keyword nor a separator in them;
 ``unveil`` brings them back.
 Comments are also framed by two marks, so that they can be cut out of veiled text.
-All patterns stay within the syntax that Java and RE2 share.
+All patterns but ``BLOCK`` stay within the syntax that Java and RE2 share.
 """
 
 from __future__ import annotations
@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_SCRIPT_BYTES = 5 * 1024 * 1024
-
 # The recognised aggregate names.
 AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "MEDIAN", "LISTAGG")
 
@@ -24,7 +22,8 @@ COMMENT_START, COMMENT_END = chr(_PRIVATE + 1), chr(_PRIVATE + 2)
 
 PIECES = r"""(?s)'[^']*'?|"[^"]*"|--[^\n]*|/\*.*?\*/|[^'"/\-]+|."""
 COMMENT = f"{COMMENT_START}[^{COMMENT_END}]*{COMMENT_END}"
-_GAP = rf"\s*(?:{COMMENT}\s*)*"
+# Possessive, so that a long run of comments neither recurses nor backtracks.
+_GAP = rf"\s*+(?:{COMMENT}\s*+)*+"
 BLOCK = rf"(?is)\bBEGIN\b(.*?)\bEND\b{_GAP};"
 
 _NAMED_TABLE = r"\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+(\S+)\s+AS"
@@ -73,7 +72,7 @@ def _hide(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def strip_comments(sql: Column) -> Column:

@@ -10,27 +10,31 @@ from pyspark.sql import functions as F
 from millrace.operators.staging import Rounds
 
 
-def recursive_union(anchor: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int = 1000) -> DataFrame:
+def recursive_union(
+    anchor: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds: int | None = None
+) -> DataFrame:
     """``WITH RECURSIVE r AS (anchor UNION ALL step(r))``: every round sees only the rows of the last.
 
-    Unlike the built-in recursive CTE there is no row limit, and each round is a written table.
+    Unlike the built-in recursive CTE there is no row or level limit, and each round is a written table.
+    It ends when a round is empty; ``max_rounds`` is for data that may hold a cycle.
     """
     columns = anchor.columns
     rounds = Rounds(anchor.sparkSession, "recursion")
     fresh = rounds.add(anchor)
     while fresh:
-        if rounds.count > max_rounds:
+        if max_rounds is not None and rounds.count > max_rounds:
             raise RuntimeError(f"no end within {max_rounds} rounds; the data may hold a cycle")
         fresh = rounds.add(step(rounds.last()).select(*columns))
     return rounds.all()
 
 
 def connect_by(
-    nodes: DataFrame, node: str, parent: str, start_with=None, level: str = "level", max_rounds: int = 1000
+    nodes: DataFrame, node: str, parent: str, start_with=None, level: str = "level", max_rounds: int | None = None
 ) -> DataFrame:
     """``START WITH … CONNECT BY PRIOR node = parent`` with the ``LEVEL`` pseudo-column.
 
-    By default the walk starts at rows whose parent is NULL.
+    By default the walk starts at rows whose parent is NULL. No path without a cycle has more levels
+    than there are rows, so beyond that many the data hold a cycle, which is an error.
     """
     condition = F.col(parent).isNull() if start_with is None else start_with
     columns = nodes.columns
@@ -42,4 +46,4 @@ def connect_by(
             *columns, (F.col("__level") + 1).cast("int").alias(level)
         )
 
-    return recursive_union(anchor, step, max_rounds)
+    return recursive_union(anchor, step, nodes.count() if max_rounds is None else max_rounds)

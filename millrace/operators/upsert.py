@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def _one_row_per_key(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fail when a key occurs twice, as the statement itself does.
+    """Fail when a key occurs twice, as the statement itself does; NULL keys equal nothing, so they may.
 
     The aggregation is keyed like the join that follows, so both share one exchange of the source.
     """
     rest = [c for c in source.columns if c not in keys]
-    packed = source.groupBy(*keys).agg(
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    packed = source.where(whole).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.any_value(F.struct(*rest) if rest else F.lit(0)).alias("__row")
     )
     checked = packed.withColumn(
         "__row", F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(F.lit("two source rows for one key")))
     )
-    return checked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    unique = checked.select(*keys, *[F.col("__row")[c].alias(c) for c in rest])
+    return unique.unionByName(source.where(~whole).select(*keys, *rest))
 
 
 def merge(

@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import sqltext as sql
 
 
-def accepted(scripts: DataFrame, max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataFrame:
-    """Scripts within the size limit, which bounds every per-script computation downstream."""
-    return scripts.where(F.octet_length("sql_text") <= max_bytes)
-
-
-def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataFrame:
+def statements(scripts: DataFrame, blocks: str = "drop") -> DataFrame:
     """One row per non-empty statement with its nine catalogue fields, and the veiled text for later stages.
 
     ``has_where``, ``has_group_by`` and all names come from comment-free text with literals veiled.
@@ -22,8 +17,7 @@ def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MA
     ended = F.transform("parts", lambda p, i: F.struct(p.alias("text"), (i < F.size("parts") - 1).alias("ended")))
     present = F.filter(ended, lambda x: sql.strip(sql.cut_comments(x["text"])) != "")
     split = (
-        accepted(scripts, max_bytes)
-        .select("script_id", parts)
+        scripts.select("script_id", parts)
         .select("script_id", F.posexplode(present).alias("stmt_no", "part"))
         .select("script_id", "stmt_no", "part", sql.strip(sql.cut_comments(F.col("part.text"))).alias("veiled"))
     )
@@ -48,11 +42,10 @@ def statements(scripts: DataFrame, blocks: str = "drop", max_bytes: int = sql.MA
     )
 
 
-def rejected(scripts: DataFrame, max_bytes: int = sql.MAX_SCRIPT_BYTES) -> DataFrame:
+def rejected(scripts: DataFrame) -> DataFrame:
     """Scripts that yield no statements, with the reason; the rest of the corpus goes on."""
-    size = F.octet_length("sql_text")
     text = sql.strip(F.regexp_replace(sql.cut_comments(sql.drop_blocks(sql.veil(F.col("sql_text")))), ";", " "))
-    reason = F.when(size > max_bytes, "too large").when(text == "", "no statements")
+    reason = F.when(text == "", "no statements")
     return scripts.select("script_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
@@ -64,7 +57,7 @@ def rejected_labels(statements: DataFrame) -> DataFrame:
 
 
 def normalised(scripts: DataFrame) -> DataFrame:
-    return accepted(scripts).select("script_id", sql.normalise(F.col("sql_text")).alias("clean_text"))
+    return scripts.select("script_id", sql.normalise(F.col("sql_text")).alias("clean_text"))
 
 
 def tables_touched(statements: DataFrame) -> DataFrame:
@@ -86,10 +79,11 @@ def type_rollup(statements: DataFrame) -> DataFrame:
     )
 
 
-def most_read(statements: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` tables that most statements read; ties by name."""
+def most_read(statements: DataFrame, n: int | None = None) -> DataFrame:
+    """All tables by how many statements read them, ties by name; the first ``n`` of them if asked for."""
     reads = statements.select(F.explode("source_tables").alias("table")).groupBy("table")
-    return reads.agg(F.count(F.lit(1)).alias("readers")).orderBy(F.col("readers").desc(), "table").limit(n)
+    ordered = reads.agg(F.count(F.lit(1)).alias("readers")).orderBy(F.col("readers").desc(), "table")
+    return ordered if n is None else ordered.limit(n)
 
 
 def checksums(scripts: DataFrame) -> DataFrame:

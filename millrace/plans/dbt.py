@@ -17,7 +17,7 @@ DEFAULT_MATERIALIZATION = "view"
 
 
 def _safe():
-    return F.col("name").rlike(sql.SAFE_MODEL_NAME) & (F.octet_length("sql_text") <= sql.MAX_SCRIPT_BYTES)
+    return F.col("name").rlike(sql.SAFE_MODEL_NAME)
 
 
 def parse(models: DataFrame) -> DataFrame:

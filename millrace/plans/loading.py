@@ -12,7 +12,7 @@ from millrace.operators.staging import new_path
 from millrace.operators.upsert import merge, upsert
 from millrace.plans import sales
 from millrace.plans.warehouse import AS_OF, MONEY, moment, raw_accounts, raw_customers, raw_orders
-from millrace.sources.tables import append, create_table_as, insert_values, table, truncate_load
+from millrace.sources.tables import append, create_table_as, insert_values, replace_partitions, table, truncate_load
 
 OLD_UNTIL = dt.date(2000, 6, 30)
 NEW_FROM = dt.date(2000, 1, 1)
@@ -92,7 +92,7 @@ def truncate_load_orders(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "orders-by-year")
     truncate_load(orders, path, ["order_year"])
     rerun = orders.where(F.col("order_date") >= F.lit(NEW_FROM)).withColumn("status", F.lit("R"))
-    truncate_load(rerun, path, ["order_year"])
+    replace_partitions(rerun, path, ["order_year"])
     schema = "order_id bigint, status string, order_date date, order_year int"
     back = spark.read.schema(schema).parquet(path)
     return back.withColumn("order_year", F.col("order_year").cast("bigint"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
 from millrace.operators.layout import by_script
-from millrace.plans.catalog import accepted
 
 # Pattern type, score, pattern.
 RULES = (
@@ -55,13 +54,13 @@ _MARK = "\u0001"
 _PAREN = -1
 _CTE = [rule[0] for rule in RULES].index("CTE")
 _RECURSIVE = [number for number, rule in enumerate(RULES) if rule[0] == "RECURSIVE_CTE"]
-_PARENS = r"(?i)\(\s{0,53}SELECT\b|[()]"
+_PARENS = r"(?i)\(\s*SELECT\b|[()]"
 
 
 def _searchable(scripts: DataFrame) -> DataFrame:
     """Comments blanked in place, so that offsets are those of the original text."""
     text = F.translate(sql.blank_comments(F.col("sql_text")), _MARK, " ")
-    return accepted(scripts).select("script_id", text.alias("text"))
+    return scripts.select("script_id", text.alias("text"))
 
 
 def _piece(number: int, n: Column, chars, lines, step) -> Column:
@@ -141,9 +140,10 @@ def pattern_hits(scripts: DataFrame) -> DataFrame:
         F.sum("chars").over(upto).alias("location"), (F.sum("lines").over(upto) + 1).alias("line"),
     )
     recursive = F.when(F.col("rule").isin(*_RECURSIVE), F.col("location"))
-    by_place = Window.partitionBy("script_id").orderBy("location")
-    before = F.last(recursive, True).over(by_place.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(recursive, True).over(by_place.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both frames grow from their start, so each is one pass; a frame that shrinks is redone for every row.
+    in_script, so_far = Window.partitionBy("script_id"), (Window.unboundedPreceding, Window.currentRow)
+    before = F.last(recursive, True).over(in_script.orderBy("location").rangeBetween(*so_far))
+    after = F.last(recursive, True).over(in_script.orderBy(F.col("location").desc()).rangeBetween(*so_far))
     deepest = F.max("depth").over(Window.partitionBy("script_id"))
     near = ((F.col("location") - F.col("before")) < NEAR) | ((F.col("after") - F.col("location")) < NEAR)
     is_paren, is_cte = F.col("rule") == _PAREN, F.col("rule") == _CTE
@@ -184,6 +184,6 @@ def complexity(scripts: DataFrame) -> DataFrame:
 def cte_order(scripts: DataFrame) -> DataFrame:
     """CTE names of each script in definition order, for scripts that define any."""
     text = sql.cut_comments(sql.veil(F.col("sql_text")))
-    return accepted(scripts).select(
+    return scripts.select(
         "script_id", F.posexplode(sql.cte_names(text)).alias("position", "cte")
     )

@@ -99,14 +99,16 @@ def agg_family(spark: SparkSession, folder: str) -> DataFrame:
     return basic.join(customers, "status").join(priorities, "status").join(medians, "status")
 
 
-def pivot_status(spark: SparkSession, folder: str) -> DataFrame:
+def pivot_status(spark: SparkSession, folder: str, statuses: tuple[str, ...] = ("F", "O", "P")) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
-    pivoted = orders.groupBy("year").pivot("o_orderstatus", ["F", "O", "P"]).agg(
+    # A status beyond the named ones is summed up as the rest, so that no amount is lost.
+    status = F.when(F.col("o_orderstatus").isin(*statuses), F.col("o_orderstatus")).otherwise("rest")
+    pivoted = orders.withColumn("status", status).groupBy("year").pivot("status", [*statuses, "rest"]).agg(
         F.sum(F.col("o_totalprice").cast(MONEY))
     )
     return pivoted.select(
         F.col("year").cast("bigint").alias("year"),
-        *[F.col(s).cast("double").alias(f"status_{s.lower()}") for s in ("F", "O", "P")],
+        *[F.col(s).cast("double").alias(f"status_{s.lower()}") for s in (*statuses, "rest")],
     )
 
 

@@ -52,10 +52,10 @@ def _linked(hops: DataFrame) -> DataFrame:
         "script_id", "stmt_no", F.col("output_col").alias("column"), "ord", F.lit(1).alias("asks")
     ).distinct()
     later = (
-        Window.partitionBy("script_id", "stmt_no", "column").orderBy("ord", "asks")
-        .rowsBetween(1, Window.unboundedFollowing)
+        Window.partitionBy("script_id", "stmt_no", "column").orderBy(F.col("ord").desc(), F.col("asks").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    following = F.first(F.when(F.col("asks") == 0, F.col("ord")), True).over(later)
+    following = F.last(F.when(F.col("asks") == 0, F.col("ord")), True).over(later)
     answers = (
         mention.unionByName(ask).withColumn("next_ord", following).where("asks = 1")
         .select("script_id", "stmt_no", F.col("column").alias("output_col"), "ord", "next_ord")
@@ -90,12 +90,12 @@ def trace_rollup(steps: DataFrame, statements: DataFrame, questions: DataFrame)
     cte = F.transform(sql.cte_names(F.col("veiled")), lambda n: F.lower(n))
     read = F.transform(F.regexp_extract_all("veiled", F.lit(sql.FROM_REF), F.lit(1)), lambda t: F.lower(t))
     outside = F.array_except(read, cte)
-    onward = Window.partitionBy("script_id").orderBy("stmt_no").rowsBetween(
-        Window.currentRow, Window.unboundedFollowing
+    onward = Window.partitionBy("script_id").orderBy(F.col("stmt_no").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
     origin = statements.select(
         "script_id", F.col("stmt_no").alias("first_stmt"),
-        F.first(F.try_element_at(outside, F.lit(1)), True).over(onward).alias("source_table"),
+        F.last(F.try_element_at(outside, F.lit(1)), True).over(onward).alias("source_table"),
     )
     keys = ["script_id", "column"]
     found = steps.groupBy(*keys).agg(

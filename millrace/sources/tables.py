@@ -36,11 +36,13 @@ def insert_values(target: DataFrame, rows: Sequence[Sequence]) -> DataFrame:
 
 
 def truncate_load(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """``TRUNCATE`` + ``INSERT``. With partition columns only the partitions present in ``df`` are replaced."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    """``TRUNCATE`` + ``INSERT``: nothing of the old table stays, whatever its partitions."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace the partitions that occur in ``df``; all others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:

@@ -162,7 +162,8 @@ SQL = {
     "pivot_status": f"""
         SELECT year(o_orderdate) AS year,
                {', '.join(f"(sum(o_totalprice::{MONEY}) FILTER (o_orderstatus = '{s}'))::DOUBLE AS status_{s.lower()}"
-                          for s in 'FOP')}
+                          for s in 'FOP')},
+               (sum(o_totalprice::{MONEY}) FILTER (coalesce(o_orderstatus NOT IN ('F', 'O', 'P'), true)))::DOUBLE AS status_rest
         FROM orders GROUP BY 1""",
     "unpivot_measures": " UNION ALL ".join(
         f"""SELECT l_returnflag AS return_flag, l_linestatus AS line_status, '{m}' AS measure,

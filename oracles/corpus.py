@@ -62,7 +62,7 @@ def statements_of(source: str, out: str) -> str:
     veiled = rebuilt("sql_text", f"{q(t.COMMENT_START)} || {hidden('p')} || {q(t.COMMENT_END)}", hidden("p"))
     clean = trim(f"regexp_replace(part, {q(t.COMMENT)}, ' ', 'g')")
     return f"""
-{out}_v AS (SELECT script_id, string_split(regexp_replace({veiled}, {q(t.BLOCK)}, '', 'g'), ';') AS parts FROM {source}),
+{out}_v AS (SELECT script_id, string_split(regexp_replace({veiled}, {q(t.BLOCK.replace('*+', '*'))}, '', 'g'), ';') AS parts FROM {source}),
 {out}_p AS (SELECT script_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM {out}_v),
 {out}_c AS (SELECT *, {clean} AS veiled, row_number() OVER (PARTITION BY script_id ORDER BY i) - 1 AS stmt_no
             FROM {out}_p WHERE {clean} <> ''),
@@ -272,7 +272,7 @@ found AS (SELECT script_id, pattern_type, score, i, n,
 hit AS (SELECT script_id, pattern_type, score, location FROM found WHERE i < n),
 prn AS (SELECT script_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (
           SELECT script_id, regexp_extract_all(regexp_replace(txt, '''[^'']*''', '''''', 'g'),
-                                               '(?i)\\(\\s{{0,53}}SELECT\\b|[()]') AS toks FROM txt)),
+                                               '(?i)\\(\\s*SELECT\\b|[()]') AS toks FROM txt)),
 ttl AS (SELECT *, sum(CASE tok WHEN ')' THEN -1 ELSE 1 END) OVER (PARTITION BY script_id ORDER BY i) AS total FROM prn),
 dep AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY script_id ORDER BY i)) AS depth FROM ttl),
 depths AS (SELECT s.script_id, coalesce(max(depth) FILTER (length(tok) > 1), 0) AS max_depth
@@ -373,7 +373,7 @@ SQL = {
         count(*) FILTER ({has('veiled', '(?i)' + chr(92) + 'bGROUP' + chr(92) + 's+BY' + chr(92) + 'b')}) AS "grouped"
         FROM catalog GROUP BY 1""",
     "most_read_tables": f"""WITH {STATEMENTS} SELECT tbl AS "table", count(*) AS readers FROM stm_src GROUP BY 1
-        ORDER BY readers DESC, 1 LIMIT 20""",
+        ORDER BY readers DESC, 1""",
     "script_changes": f"""WITH {VERSIONS} SELECT id AS script_id, 'changed' AS change, sha256(v1) AS old_checksum,
         sha256(v2) AS new_checksum FROM vers WHERE v1 <> v2""",
     "pattern_hits": f"WITH {HITS} SELECT script_id, pattern_type, location::BIGINT AS location, complexity_score FROM hits",

@@ -102,15 +102,17 @@ def test_blocks_are_dropped_or_unwrapped(scripts):
 
 
 def test_rejected(scripts):
-    table = scripts("", "  \n", "-- only\n/* remarks; */ ;;", "SELECT 1 FROM a", "SELECT '" + "x" * 60 + "' FROM a")
-    got = {r.script_id: r.reason for r in catalog.rejected(table, max_bytes=50).collect()}
-    assert got == {0: "no statements", 1: "no statements", 2: "no statements", 4: "too large"}
-    assert {r.script_id for r in catalog.statements(table, max_bytes=50).collect()} == {3}
+    table = scripts("", "  \n", "-- only\n/* remarks; */ ;;", "SELECT 1 FROM a", "SELECT '" + "x" * 6_000_000 + "' FROM a")
+    got = {r.script_id: r.reason for r in catalog.rejected(table).collect()}
+    assert got == {0: "no statements", 1: "no statements", 2: "no statements"}
+    assert {r.script_id for r in catalog.statements(table).select("script_id").collect()} == {3, 4}
 
 
-def test_size_limit_counts_bytes(scripts):
-    table = scripts("SELECT 'é' FROM a")
-    assert catalog.accepted(table, 17).count() == 0 and catalog.accepted(table, 18).count() == 1
+def test_long_runs_of_comments_and_blanks(scripts):
+    remarks = "BEGIN x := CASE WHEN 1 THEN 2 END" + "\n-- remark" * 20_000 + "\n; SELECT 1 FROM a"
+    blanks = "SELECT 1" + " " * 1_000_000 + "FROM b"
+    got = catalog.statements(scripts(remarks, blanks)).select("script_id", "source_tables").collect()
+    assert {r.script_id: r.source_tables for r in got if r.source_tables} == {0: ["a"], 1: ["b"]}
 
 
 def test_normalise(scripts):

@@ -109,7 +109,7 @@ def test_create_append_replace_and_partition_refresh(spark):
     assert spark.read.parquet(path).count() == 2
     parts = new_path(spark, "p")
     tables.truncate_load(df, parts, ["p"])
-    tables.truncate_load(spark.createDataFrame([(9, "y")], df.schema), parts, ["p"])
+    tables.replace_partitions(spark.createDataFrame([(9, "y")], df.schema), parts, ["p"])
     assert rows(spark.read.parquet(parts).select("id", "p")) == [(1, "x"), (9, "y")]
     tables.truncate_load(df, path)
     assert spark.read.parquet(path).count() == 2
@@ -151,3 +151,17 @@ def test_staged_table_is_a_plain_read(spark):
     assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 5
     assert shared_dir(spark) in df.inputFiles()[0]
+
+
+def test_source_rows_without_a_key_never_match(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    source = spark.createDataFrame([(1, "c"), (None, "d"), (None, "e")], target.schema)
+    got = upsert(target, source, ["k"], ["v"])
+    assert sorted(((r.k or 0), r.v) for r in got.collect()) == [(0, "b"), (0, "d"), (0, "e"), (1, "c")]
+
+
+def test_full_refresh_leaves_nothing_behind(spark):
+    path = f"{new_path(spark, 'refresh')}/t"
+    tables.truncate_load(spark.createDataFrame([(1, "x"), (2, "y")], "v int, p string"), path, ["p"])
+    tables.truncate_load(spark.createDataFrame([(9, "y")], "v int, p string"), path, ["p"])
+    assert [(r.v, r.p) for r in spark.read.parquet(path).collect()] == [(9, "y")]

@@ -106,3 +106,8 @@ def test_cte_order(scripts):
     got = [r.cte for r in patterns.cte_order(scripts(text)).orderBy("position").collect()]
     assert got == ["base", "mid", "last"]
     assert patterns.cte_order(scripts("SELECT CAST(a AS (b)) FROM t")).count() == 0
+
+
+def test_any_number_of_blanks_before_a_subquery_counts(scripts):
+    text = "SELECT 1 FROM (" + " " * 5000 + "SELECT 2 FROM a) x"
+    assert [r.max_depth for r in patterns.nesting_depth(scripts(text)).collect()] == [1]
