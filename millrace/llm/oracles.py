@@ -1,5 +1,86 @@
-"""The DuckDB statement of every query of this subpackage that SQL can express."""
+"""The DuckDB statement of every query of this subpackage that SQL can express.
+
+The other queries rest on a trained model, a tokenizer, a 64-bit hash that DuckDB lacks or an iterative
+method; their tests compare them with plain Python.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from millrace.llm import chat, line_rules
+from millrace.llm.queries import ESCAPE_TEST
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _escaped(x: str) -> str:
+    for plain, stands in chat.ESCAPES:
+        x = f"replace({x}, {_q(plain)}, {_q(stands)})"
+    return x
+
+
+def _words(x: str) -> str:
+    parts = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"regexp_extract_all(translate(coalesce({x}, ''), '{UPPER}', '{LOWER}'), '{parts}')"
+
+
+_ORDER = "ORDER BY turn, role, text"
+_FAILS = " OR ".join(
+    [
+        f"regexp_matches(l, {_q(line_rules.NAVIGATION)})",
+        *[f"len(regexp_extract_all(l, {_q(p)})) >= {line_rules.MOST_NOISE}" for p in line_rules.NOISE],
+        *[f"contains(lower(l), {_q(p)})" for p in line_rules.BOILERPLATE],
+    ]
+)
+_BLANK = r"[\x20\x09-\x0D]"
+
+SQL: dict[str, str] = {
+    "op1_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', {_q(ESCAPE_TEST)}), (-7, 1, 'assistant', {_q(ESCAPE_TEST)}))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length({_escaped('role')}) + length({_escaped('text')})
+                   + {len(chat.HEAD) + len(chat.OPEN) + len(chat.CLOSE)})::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op2_decontaminate": f"""
+        WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+        b AS (SELECT item_id, {_words('text')} AS w FROM benchmark),
+        win AS (SELECT DISTINCT item_id, w[i:i + 9] AS g FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i)
+                WHERE len(w) > 0),
+        sizes AS (SELECT DISTINCT len(g) AS n FROM win),
+        runs AS (SELECT doc_id, n, i, w[i:i + n - 1] AS g FROM d, sizes, unnest(range(1, len(w) - n + 2)) u(i)),
+        hits AS (SELECT doc_id, i, n, item_id FROM runs JOIN win USING (g)),
+        covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) u(p) GROUP BY 1),
+        items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS digest
+                  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_line_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, regexp_extract_all(t, '[^{_BLANK[1:-1]}]+') AS w FROM d),
+        tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 2]) AS n
+                FROM w, unnest(range(1, len(w) - 1)) u(i)),
+        rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM tri, unnest([i, i + 1, i + 2]) u(p) WHERE n > 1 GROUP BY 1),
+        spoken AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+                   WHERE regexp_matches(l, '[^{_BLANK[1:-1]}]')),
+        lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup,
+                         coalesce(sum(length(regexp_replace(l, '{_BLANK}+', '', 'g'))) FILTER (NOT ({_FAILS})), 0) AS left_chars
+                  FROM spoken GROUP BY 1),
+        m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g'))::BIGINT AS word_chars,
+                     len(regexp_extract_all(t, {_q(line_rules.SYMBOLS)}))::BIGINT AS n_symbols,
+                     coalesce(dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(left_chars, 0) AS left_chars
+              FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
+        f AS (SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.MOST_REPEATED} * n_words AS base_failed
+              FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND 1 - left_chars::DOUBLE / greatest(word_chars, 1)::DOUBLE <= {line_rules.MOST_LOST} AS kept
+        FROM f""",
+}
