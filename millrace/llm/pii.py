@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,7 +101,8 @@ def _read(text: str | None) -> tuple[list[tuple], list[tuple]]:
         return [], []
     base = base_spans(text)
     seeds = [(*s, context(text, s[0]), text[s[0] : s[2]].lower()) for s in base]
-    more, k = [], 0
+    more, at = [], 0
+    reach = list(accumulate((s[2] for s in base), max))
     for m in MENTION.finditer(text):
         value = m[0].strip(".,;:!?\"'()<>[]{}")
         kind = shape(value)
@@ -108,7 +110,10 @@ def _read(text: str | None) -> tuple[list[tuple], list[tuple]]:
             continue
         start = m.start() + m[0].index(value)
         end = start + len(value)
-        if not any(s[0] < end and start < s[2] for s in base):
+        # Base spans before ``at`` end before this mention, as mentions come in order.
+        while at < len(base) and reach[at] <= start:
+            at += 1
+        if at == len(base) or base[at][0] >= end:
             more.append((start, KINDS.index(kind), end, kind, context(text, start), value.lower()))
     return seeds, more
 
