@@ -99,6 +99,14 @@ def agg_family(spark: SparkSession, folder: str) -> DataFrame:
     return basic.join(customers, "status").join(priorities, "status").join(medians, "status")
 
 
+def listagg_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``LISTAGG`` of every line of an order, repeated values included."""
+    flags = F.expr("listagg(l_returnflag, ',') WITHIN GROUP (ORDER BY l_linenumber, l_returnflag)")
+    return table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        flags.alias("return_flags"), F.count("l_returnflag").alias("flag_count")
+    )
+
+
 def pivot_status(spark: SparkSession, folder: str, statuses: tuple[str, ...] = ("F", "O", "P")) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
     # A status beyond the named ones is summed up as the rest, so that no amount is lost.

@@ -58,6 +58,7 @@ def _business() -> dict[str, Query]:
         "cross_apply_top_orders": shapes.cross_apply_top_orders,
         "outer_apply_top_order": shapes.outer_apply_top_order,
         "lateral_totals": shapes.lateral_totals,
+        "listagg_lines": shapes.listagg_lines,
         "nested_subquery": shapes.nested_subquery,
         "scalar_subquery_filter": shapes.scalar_subquery_filter,
         "self_join_managers": shapes.self_join_managers,

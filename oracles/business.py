@@ -159,6 +159,9 @@ SQL = {
                string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities,
                round(median(a::DOUBLE), 3) AS median_amount
         FROM (SELECT *, o_totalprice::{MONEY} AS a FROM orders) GROUP BY o_orderstatus""",
+    "listagg_lines": """
+        SELECT l_orderkey AS order_id, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS return_flags,
+               count(l_returnflag) AS flag_count FROM lineitem GROUP BY l_orderkey""",
     "pivot_status": f"""
         SELECT year(o_orderdate) AS year,
                {', '.join(f"(sum(o_totalprice::{MONEY}) FILTER (o_orderstatus = '{s}'))::DOUBLE AS status_{s.lower()}"
