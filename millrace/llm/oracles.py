@@ -37,6 +37,42 @@ _FAILS = " OR ".join(
 )
 _BLANK = r"[\x20\x09-\x0D]"
 
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_SIGN = r"""["']?\x20*[:=]\x20*["']?"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+#: Kinds of secrets in their order: pattern, what of a match is measured, and its least length.
+_ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + f"){_SIGN}({_VALUE})"
+_BASE = {
+    "assign": (_ASSIGN, f"length(regexp_extract(m[i], {_q(_ASSIGN)}, 2))", 8),
+    "access": ("AKIA[A-Z0-9]+", "length(m[i])", 16),
+    "hex": ("[0-9a-f]+", "length(m[i])", 32),
+}
+_SECRETS = _BASE | {
+    "private_key": (r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----", "1", 0),
+    "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", "1", 0),
+    "slack": (r"xox[abprs]-[A-Za-z0-9-]{10,}", "1", 0),
+    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "1", 0),
+}
+
+
+def _secret_spans(place: int, kind: str) -> str:
+    """All spans of one kind: what lies before a match are the parts and the matches before it."""
+    pattern, measured, least = _SECRETS[kind]
+    sums = "coalesce(list_sum([length(x) for x in s[1:i]]), 0) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0)"
+    return f"""
+        SELECT row, {place} AS place, {_q(kind)} AS kind, ({sums})::BIGINT AS a, ({sums} + length(m[i]))::BIGINT AS z
+        FROM (SELECT row, regexp_extract_all(t, {_q(pattern)}) AS m, string_split_regex(t, {_q(pattern)}) AS s FROM d),
+             unnest(range(1, len(m) + 1)) u(i) WHERE {measured} >= {least}"""
+
+
+_JOINED = "coalesce(string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, place){}, '')"
+_IS_BASE = f"FILTER (place < {len(_BASE)})"
+
 SQL: dict[str, str] = {
     "op1_chat_format": f"""
         WITH t AS (
@@ -63,6 +99,13 @@ SQL: dict[str, str] = {
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_secrets": f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+        f AS ({" UNION ALL ".join(_secret_spans(k, kind) for k, kind in enumerate(_SECRETS))})
+        SELECT any_value(doc_id) AS doc_id,
+               {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _BASE)},
+               sha256({_JOINED.format(" " + _IS_BASE)}) AS base_sha256, {_JOINED.format("")} AS spans
+        FROM d LEFT JOIN f USING (row) GROUP BY row""",
     "op9_line_rules": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, t, regexp_extract_all(t, '[^{_BLANK[1:-1]}]+') AS w FROM d),

@@ -49,7 +49,7 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontaminate", "op9_line_rules"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontaminate", "op5_secrets", "op9_line_rules"])
 def test_equal_to_duckdb(spark, name):
     ok, note = compare(spark, connect(SMALL), name, SMALL)
     assert ok, note
