@@ -295,6 +295,13 @@ def test_licences(docs):
     assert found[0].n_paragraphs == 0 and sum(r.n_licences for r in found.values()) == 1
 
 
+def test_licences_of_a_long_line(spark):
+    line = "the house by the sea is under the hill " * 10_000
+    rows = spark.createDataFrame([(1, line + "\nReleased under the MIT License.")], "doc_id long, text string")
+    (got,) = license_model.scan(rows, license_model.train(rows)).collect()
+    assert (got.n_paragraphs, [f.family for f in got.found]) == (2, ["MIT"])
+
+
 def test_pipeline_stages_keep_columns(spark, docs):
     kept = docs
     for name, stage in corpus_pipeline.STAGES[1:4]:
