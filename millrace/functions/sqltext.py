@@ -2,7 +2,8 @@
 
 ``veil`` moves every character of string literals, double-quoted identifiers and comments to private
 code points, one for one, so that later patterns see neither a keyword nor a separator in them;
-``unveil`` brings them back.
+``unveil`` brings them back. The quotes of an identifier stay, and no other double quote does, so a
+pattern knows a quoted name by them. Table names keep their quotes, column names lose them.
 Comments are also framed by two marks, so that they can be cut out of veiled text.
 All patterns but ``BLOCK`` stay within the syntax that Java and RE2 share.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "MEDIAN", "LISTAGG")
 
 _PRIVATE = 0x10F000
-PLAIN = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) not in "'\"")
+PLAIN = "".join(chr(c) for c in range(0x20, 0x7F) if chr(c) != "'")
 VEILED = "".join(chr(_PRIVATE + ord(c)) for c in PLAIN)
 COMMENT_START, COMMENT_END = chr(_PRIVATE + 1), chr(_PRIVATE + 2)
 
@@ -26,20 +27,23 @@ COMMENT = f"{COMMENT_START}[^{COMMENT_END}]*{COMMENT_END}"
 _GAP = rf"\s*+(?:{COMMENT}\s*+)*+"
 BLOCK = rf"(?is)\bBEGIN\b(.*?)\bEND\b{_GAP};"
 
-_NAMED_TABLE = r"\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+(\S+)\s+AS"
-_INTO = r"\bINSERT\s+INTO\s+([^\s(]+)(?:\s*\([^()]*\)\s*|\s+)"
+_QUOTED = r'"[^"]*"'
+WORD = rf"(?:\w+|{_QUOTED})"
+_NAMED_TABLE = rf'\bCREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+((?:[^\s"]|{_QUOTED})[^\s"]*(?:{_QUOTED}[^\s"]*)*)\s+AS'
+_INTO = rf'\bINSERT\s+INTO\s+((?:[^\s("]|{_QUOTED})[^\s("]*(?:{_QUOTED}[^\s("]*)*)(?:\s*\([^()]*\)\s*|\s+)'
 CTAS = rf"(?is){_NAMED_TABLE}\s*\(?\s*(?:SELECT|WITH)\b"
 INSERT_SELECT = rf"(?is){_INTO}\(?\s*(?:SELECT|WITH)\b"
 INSERT_VALUES = rf"(?is){_INTO}VALUES\b"
 CTAS_BODY = rf"(?is){_NAMED_TABLE}\s*(.*)$"
 INSERT_BODY = rf"(?is){_INTO}(.*)$"
-TABLE_REF = r"(?i)\b(?:FROM|JOIN)\s+(\w+(?:\.\w+)*)"
-FROM_REF = r"(?i)\bFROM\s+(\w+(?:\.\w+)?)\b"
-CTE_NAME = r"(?i)\b(\w+)\s*(?:\([^()]*\)\s*)?\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
+TABLE_REF = rf"(?i)\b(?:FROM|JOIN)\s+({WORD}(?:\.{WORD})*)"
+FROM_REF = rf"(?i)\bFROM\s+({WORD}(?:\.{WORD})?)"
+CTE_NAME = rf"(?i)(\b\w+|{_QUOTED})\s*(?:\([^()]*\)\s*)?\bAS\s*(?:(?:NOT\s+)?MATERIALIZED\s*)?\("
 AGGREGATE = rf"(?i)\b({'|'.join(AGGREGATES)})\s*\("
 WINDOW = r"(?i)\bOVER\s*\("
 CAST = r"(?is)\bCAST\s*\(.+?\s+AS\s+(\w+(?:\s*\(\s*\d+\s*(?:,\s*\d+\s*)?\))?)\s*\)"
-ALIAS = r"(?i)\bAS\s+(\w+)\s*$"
+ALIAS = rf"(?i)\bAS\s+({WORD})\s*$"
+LAST_PART = rf'({_QUOTED}|[^".]*)$'
 SAFE_IDENTIFIER = r"^[a-zA-Z0-9_.\-]+$"
 SAFE_MODEL_NAME = r"^[a-zA-Z][a-zA-Z0-9_]*$"
 
@@ -86,7 +90,12 @@ def blank_comments(sql: Column) -> Column:
 
 
 def veil(sql: Column) -> Column:
-    return _rebuild(sql, lambda p: F.concat(F.lit(COMMENT_START), _hide(p), F.lit(COMMENT_END)), _hide)
+    def quoted(p: Column) -> Column:
+        inner = F.substring(p, F.lit(2), F.length(p) - 2)
+        named = p.startswith('"') & (F.length(p) > 1)
+        return F.when(named, F.concat(F.lit('"'), _hide(inner), F.lit('"'))).otherwise(_hide(p))
+
+    return _rebuild(sql, lambda p: F.concat(F.lit(COMMENT_START), _hide(p), F.lit(COMMENT_END)), quoted)
 
 
 def unveil(text: Column) -> Column:
@@ -116,12 +125,18 @@ def normalise(sql: Column) -> Column:
 
 
 def table_name(name: Column) -> Column:
-    """Lower case without trailing punctuation."""
-    return F.regexp_replace(F.lower(name), r"[);,]+$", "")
+    """Lower case without trailing punctuation, of a name in veiled text."""
+    return F.regexp_replace(F.lower(unveil(name)), r"[);,]+$", "")
 
 
 def last_part(name: Column) -> Column:
-    return F.regexp_replace(name, r"^.*\.", "")
+    """What follows the last dot outside quotes."""
+    return F.regexp_extract(name, LAST_PART, 1)
+
+
+def bare_name(word: Column) -> Column:
+    """A column's name, quoted or not, in lower case without quotes."""
+    return F.lower(unveil(F.translate(word, '"', "")))
 
 
 def statement_type(sql: Column) -> Column:
@@ -159,7 +174,7 @@ def cte_names(sql: Column) -> Column:
     """Names defined after the first WITH, in order."""
     after = F.regexp_extract(sql, r"(?is)\bWITH\b.*$", 0)
     found = F.regexp_extract_all(after, F.lit(CTE_NAME), F.lit(1))
-    return F.filter(found, lambda n: ~F.upper(n).isin(*NOT_A_CTE))
+    return F.transform(F.filter(found, lambda n: ~F.upper(n).isin(*NOT_A_CTE)), lambda n: unveil(n))
 
 
 def source_tables(sql: Column, target: Column) -> Column:
@@ -192,8 +207,8 @@ def safe_label(label: Column) -> Column:
 def column_name(expr: Column) -> Column:
     """Output name of a select item: its alias, else its last bare word; NULL when it has none."""
     alias = F.regexp_extract(expr, ALIAS, 1)
-    words = F.filter(F.split(expr, r"[\s,.()+*/\-]"), lambda t: t.rlike(r"^\w+$"))
-    return F.lower(
+    words = F.filter(F.split(expr, r"[\s,.()+*/\-]"), lambda t: t.rlike(f"^{WORD}$"))
+    return bare_name(
         F.when(strip(expr) == "*", "*").when(alias != "", alias).otherwise(F.try_element_at(words, F.lit(-1)))
     )
 
@@ -230,9 +245,9 @@ def transformation(expr: Column) -> Column:
 
 
 def words(expr: Column) -> Column:
-    """Distinct lower-case bare words of a veiled expression."""
-    found = F.regexp_extract_all(expr, F.lit(r"\w+"), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda w: F.lower(w)))
+    """Distinct words and quoted names of a veiled expression, in lower case without quotes."""
+    found = F.regexp_extract_all(expr, F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda w: bare_name(w)))
 
 
 _CUT = " [...]"

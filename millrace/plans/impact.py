@@ -51,9 +51,13 @@ def column_index(digest: DataFrame) -> DataFrame:
 
 
 def tasks(statements: DataFrame) -> DataFrame:
-    """One task per statement with a target: ``(script_id, task_id, source_tables, target_table, raw_sql)``."""
+    """One task per statement with a target, known by its statement; the label is for display only.
+
+    ``(script_id, task_id, label, source_tables, target_table, raw_sql)``
+    """
     return statements.where("target_table IS NOT NULL").select(
-        "script_id", sql.safe_label(F.col("label")).alias("task_id"), "source_tables", "target_table", "raw_sql"
+        "script_id", F.concat(F.lit("stmt_"), F.col("stmt_no").cast("string")).alias("task_id"),
+        sql.safe_label(F.col("label")).alias("label"), "source_tables", "target_table", "raw_sql",
     )
 
 

@@ -36,16 +36,11 @@ def nodes(digest: DataFrame, tasks: DataFrame) -> DataFrame:
         "script_id", "id", F.when(F.col("id").contains("."), "table").otherwise("cte").alias("node_type"),
         F.concat(F.lit("Referenced as: "), "id").alias("snippet"), F.lit(0).cast("bigint").alias("column_count"),
     )
-    task_nodes = tasks.groupBy("script_id", F.col("task_id").alias("id")).agg(
-        F.min(F.substring("raw_sql", 1, TASK_SNIPPET)).alias("snippet")
-    ).select(
-        "script_id", "id", F.lit("dag_task").alias("node_type"), "snippet",
-        F.lit(0).cast("bigint").alias("column_count"),
-    )
-    every = defined.unionByName(referenced).unionByName(task_nodes)
-    return every.withColumn(
-        "label", F.when(F.col("node_type") == "dag_task", F.col("id")).otherwise(sql.last_part(F.col("id")))
+    task_nodes = tasks.select(
+        "script_id", F.col("task_id").alias("id"), F.lit("dag_task").alias("node_type"),
+        F.substring("raw_sql", 1, TASK_SNIPPET).alias("snippet"), F.lit(0).cast("bigint").alias("column_count"), "label",
     )
+    return defined.unionByName(referenced).withColumn("label", sql.last_part(F.col("id"))).unionByName(task_nodes)
 
 
 def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:

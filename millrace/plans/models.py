@@ -140,7 +140,7 @@ def models(statements: DataFrame) -> DataFrame:
     is_final = F.col("ord") == _FINAL
     ctes_before = F.count(F.lit(1)).over(Window.partitionBy("script_id", "stmt_no")) - 1
     items = F.transform(F.col("parts"), lambda p: sql.strip(F.regexp_replace(p, "^,", "")))
-    cte_name = F.lower(F.regexp_extract("head", r"^[\s,]*(\w+)", 1))
+    cte_name = sql.table_name(F.regexp_extract("head", rf"^[\s,]*({sql.WORD})", 1))
     return grouped.where("has_body").select(
         "script_id",
         "stmt_no",

@@ -33,7 +33,7 @@ def hops(models: DataFrame) -> DataFrame:
     """The first item per select and mentioned word, with the name it goes on under."""
     item = models.select("script_id", "stmt_no", "ord", F.posexplode("items").alias("item", "expr"))
     read = item.select(
-        "script_id", "stmt_no", "ord", "item", F.lower(F.regexp_extract("expr", sql.ALIAS, 1)).alias("alias"),
+        "script_id", "stmt_no", "ord", "item", sql.bare_name(F.regexp_extract("expr", sql.ALIAS, 1)).alias("alias"),
         sql.words(F.col("expr")).alias("words"),
     )
     word = read.select("script_id", "stmt_no", "ord", "item", "alias", F.explode("words").alias("input_col"))
@@ -88,7 +88,7 @@ def trace_steps(models: DataFrame, questions: DataFrame) -> DataFrame:
 def trace_rollup(steps: DataFrame, statements: DataFrame, questions: DataFrame) -> DataFrame:
     """Found, depth, final output and source table of every asked column."""
     cte = F.transform(sql.cte_names(F.col("veiled")), lambda n: F.lower(n))
-    read = F.transform(F.regexp_extract_all("veiled", F.lit(sql.FROM_REF), F.lit(1)), lambda t: F.lower(t))
+    read = F.transform(F.regexp_extract_all("veiled", F.lit(sql.FROM_REF), F.lit(1)), lambda t: sql.table_name(t))
     outside = F.array_except(read, cte)
     onward = Window.partitionBy("script_id").orderBy(F.col("stmt_no").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -159,8 +159,17 @@ INSERT INTO dw.first_{k} SELECT id, grand AS total FROM dw.second_{k};
 CREATE TABLE dw.odd$name_{k} AS SELECT id, total FROM dw.first_{k} f JOIN dw.second_{k} s USING (id);
 """
 
+QUOTED = """CREATE TABLE "Lab"."Sample Runs {k}" AS
+WITH "Raw Reads" AS (SELECT r."Probe Id", r.level AS "Level, mV", 'a "b" from x.y' AS note FROM "Lab"."Reads" r),
+clean AS (SELECT "Probe Id", "Level, mV" * 2 AS doubled FROM "Raw Reads" JOIN lab.probes USING ("Probe Id"))
+SELECT "Probe Id", MAX(doubled) AS "Top Level" FROM clean GROUP BY "Probe Id";
+INSERT INTO lab."Select From" ("Probe Id", top) SELECT "Probe Id", "Top Level" AS top FROM "Lab"."Sample Runs {k}";
+INSERT INTO old."Select From" ("Probe Id", top) SELECT "Probe Id", "Top Level" AS top FROM "Lab"."Sample Runs {k}";
+"""
+
 TEMPLATES = (
     CHAIN, DIAMOND, CTES, UNION, WINDOWS, PROCEDURE, LITERALS, CYCLE, VALUES, SHAPES, NESTED, REMARK, MART, REBUILD,
+    QUOTED,
 )
 
 # Pairs of successive versions of one script.

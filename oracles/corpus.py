@@ -29,17 +29,30 @@ def shown(x: str) -> str:
     return f"translate(translate({x}, {q(t.COMMENT_START + t.COMMENT_END)}, ''), {q(t.VEILED)}, {q(t.PLAIN)})"
 
 
+def veiled_piece(p: str) -> str:
+    inner = hidden(f"substring({p}, 2, length({p}) - 2)")
+    return f"""CASE WHEN {p}[1] = '"' AND length({p}) > 1 THEN '"' || {inner} || '"' ELSE {hidden(p)} END"""
+
+
+def bare(x: str) -> str:
+    return f"lower({shown(f"replace({x}, chr(34), '')")})"
+
+
+WORDS = r'\w+|"[^"]*"'
+TOKENS = r'[(),]|"[^"]*"|\w+|[^(),"\w]+'
+
+
 def rebuilt(x: str, comment: str, quoted: str) -> str:
     return f"""array_to_string(list_transform(regexp_extract_all({x}, {q(t.PIECES)}), lambda p:
         CASE WHEN p[1:2] IN ('--', '/*') THEN {comment} WHEN p[1] IN ('''', '"') THEN {quoted} ELSE p END), '')"""
 
 
 def last_part(x: str) -> str:
-    return f"regexp_replace({x}, '^.*\\.', '')"
+    return f"regexp_extract({x}, '(\"[^\"]*\"|[^\".]*)$', 1)"
 
 
 def named(x: str) -> str:
-    return f"regexp_replace(lower({x}), '[);,]+$', '')"
+    return f"regexp_replace(lower({shown(x)}), '[);,]+$', '')"
 
 
 def has(x: str, pattern: str) -> str:
@@ -59,7 +72,7 @@ scripts AS (SELECT c_custkey AS script_id, {_filled('body')} AS sql_text
 
 def statements_of(source: str, out: str) -> str:
     """CTEs that split the scripts of ``source`` into ``out``."""
-    veiled = rebuilt("sql_text", f"{q(t.COMMENT_START)} || {hidden('p')} || {q(t.COMMENT_END)}", hidden("p"))
+    veiled = rebuilt("sql_text", f"{q(t.COMMENT_START)} || {hidden('p')} || {q(t.COMMENT_END)}", veiled_piece("p"))
     clean = trim(f"regexp_replace(part, {q(t.COMMENT)}, ' ', 'g')")
     return f"""
 {out}_v AS (SELECT script_id, string_split(regexp_replace({veiled}, {q(t.BLOCK.replace('*+', '*'))}, '', 'g'), ';') AS parts FROM {source}),
@@ -78,8 +91,8 @@ def statements_of(source: str, out: str) -> str:
 
 def cte_list(x: str) -> str:
     stop = ", ".join(q(w) for w in t.NOT_A_CTE)
-    return f"""list_filter(regexp_extract_all(regexp_extract({x}, '(?is)\\bWITH\\b.*$'), {q(t.CTE_NAME)}, 1),
-                           lambda n: upper(n) NOT IN ({stop}))"""
+    return f"""list_transform(list_filter(regexp_extract_all(regexp_extract({x}, '(?is)\\bWITH\\b.*$'), {q(t.CTE_NAME)}, 1),
+                                          lambda n: upper(n) NOT IN ({stop})), lambda n: {shown('n')})"""
 
 
 def refs_of(source: str, out: str, text: str, keys: str) -> str:
@@ -133,7 +146,7 @@ def bodies_of(source: str, out: str) -> str:
 {out}_w AS (SELECT *, {has('body', r'(?i)^\s*WITH\b')} AS has_with,
               regexp_replace(body, '(?i)^\\s*WITH\\s+(?:RECURSIVE\\s+)?', '') AS inner_sql FROM {out}_b),
 {out}_t AS (SELECT script_id, stmt_no, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (
-              SELECT *, regexp_extract_all(inner_sql, '[(),]|\\w+|[^(),\\w]+') AS toks FROM {out}_w WHERE has_with)),
+              SELECT *, regexp_extract_all(inner_sql, {q(TOKENS)}) AS toks FROM {out}_w WHERE has_with)),
 {out}_l AS (SELECT *, sum(length(tok)) OVER w - length(tok) AS off,
               sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w - CASE tok WHEN '(' THEN 1 ELSE 0 END AS lvl
             FROM {out}_t WINDOW w AS (PARTITION BY script_id, stmt_no ORDER BY pos)),
@@ -151,9 +164,9 @@ def bodies_of(source: str, out: str) -> str:
                FROM {out}_close),
 {out}_name AS (SELECT h.script_id, h.stmt_no, h.ord, h.off, h.close_off, arg_min(z.tok, z.pos) AS name FROM {out}_head h
                JOIN {out}_z z ON h.script_id = z.script_id AND h.stmt_no = z.stmt_no AND z.pos > h.after_pos
-                AND z.pos < h.pos AND regexp_full_match(z.tok, '\\w+') GROUP BY ALL),
+                AND z.pos < h.pos AND regexp_full_match(z.tok, {q(WORDS)}) GROUP BY ALL),
 {out}_n AS (SELECT script_id, stmt_no, count(*) AS n FROM {out}_name GROUP BY ALL),
-{out} AS (SELECT n.script_id, n.stmt_no, n.ord, false AS is_final, lower(n.name) AS name,
+{out} AS (SELECT n.script_id, n.stmt_no, n.ord, false AS is_final, {named('n.name')} AS name,
             {trim('substring(inner_sql, n.off::BIGINT + 2, (n.close_off - n.off)::BIGINT - 1)')} AS body
           FROM {out}_name n JOIN {out}_w w USING (script_id, stmt_no)
           UNION ALL
@@ -168,7 +181,7 @@ def items_of(source: str, out: str) -> str:
     k = "script_id, stmt_no, ord"
     return f"""
 {out}_t AS (SELECT {k}, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (
-              SELECT {k}, regexp_extract_all(body, '[(),]|\\w+|[^(),\\w]+') AS toks FROM {source})),
+              SELECT {k}, regexp_extract_all(body, {q(TOKENS)}) AS toks FROM {source})),
 {out}_l AS (SELECT *, sum(length(tok)) OVER w - length(tok) AS off,
               sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER w - CASE tok WHEN '(' THEN 1 ELSE 0 END AS lvl
             FROM {out}_t WINDOW w AS (PARTITION BY {k} ORDER BY pos)),
@@ -190,8 +203,8 @@ def items_of(source: str, out: str) -> str:
 
 def column_name(x: str) -> str:
     alias = f"regexp_extract({x}, {q(t.ALIAS)}, 1)"
-    words = f"list_filter(regexp_split_to_array({x}, '[\\s,.()+*/\\-]'), lambda w: regexp_full_match(w, '\\w+'))"
-    return f"lower(CASE WHEN {x} = '*' THEN '*' WHEN {alias} <> '' THEN {alias} ELSE {words}[-1] END)"
+    words = f"list_filter(regexp_split_to_array({x}, '[\\s,.()+*/\\-]'), lambda w: regexp_full_match(w, {q(WORDS)}))"
+    return bare(f"CASE WHEN {x} = '*' THEN '*' WHEN {alias} <> '' THEN {alias} ELSE {words}[-1] END")
 
 
 def cast_type(x: str) -> str:
@@ -223,7 +236,7 @@ m_edges AS (SELECT DISTINCT r.script_id, r.tbl AS src, r.name AS dst FROM reg_re
             ON d.script_id = r.script_id AND d.name = r.tbl AND d.stmt_no <= r.stmt_no WHERE r.tbl <> r.name),
 cols AS (SELECT DISTINCT i.script_id, {column_name('expr')} AS col, l.name AS model FROM lst l JOIN itm i
          USING (script_id, stmt_no, ord) WHERE {column_name('expr')} IS NOT NULL),
-tsk AS (SELECT script_id, stmt_no, {safe_label('label')} AS task_id, raw_sql FROM catalog WHERE target_table IS NOT NULL),
+tsk AS (SELECT script_id, stmt_no, 'stmt_' || stmt_no AS task_id, {safe_label('label')} AS task_label, raw_sql FROM catalog WHERE target_table IS NOT NULL),
 tsk_src AS (SELECT DISTINCT k.script_id, task_id, tbl FROM tsk k JOIN stm_src USING (script_id, stmt_no))"""
 
 REACH = """
@@ -240,8 +253,8 @@ asked AS (SELECT DISTINCT script_id, {column_name('expr')} AS col FROM itm WHERE
 qst AS (SELECT * FROM asked UNION ALL SELECT DISTINCT script_id, 'no_such_column' FROM asked)"""
 
 TRACE = f"""{MODELS}, {QUESTIONS},
-occ AS (SELECT script_id, stmt_no, ord, item, expr, lower(regexp_extract(expr, {q(t.ALIAS)}, 1)) AS alias,
-          list_distinct(list_transform(regexp_extract_all(expr, '\\w+'), lambda w: lower(w))) AS ws FROM itm),
+occ AS (SELECT script_id, stmt_no, ord, item, expr, {bare(f"regexp_extract(expr, {q(t.ALIAS)}, 1)")} AS alias,
+          list_distinct(list_transform(regexp_extract_all(expr, {q(WORDS)}), lambda w: {bare('w')})) AS ws FROM itm),
 wrd AS (SELECT script_id, stmt_no, ord, item, expr, alias, unnest(ws) AS w FROM occ),
 hop AS (SELECT * FROM wrd QUALIFY row_number() OVER (PARTITION BY script_id, stmt_no, ord, w ORDER BY item) = 1),
 ends AS (SELECT script_id, stmt_no, max(ord) AS last_ord FROM mdl GROUP BY ALL),
@@ -326,7 +339,7 @@ l_nodes AS (
   SELECT DISTINCT script_id, tbl, {last_part('tbl')}, CASE WHEN contains(tbl, '.') THEN 'table' ELSE 'cte' END,
          'Referenced as: ' || tbl, 0 FROM reg_refs WHERE (script_id, tbl) NOT IN (SELECT script_id, name FROM reg)
   UNION ALL
-  SELECT script_id, task_id, task_id, 'dag_task', min(raw_sql[1:200]), 0 FROM tsk GROUP BY script_id, task_id)"""
+  SELECT script_id, task_id, task_label, 'dag_task', raw_sql[1:200], 0 FROM tsk)"""
 
 SQL = {
     "script_clean": f"""WITH {SCRIPTS} SELECT script_id, {trim(
@@ -385,7 +398,7 @@ SQL = {
         FROM fst JOIN codes USING (pattern_type) JOIN scripts USING (script_id)""",
     "script_complexity": f"""WITH {HITS} SELECT script_id, count(*) AS patterns, sum(complexity_score)::BIGINT AS score,
         max(complexity_score) AS worst FROM hits GROUP BY 1""",
-    "cte_order": f"""WITH {SCRIPTS}, n AS (SELECT script_id, {cte_list(rebuilt('sql_text', "' '", hidden('p')))} AS names
+    "cte_order": f"""WITH {SCRIPTS}, n AS (SELECT script_id, {cte_list(rebuilt('sql_text', "' '", veiled_piece('p')))} AS names
                                             FROM scripts)
         SELECT script_id, generate_subscripts(names, 1) - 1 AS position, unnest(names) AS cte FROM n""",
     "cte_bodies": f"""WITH {MODELS} SELECT script_id, stmt_no, ord, is_final, name, {shown('body')} AS body FROM mdl""",
@@ -462,7 +475,7 @@ SQL = {
                {trim(shown('arg_min(line, i)'))} AS line_hint, 'rename' AS change_type, col AS old_value,
                col || '_v2' AS new_value
         FROM cols c JOIN ln ON ln.script_id = c.script_id AND ln.name = model
-          AND list_contains(list_transform(regexp_extract_all(line, '\\w+'), lambda w: lower(w)), col)
+          AND list_contains(list_transform(regexp_extract_all(line, {q(WORDS)}), lambda w: {bare('w')}), col)
         GROUP BY c.script_id, model, col""",
     "breaking_changes": f"""WITH {VERSIONS},
         both_v AS (SELECT id * 2 AS script_id, v1 AS sql_text FROM vers UNION ALL SELECT id * 2 + 1, v2 FROM vers),
@@ -495,7 +508,7 @@ SQL = {
         fnd AS (SELECT script_id, col, count(*) AS depth, min(stmt_no) AS first_stmt,
                   arg_max(model_name, stmt_no) FILTER (is_final) AS final_output FROM steps GROUP BY ALL),
         org AS (SELECT script_id, stmt_no, list_filter(
-                  list_transform(regexp_extract_all(veiled, {q(t.FROM_REF)}, 1), lambda x: lower(x)),
+                  list_transform(regexp_extract_all(veiled, {q(t.FROM_REF)}, 1), lambda x: {named('x')}),
                   lambda x: NOT list_contains(list_transform({cte_list('veiled')}, lambda n: lower(n)), x))[1] AS source FROM stm),
         src AS (SELECT f.script_id, f.col, arg_min(source, stmt_no) AS source_table FROM fnd f JOIN org o
                 ON o.script_id = f.script_id AND o.stmt_no >= first_stmt WHERE source IS NOT NULL GROUP BY ALL)
