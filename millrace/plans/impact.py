@@ -33,14 +33,49 @@ def latest(models: DataFrame, *columns: str) -> DataFrame:
     return best.select("script_id", "name", "d.*")
 
 
+def resolved(reads: DataFrame, digest: DataFrame) -> DataFrame:
+    """``reads`` (script_id, stmt_no, reader, ref, …) with what each means, ``source``, and whether that ``is_model``.
+
+    A reference means the model of that full name if its script defines one in the same or an earlier
+    statement, else all such models but the reader whose last part it is, else the table it names.
+    """
+    first = digest.groupBy("script_id", "name").agg(F.min("stmt_no").alias("since"))
+    keyed = first.select("script_id", "name", "since", F.explode(model_plans.reference_keys(F.col("name"))).alias("ref"))
+    own = F.col("name") == F.col("ref")
+    options = keyed.groupBy("script_id", "ref").agg(
+        F.min(F.when(own, F.col("since"))).alias("own"),
+        F.collect_list(F.when(~own, F.struct("name", "since"))).alias("others"),
+    )
+    others = F.filter("others", lambda o: (o["since"] <= F.col("stmt_no")) & (o["name"] != F.col("reader")))
+    meant = F.when(F.col("own") <= F.col("stmt_no"), F.array("ref")).otherwise(F.transform(others, lambda o: o["name"]))
+    found = reads.join(options, ["script_id", "ref"], "left").select(
+        *reads.columns, F.coalesce(meant, F.array().cast("array<string>")).alias("meant")
+    )
+    is_model = F.size("meant") > 0
+    return found.select(
+        *reads.columns, is_model.alias("is_model"),
+        F.explode(F.when(is_model, F.col("meant")).otherwise(F.array("ref"))).alias("source"),
+    )
+
+
+def model_reads(digest: DataFrame) -> DataFrame:
+    """What each model reads: ``(script_id, stmt_no, reader, ref, is_model, source)``."""
+    reads = digest.select("script_id", "stmt_no", F.col("name").alias("reader"), F.explode("refs").alias("ref"))
+    return resolved(reads, digest)
+
+
+def task_reads(tasks: DataFrame, digest: DataFrame) -> DataFrame:
+    """``(script_id, task_id, node)``: the models and tables a task reads."""
+    reads = tasks.select(
+        "script_id", "stmt_no", F.col("target_table").alias("reader"), "task_id", F.explode("source_tables").alias("ref")
+    )
+    return resolved(reads, digest).select("script_id", "task_id", F.col("source").alias("node")).distinct()
+
+
 def model_edges(digest: DataFrame) -> DataFrame:
     """``(script_id, src, dst)``: a model reads one that its script defines in the same or an earlier statement."""
-    first = digest.groupBy("script_id", F.col("name").alias("src")).agg(F.min("stmt_no").alias("since"))
-    reads = digest.select("script_id", "stmt_no", F.col("name").alias("dst"), F.explode("refs").alias("src"))
-    return (
-        reads.join(first, ["script_id", "src"]).where("since <= stmt_no AND src <> dst")
-        .select("script_id", "src", "dst").distinct()
-    )
+    reads = model_reads(digest).where("is_model AND source <> reader")
+    return reads.select("script_id", F.col("source").alias("src"), F.col("reader").alias("dst")).distinct()
 
 
 def column_index(digest: DataFrame) -> DataFrame:
@@ -53,23 +88,23 @@ def column_index(digest: DataFrame) -> DataFrame:
 def tasks(statements: DataFrame) -> DataFrame:
     """One task per statement with a target, known by its statement; the label is for display only.
 
-    ``(script_id, task_id, label, source_tables, target_table, raw_sql)``
+    ``(script_id, stmt_no, task_id, label, source_tables, target_table, raw_sql)``
     """
     return statements.where("target_table IS NOT NULL").select(
-        "script_id", F.concat(F.lit("stmt_"), F.col("stmt_no").cast("string")).alias("task_id"),
+        "script_id", "stmt_no", F.concat(F.lit("stmt_"), F.col("stmt_no").cast("string")).alias("task_id"),
         sql.safe_label(F.col("label")).alias("label"), "source_tables", "target_table", "raw_sql",
     )
 
 
-def impact(index: DataFrame, edges: DataFrame, tasks: DataFrame) -> DataFrame:
+def impact(index: DataFrame, edges: DataFrame, reading: DataFrame) -> DataFrame:
     """Affected models, affected tasks and blast radius of every column of every script.
 
     A model is affected when it projects the column; a task when it reads such a model or a descendant
-    of one. Descendants are found per column in one walk from all projecting models.
+    of one, by ``reading`` (see ``task_reads``). Descendants are found per column in one walk from all
+    projecting models.
     """
     starts = index.withColumnRenamed("model", "node")
     touched = graph.reachable(starts, edges, KEY, ["column"])
-    reading = tasks.select("script_id", "task_id", F.explode("source_tables").alias("node"))
     hit_tasks = touched.join(reading, ["script_id", "node"]).select("script_id", "column", "task_id").distinct()
     by_model = index.groupBy("script_id", "column").agg(F.sort_array(F.collect_set("model")).alias("affected_models"))
     by_task = hit_tasks.groupBy("script_id", "column").agg(F.sort_array(F.collect_set("task_id")).alias("tasks"))

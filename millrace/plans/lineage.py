@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
-from millrace.plans.impact import latest
+from millrace.plans.impact import latest, model_reads, task_reads
 from millrace.plans.models import MART_SCHEMAS
 
 TASK_SNIPPET = 200
@@ -14,12 +14,12 @@ TASK_SNIPPET = 200
 
 def edges(digest: DataFrame, tasks: DataFrame) -> DataFrame:
     """Distinct ``(script_id, source, target)``: read table → reader, and node → task that reads it."""
-    reads = digest.select("script_id", F.explode("refs").alias("source"), F.col("name").alias("target")).distinct()
+    reads = model_reads(digest).select("script_id", "source", F.col("reader").alias("target")).distinct()
     known = (
         digest.select("script_id", F.col("name").alias("source"))
         .unionByName(reads.select("script_id", "source")).distinct()
     )
-    to_task = tasks.select("script_id", F.explode("source_tables").alias("source"), F.col("task_id").alias("target"))
+    to_task = task_reads(tasks, digest).select("script_id", F.col("node").alias("source"), F.col("task_id").alias("target"))
     return reads.unionByName(to_task.join(known, ["script_id", "source"], "left_semi")).distinct()
 
 
@@ -31,7 +31,7 @@ def nodes(digest: DataFrame, tasks: DataFrame) -> DataFrame:
         "script_id", F.col("name").alias("id"),
         F.when(is_mart, "dbt_model").otherwise("cte").alias("node_type"), "snippet", "column_count",
     )
-    named = digest.select("script_id", F.explode("refs").alias("id")).distinct()
+    named = model_reads(digest).select("script_id", F.col("source").alias("id")).distinct()
     referenced = named.join(defined, ["script_id", "id"], "left_anti").select(
         "script_id", "id", F.when(F.col("id").contains("."), "table").otherwise("cte").alias("node_type"),
         F.concat(F.lit("Referenced as: "), "id").alias("snippet"), F.lit(0).cast("bigint").alias("column_count"),

@@ -206,20 +206,26 @@ def model_catalog(models: DataFrame) -> DataFrame:
     )
 
 
+def reference_keys(name: Column) -> Column:
+    """What a reference may say to mean a model: its full name, or its last part without a dot."""
+    return F.array_distinct(F.array(name, sql.last_part(name)))
+
+
 def reference_kinds(models: DataFrame) -> DataFrame:
-    """Each table a model reads, with whether an earlier model of its script bears that short name.
+    """Each table a model reads, with whether it means an earlier model of its script.
 
     Only the first definition of a name is compared with its readers, not every definition.
     """
     place = F.struct("stmt_no", "ord")
     named = compiled(models)
     short = sql.last_part(F.col("name"))
-    defined = named.groupBy("script_id", short.alias("short")).agg(F.min(place).alias("first_place"))
+    keyed = named.select("script_id", "stmt_no", "ord", F.explode(reference_keys(F.col("name"))).alias("ref"))
+    defined = keyed.groupBy("script_id", "ref").agg(F.min(place).alias("first_place"))
     reads = named.select(
         "script_id", "stmt_no", "ord", short.alias("model"), F.explode(sql.table_refs(F.col("body"))).alias("ref")
     ).withColumn("short", sql.last_part(F.col("ref")))
     known = F.col("first_place").isNotNull() & (F.col("first_place") < place)
-    return reads.join(defined, ["script_id", "short"], "left").select(
+    return reads.join(defined, ["script_id", "ref"], "left").select(
         "script_id", "stmt_no", "ord", "model", "ref", "short", F.coalesce(known, F.lit(False)).alias("is_model")
     )
 

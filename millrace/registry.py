@@ -193,7 +193,10 @@ def _model_queries() -> dict[str, Query]:
 
 def _impact_queries() -> dict[str, Query]:
     def impact_all_columns(s, d):
-        return impact.impact(*_graph(s, d), impact.tasks(_slim(s, d)))
+        digest = _digest(s, d)
+        index = stage(impact.column_index(digest), "columns")
+        edges = stage(impact.model_edges(digest), "edges")
+        return impact.impact(index, edges, impact.task_reads(impact.tasks(_slim(s, d)), digest))
 
     def model_closure(s, d):
         return graph.closure(_graph(s, d)[1], ["script_id"])

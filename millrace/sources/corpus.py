@@ -165,6 +165,8 @@ clean AS (SELECT "Probe Id", "Level, mV" * 2 AS doubled FROM "Raw Reads" JOIN la
 SELECT "Probe Id", MAX(doubled) AS "Top Level" FROM clean GROUP BY "Probe Id";
 INSERT INTO lab."Select From" ("Probe Id", top) SELECT "Probe Id", "Top Level" AS top FROM "Lab"."Sample Runs {k}";
 INSERT INTO old."Select From" ("Probe Id", top) SELECT "Probe Id", "Top Level" AS top FROM "Lab"."Sample Runs {k}";
+CREATE TABLE lab.board AS SELECT "Probe Id", top FROM "Select From" JOIN raw.board USING ("Probe Id");
+CREATE TABLE lab.wall AS SELECT "Probe Id" FROM board;
 """
 
 TEMPLATES = (

@@ -223,21 +223,34 @@ MODELS = f"{STATEMENTS}, {bodies_of('stm', 'mdl')}, {items_of('mdl', 'itm')}"
 NAMED = f"""{MODELS}, nm AS (SELECT *, {last_part('name')} AS short FROM mdl WHERE name IS NOT NULL),
 {refs_of('nm', 'nm_refs', 'body', 'script_id, stmt_no, ord, name, short')},
 kinds AS (SELECT r.*, {last_part('r.tbl')} AS ref_short, EXISTS (
-            SELECT 1 FROM nm d WHERE d.script_id = r.script_id AND d.short = {last_part('r.tbl')}
+            SELECT 1 FROM nm d WHERE d.script_id = r.script_id
+            AND (d.name = r.tbl OR d.short = r.tbl)
             AND (d.stmt_no < r.stmt_no OR (d.stmt_no = r.stmt_no AND d.ord < r.ord))) AS is_model FROM nm_refs r)"""
 
+
+def meant(source: str, reader: str) -> str:
+    """The references of ``source`` with the models they mean, if any."""
+    return f"""SELECT r.*, d.model FROM {source} r LEFT JOIN r_def d ON d.script_id = r.script_id AND since <= r.stmt_no
+        AND (d.model = r.tbl OR ({last_part('d.model')} = r.tbl AND d.model <> r.{reader}))
+        QUALIFY d.model IS NULL OR d.model = r.tbl
+             OR NOT bool_or(d.model = r.tbl) OVER (PARTITION BY r.script_id, r.stmt_no, r.{reader}, r.tbl)"""
+
+
 REGISTERED = f"""{MODELS},
 reg AS (SELECT script_id, stmt_no, ord, is_final, name, body FROM mdl WHERE name IS NOT NULL
         UNION ALL SELECT script_id, stmt_no, 0, true, target_table, veiled FROM stm
         WHERE statement_type = 'INSERT_VALUES'),
 lst AS (SELECT * FROM reg QUALIFY row_number() OVER (PARTITION BY script_id, name ORDER BY stmt_no DESC, ord DESC) = 1),
 {refs_of('reg', 'reg_refs', 'body', 'script_id, stmt_no, ord, name')},
-m_edges AS (SELECT DISTINCT r.script_id, r.tbl AS src, r.name AS dst FROM reg_refs r JOIN reg d
-            ON d.script_id = r.script_id AND d.name = r.tbl AND d.stmt_no <= r.stmt_no WHERE r.tbl <> r.name),
+r_def AS (SELECT script_id, name AS model, min(stmt_no) AS since FROM reg GROUP BY ALL),
+res AS ({meant('reg_refs', 'name')}),
+m_edges AS (SELECT DISTINCT script_id, model AS src, name AS dst FROM res WHERE model <> name),
 cols AS (SELECT DISTINCT i.script_id, {column_name('expr')} AS col, l.name AS model FROM lst l JOIN itm i
          USING (script_id, stmt_no, ord) WHERE {column_name('expr')} IS NOT NULL),
-tsk AS (SELECT script_id, stmt_no, 'stmt_' || stmt_no AS task_id, {safe_label('label')} AS task_label, raw_sql FROM catalog WHERE target_table IS NOT NULL),
-tsk_src AS (SELECT DISTINCT k.script_id, task_id, tbl FROM tsk k JOIN stm_src USING (script_id, stmt_no))"""
+tsk AS (SELECT script_id, stmt_no, 'stmt_' || stmt_no AS task_id, {safe_label('label')} AS task_label, target_table, raw_sql
+        FROM catalog WHERE target_table IS NOT NULL),
+tsk_r AS (SELECT k.*, tbl FROM tsk k JOIN stm_src USING (script_id, stmt_no)),
+tsk_src AS (SELECT DISTINCT script_id, task_id, coalesce(model, tbl) AS tbl FROM ({meant('tsk_r', 'target_table')}))"""
 
 REACH = """
 reach AS (SELECT script_id, src, dst FROM m_edges
@@ -325,7 +338,7 @@ SHORTENED = f"""CASE WHEN length({FLAT.format(shown('body'))}) <= 300 THEN {FLAT
     ELSE regexp_extract({FLAT.format(shown('body'))}, '^(.{{0,294}})\\s', 1) || ' [...]' END"""
 
 LINEAGE = f"""{REGISTERED},
-l_reads AS (SELECT DISTINCT script_id, tbl AS source, name AS target FROM reg_refs),
+l_reads AS (SELECT DISTINCT script_id, coalesce(model, tbl) AS source, name AS target FROM res),
 l_known AS (SELECT script_id, name AS source FROM reg UNION SELECT script_id, source FROM l_reads),
 l_edges AS (SELECT * FROM l_reads UNION SELECT script_id, tbl, task_id FROM tsk_src
             WHERE (script_id, tbl) IN (SELECT script_id, source FROM l_known)),
@@ -336,8 +349,8 @@ l_nodes AS (
               ELSE 'cte' END AS node_type, {SHORTENED} AS snippet, coalesce(n, 0) AS column_count
   FROM lst l LEFT JOIN l_count USING (script_id, stmt_no, ord)
   UNION ALL
-  SELECT DISTINCT script_id, tbl, {last_part('tbl')}, CASE WHEN contains(tbl, '.') THEN 'table' ELSE 'cte' END,
-         'Referenced as: ' || tbl, 0 FROM reg_refs WHERE (script_id, tbl) NOT IN (SELECT script_id, name FROM reg)
+  SELECT DISTINCT script_id, source, {last_part('source')}, CASE WHEN contains(source, '.') THEN 'table' ELSE 'cte' END,
+         'Referenced as: ' || source, 0 FROM l_reads WHERE (script_id, source) NOT IN (SELECT script_id, name FROM reg)
   UNION ALL
   SELECT script_id, task_id, task_label, 'dag_task', raw_sql[1:200], 0 FROM tsk)"""
 

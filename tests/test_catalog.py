@@ -214,3 +214,27 @@ def test_labels_of_one_table_merge(scripts):
     text = "INSERT INTO t SELECT x FROM a; CREATE TABLE u AS SELECT x FROM t; INSERT INTO t SELECT x FROM b"
     table = catalog.statements(scripts(text))
     assert edge_set(statement_graph.edges(table)) == {(2, 1)}
+
+
+QUOTED = """CREATE TABLE "Mart"."My, T" AS WITH "From Here" AS (SELECT "A b", 'it "is" from x' AS c FROM "raw"."Orders x")
+SELECT "A b" AS "Total", c FROM "From Here" h"""
+
+
+def test_quoted_names(scripts):
+    from millrace.plans import models
+
+    table = catalog.statements(scripts(QUOTED))
+    (row,) = table.collect()
+    assert (row.statement_type, row.target_table, row.source_tables) == ("CTAS", '"mart"."my, t"', ['"raw"."orders x"'])
+    assert (row.label, row.raw_sql, row.clean_sql) == ('create_"my, t"', QUOTED, QUOTED)
+    found = models.model_columns(models.models(table)).orderBy("ord", "item").collect()
+    assert [(r.model, r.column) for r in found] == [
+        ('"from here"', "a b"), ('"from here"', "c"), ('"mart"."my, t"', "total"), ('"mart"."my, t"', "c"),
+    ]
+    shown = [str(v) for r in [row, *found] for k, v in r.asDict().items() if k != "veiled"]
+    assert not any(0x10F000 <= ord(ch) < 0x10F100 for v in shown for ch in v)
+
+
+def test_a_single_double_quote_is_no_name(scripts):
+    (row,) = catalog.statements(scripts("INSERT INTO a.t SELECT 'x\" y' AS q FROM b.s -- \"")).collect()
+    assert (row.target_table, row.source_tables) == ("a.t", ["b.s"])

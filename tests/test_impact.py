@@ -24,9 +24,10 @@ class Corpus:
         self.index = impact.column_index(self.digest)
         self.edges = impact.model_edges(self.digest)
         self.tasks = impact.tasks(self.statements)
+        self.reading = impact.task_reads(self.tasks, self.digest)
 
     def impact(self):
-        return {(r.script_id, r.column): r for r in impact.impact(self.index, self.edges, self.tasks).collect()}
+        return {(r.script_id, r.column): r for r in impact.impact(self.index, self.edges, self.reading).collect()}
 
     def critical(self):
         first = self.digest.selectExpr("script_id", "name AS model", "struct(stmt_no, ord) AS place")
@@ -39,11 +40,11 @@ def test_chain_impact(scripts):
     got = c.impact()
     total = got[(0, "total")]
     assert total.affected_models == ["mart.summary", "mart.top", "staging.spend"]
-    assert total.affected_tasks == ["create_summary", "insert_top"] and total.blast_radius == 5
+    assert total.affected_tasks == ["stmt_1", "stmt_2"] and total.blast_radius == 5
     n = got[(0, "n")]
     assert n.affected_models == ["mart.summary", "staging.spend"]
-    assert n.affected_tasks == ["create_summary", "insert_top"]
-    assert got[(0, "name")].affected_tasks == ["insert_top"]
+    assert n.affected_tasks == ["stmt_1", "stmt_2"]
+    assert got[(0, "name")].affected_tasks == ["stmt_2"]
     assert (0, "unknown") not in got
 
 
@@ -185,17 +186,17 @@ def test_lineage(scripts):
     assert kind == {
         "staging.spend": ("cte", 3, "spend"), "mart.summary": ("dbt_model", 4, "summary"), "mart.top": ("dbt_model", 3, "top"),
         "raw.pay": ("table", 0, "pay"), "raw.people": ("table", 0, "people"), "ref.codes": ("cte", 0, "codes"),
-        "create_spend": ("dag_task", 0, "create_spend"), "create_summary": ("dag_task", 0, "create_summary"),
-        "insert_top": ("dag_task", 0, "insert_top"), "insert_codes": ("dag_task", 0, "insert_codes"),
+        "stmt_0": ("dag_task", 0, "create_spend"), "stmt_1": ("dag_task", 0, "create_summary"),
+        "stmt_2": ("dag_task", 0, "insert_top"), "stmt_3": ("dag_task", 0, "insert_codes"),
     }
     links = {(r.source, r.target) for r in edges.collect()}
     assert links == {
         ("raw.pay", "staging.spend"), ("staging.spend", "mart.summary"), ("raw.people", "mart.summary"),
-        ("mart.summary", "mart.top"), ("raw.pay", "create_spend"), ("staging.spend", "create_summary"),
-        ("raw.people", "create_summary"), ("mart.summary", "insert_top"),
+        ("mart.summary", "mart.top"), ("raw.pay", "stmt_0"), ("staging.spend", "stmt_1"),
+        ("raw.people", "stmt_1"), ("mart.summary", "stmt_2"),
     }
     near = {r.id: (r.upstream, r.downstream, r.in_degree, r.out_degree) for r in lineage.neighbours(nodes, edges).collect()}
-    assert near["mart.summary"] == (["raw.people", "staging.spend"], ["insert_top", "mart.top"], 2, 2)
+    assert near["mart.summary"] == (["raw.people", "staging.spend"], ["mart.top", "stmt_2"], 2, 2)
     node, edge = lineage.export(nodes, edges)
     assert "label" in node.columns and edge.columns == ["script_id", "source", "target"]
 
@@ -211,3 +212,24 @@ def test_snippets_are_short(scripts):
     nodes, _ = graph_of(scripts, f"CREATE TABLE b AS SELECT   {words}\nFROM a")
     snippet = nodes.where("id = 'b'").first().snippet
     assert len(snippet) <= 300 and snippet.endswith(", [...]".lstrip(", ")) and snippet.startswith("SELECT column_0, column_1")
+
+
+TWO_SCHEMAS = """INSERT INTO staging.o SELECT x FROM raw.o; INSERT INTO mart.o SELECT x FROM staging.o;
+CREATE TABLE mart.p AS SELECT x FROM o; CREATE TABLE mart.q AS SELECT x FROM mart.o"""
+
+
+def test_two_schemas_agree_in_every_graph(scripts):
+    c = Corpus(scripts, TWO_SCHEMAS)
+    edges = {(r.src, r.dst) for r in c.edges.collect()}
+    assert edges == {("staging.o", "mart.o"), ("staging.o", "mart.p"), ("mart.o", "mart.p"), ("mart.o", "mart.q")}
+    refs = {r.stmt_no: (r.model_refs, r.source_refs) for r in models.model_refs(c.models).collect()}
+    assert refs == {0: ([], ["raw.o"]), 1: (["o"], []), 2: (["o"], []), 3: (["o"], [])}
+    x = c.impact()[(0, "x")]
+    assert x.affected_models == ["mart.o", "mart.p", "mart.q", "staging.o"] and x.affected_tasks == ["stmt_1", "stmt_2", "stmt_3"]
+    nodes, links = lineage.nodes(c.digest, c.tasks), lineage.edges(c.digest, c.tasks)
+    assert {r.id: r.label for r in nodes.where("node_type = 'dag_task'").collect()} == {
+        "stmt_0": "insert_o", "stmt_1": "insert_o", "stmt_2": "create_p", "stmt_3": "create_q",
+    }
+    linked = {(r.source, r.target) for r in links.collect()}
+    assert edges < linked and ("staging.o", "stmt_2") in linked and ("mart.o", "stmt_2") in linked
+    assert not {s for s, _ in linked} - {r.id for r in nodes.collect()}
