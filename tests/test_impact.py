@@ -163,9 +163,11 @@ def test_trace_restarts_per_statement_and_asks_by_any_case(spark, scripts):
     assert (roll["x"].final_output, roll["x"].source_table) == ("b", "t")
 
 
-def test_words_in_quotes_are_no_mention(spark, scripts):
-    steps, _ = ask(spark, scripts, "SELECT 'x' AS a, \"x\" AS b, f(x) AS c FROM t", "x")
+def test_words_in_literals_are_no_mention_and_quoted_names_are(spark, scripts):
+    steps, _ = ask(spark, scripts, "SELECT 'x' AS a, 'a \"x\" b' AS b, f(x) AS c FROM t", "x")
     assert [r.output_col for r in steps] == ["c"]
+    steps, _ = ask(spark, scripts, "SELECT 'x' AS a, \"x\" AS b, f(x) AS c FROM t", "x")
+    assert [r.output_col for r in steps] == ["b"]
 
 
 def test_an_alias_counts_as_a_mention(spark, scripts):
