@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, packing, pii, quality_model, simhash
+from millrace.llm import decontaminate, packing, pii, quality_model, similar
 from millrace.llm.common import stage as staged
 from millrace.llm.common import table
 from millrace.llm.queries import TOKENIZER
@@ -25,14 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays.
 
+    Near means at least 0.8 of all five-word shingles in common, directly or through others.
     Of several rows with that doc_id one stays; documents without a doc_id stay only where no
     document of their group has one, and then one of them does.
     """
     numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     # Rows are numbered in order of doc_id, so that the smallest number of a group is its document.
     ids = numbered.select(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "__row").alias("__id"), "__row")
-    found = simhash.near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
-    groups = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).join(ids, "__row")
+    found = similar.groups(numbered.select(F.col("__row").alias("row"), "text"))
+    groups = found.select(F.col("row").alias("__row"), F.col("group").alias("__group")).join(ids, "__row")
     keep = groups.groupBy("__group").agg(F.min("__id").alias("__id")).select(F.col("__id.__row").alias("__row"))
     # Texts move once, at any size: what is kept grows with the documents and is never broadcast.
     kept = staged(keep, "keep").hint("merge")

@@ -35,21 +35,28 @@ SPLITS = RADIUS + 1
 LEAST_BITS = 12
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text: a bit is set where over half of the shingles' hashes have it."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined, last, ends = b" ".join(words), -1, []
-    for word in words:
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[int]:
+    """The hash of every run of ``shingle`` words, or of all words of a shorter text; none without words."""
+    parts = words(text)
+    if not parts:
+        return []
+    joined, last, ends = b" ".join(parts), -1, []
+    for word in parts:
         last += len(word) + 1
         ends.append(last)
     begins = [0, *[e + 1 for e in ends[:-1]]]
     of = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [of(joined, 42)]
-    else:
-        hashes = [of(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :], strict=False)]
+    if len(parts) < shingle:
+        return [of(joined, 42)]
+    return [of(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :], strict=False)]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = np.array(hashes[at : at + (1 << 14)], "<u8").view(np.uint8).reshape(-1, 8)
@@ -58,6 +65,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text: a bit is set where over half of the shingles' hashes have it."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id`` and signed 64-bit ``fp`` of every row of ``docs`` (doc_id, text); not staged."""
 

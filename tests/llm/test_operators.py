@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import arrow_tokens, chat, decontaminate, license_model, line_rules, packing, pii, quality_model, secrets, simhash
+from millrace.llm import arrow_tokens, chat, decontaminate, license_model, line_rules, packing, pii, quality_model, secrets, similar, simhash
 from millrace.llm.components import components
 from millrace.llm.queries import QUERIES, TOKENIZER
 from millrace.llm.tokens import Encoder
@@ -267,6 +267,44 @@ def test_near_duplicates_name_groups(docs):
     assert (1, 0) in got and (2, 0) in got and got.count((5, 5)) == 2 and (None, None) in got
 
 
+def test_pipeline_drops_what_is_similar(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([60, 200, 400]))]
+        for changed in (0, 0.01, 0.02, 0.03, 0.04, 0.06, 0.1):
+            copy = list(base)
+            for i in rng.sample(range(len(base)), int(changed * len(base))):
+                copy[i] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", " \n", "one two", "One  two", "one two three", " ".join(["again"] * 50), texts[0].upper()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    far = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b):
+                far += (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 3
+                parent[find(i)] = find(j)
+    assert far > 10
+    want = sorted({min(j for j in range(len(texts)) if find(j) == find(i)) for i in range(len(texts))})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()) == want
+
+
+def test_bands_propose_what_is_similar():
+    rng = random.Random(6)
+    for _ in range(300):  # two sets of 100 hashes with 89 in common: a similarity of 0.802
+        both = [rng.getrandbits(64) for _ in range(111)]
+        assert set(similar.bands(both[:100])) & set(similar.bands(both[11:]))
+
+
 def test_quality_of_held_out_documents(spark):
     folder = "/root/testdata/sf0.01"
     read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
