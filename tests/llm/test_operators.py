@@ -333,6 +333,19 @@ def test_licences(docs):
     assert found[0].n_paragraphs == 0 and sum(r.n_licences for r in found.values()) == 1
 
 
+def test_licences_of_a_corpus_that_is_full_of_them(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal'
+    cc0, about = "Released under CC0 1.0.", "The licensing board met to talk about fees for the redistribution of old films."
+    rows = [(i, f"{mit}\nNote {i} on the weather of the week.") for i in range(20)]
+    rows += [(20 + i, f"{cc0}\n{about}\nPage {i} of the book of the year.") for i in range(20)]
+    rows += [(40, "MIT License"), (41, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [(f.line, f.family) for f in r.found] for r in license_model.scan(docs, license_model.train(docs)).collect()}
+    assert all(found[i] == [(0, "MIT"), (1, "MIT")] for i in range(20))
+    assert all(found[i] == [(0, "CC0")] for i in range(20, 40))
+    assert found[41] == [(0, "MIT"), (1, "Apache-2.0")]
+
+
 def test_licences_of_a_long_line(spark):
     line = "the house by the sea is under the hill " * 10_000
     rows = spark.createDataFrame([(1, line + "\nReleased under the MIT License.")], "doc_id long, text string")
