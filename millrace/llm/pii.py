@@ -10,6 +10,7 @@ that stand behind patterns of high confidence and support, are taken in as furth
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -28,7 +29,17 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Words with a digit or an at sign, and what precedes them.
 MENTION = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
-HINT = re.compile(r"[0-9@]")
+#: Groups of digits with marks and brackets, single spaces between them.
+GROUP = r"[(+]*+[0-9][0-9()+./-]*+(?![^\s.,;:!?\"'<>\[\]{}()])"
+RUN = re.compile(rf"(?<!\S){GROUP}(?: {GROUP})++")
+#: Addresses with spaces around the sign, or with the word at for it; dots may be words too.
+MAIL = re.compile(
+    r"(?<!\S)[(<\[\"']*+([A-Za-z0-9._%+-]++(?: ?@ ?| ?[(\[](?:at|@)[)\]] ?| at )"
+    r"([A-Za-z0-9-]++(?:(?:\.| dot | ?[(\[]dot[)\]] ?)[A-Za-z0-9-]++)*+))", re.I
+)
+MAIL_HINT = re.compile(r"@|\bat\b", re.I)
+LABELS = re.compile(r"\.| dot | ?[(\[]dot[)\]] ?", re.I)
+HINT = re.compile(r"[0-9@]|\bat\b", re.I)
 CONTEXT = 48
 ROUNDS = 3
 CONFIDENCE, SUPPORT = 0.9, 5
@@ -90,6 +101,28 @@ def shape(value: str) -> str | None:
     return None
 
 
+def _run(text: str, match: re.Match) -> Iterator[tuple[int, int, str]]:
+    """The longest beginnings of a run of digit groups that have the shape of a phone number and of a card."""
+    digits, found = 0, {}
+    for n, group in enumerate(re.finditer("[^ ]+", match[0])):
+        digits += sum(c.isdigit() for c in group[0])
+        if digits > 19:
+            break
+        kind = "phone" if 7 <= digits <= 13 else "card" if 14 <= digits else None
+        if not n:
+            alone = kind  # a first group with that shape is a mention of its own
+        elif kind and kind != alone:
+            found[kind] = match.start() + group.end()
+    for kind, end in found.items():
+        start, value = match.start(), text[match.start() : end].rstrip(".,;:/+-(")
+        whole = value[0] == "(" and value.find(")") == len(value) - 1
+        if whole or (value[0] == "(" and value.count("(") > value.count(")")):
+            start, value = start + 1, value[1:]
+        if whole or value.count(")") > value.count("("):
+            value = value.rstrip(")")
+        yield start, start + len(value), kind
+
+
 def context(text: str, start: int) -> str:
     """The last word before a place, in lower case; empty at the start of a text."""
     before = text[max(0, start - CONTEXT) : start].split()
@@ -101,8 +134,27 @@ def _read(text: str | None) -> tuple[list[tuple], list[tuple]]:
         return [], []
     base = base_spans(text)
     seeds = [(*s, context(text, s[0]), text[s[0] : s[2]].lower()) for s in base]
-    more, at = [], 0
-    reach = list(accumulate((s[2] for s in base), max))
+    begins, reach = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
+
+    def free(start: int, end: int) -> bool:
+        before = bisect_left(begins, end)
+        return not before or reach[before - 1] <= start
+
+    found, runs = [], {kind: [] for kind in KINDS}
+    for m in RUN.finditer(text):
+        # What base patterns found ends a run.
+        first = bisect_left(begins, m.start())
+        if first < len(base) and begins[first] < m.end():
+            m = RUN.match(text, m.start(), begins[first])
+        for start, end, kind in _run(text, m) if m else ():
+            if free(start, end):
+                found.append((start, end, kind, m.start()))
+                runs[kind].append((start, end))
+    for m in MAIL.finditer(text) if MAIL_HINT.search(text) else ():
+        labels = LABELS.split(m[2])
+        if len(labels) > 1 and len(labels[-1]) > 1 and labels[-1].isalpha() and free(*m.span(1)):
+            found.append((*m.span(1), "email", m.start()))
+            runs["email"].append(m.span(1))
     for m in MENTION.finditer(text):
         value = m[0].strip(".,;:!?\"'()<>[]{}")
         kind = shape(value)
@@ -110,11 +162,11 @@ def _read(text: str | None) -> tuple[list[tuple], list[tuple]]:
             continue
         start = m.start() + m[0].index(value)
         end = start + len(value)
-        # Base spans before ``at`` end before this mention, as mentions come in order.
-        while at < len(base) and reach[at] <= start:
-            at += 1
-        if at == len(base) or base[at][0] >= end:
-            more.append((start, KINDS.index(kind), end, kind, context(text, start), value.lower()))
+        # A part of a longer mention of its kind is none.
+        around = bisect_right(runs[kind], (start, len(text))) - 1
+        if free(start, end) and (around < 0 or runs[kind][around][1] < end):
+            found.append((start, end, kind, start))
+    more = sorted((a, KINDS.index(k), b, k, context(text, at), text[a:b].lower()) for a, b, k, at in found)
     return seeds, more
 
 
@@ -138,6 +190,8 @@ def extract(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     patterns = score_patterns(rows)
     candidates = rows.where(F.size("more") > 0).select("__row", F.explode("more").alias("m"))
     taken = candidates.join(patterns, (F.col("m.kind") == patterns["kind"]) & (F.col("m.context") == patterns["context"]))
+    # Where a number can end in two places and both are believed, the longer one counts.
+    taken = taken.groupBy("__row", "m.start").agg(F.max_by("m", "m.end").alias("m"))
     taken = stage(taken.groupBy("__row").agg(F.array_sort(F.collect_list("m")).alias("__taken")), "taken")
     return rows.join(taken, "__row", "left").select(
         "doc", "base", F.coalesce("__taken", F.array().cast(SPAN)).alias("more")

@@ -203,6 +203,22 @@ def test_contexts_discover_identifiers(spark):
     assert sum("<PHONE>" in r.t for r in hidden) == 41
 
 
+def test_contexts_discover_spaced_identifiers(spark):
+    cards = [f"4111 1111 1111 {n}" for n in range(1000, 2000) if pii.luhn(f"411111111111{n}")]
+    rows = [(i, f"callback +1 555 010 {1000 + i} card {cards[i]} write bob{i}@example.com today") for i in range(40)]
+    odd = {
+        100: ("callback", "(555) 123-4567"), 101: ("callback", "555 123 4567"), 102: ("callback", "(0171) 555 12 34"), 103: ("card", "4111 1111 1111 1112"),
+        104: ("write", "ann at example.org"), 105: ("write", "ann @ example.org"), 106: ("write", "ann (at) example dot org"),
+    }
+    # Kept: a number behind another word, a time, and what base patterns found beside a run.
+    rows += [(k, f"please {word} {value}, or wait") for k, (word, value) in odd.items()]
+    rows += [(110, "order 555 123 4567"), (111, "write soon at 10.30"), (112, "callback 555 123 4567 10.0.0.1 ")]
+    rows += [(113, "callback 5550101234 7654321")]
+    found = pii.extract(spark.createDataFrame(rows, "doc_id long, text string"), keep=("doc_id", "text"))
+    more = {r.doc.doc_id: [r.doc.text[s.start : s.end] for s in r.more] for r in found.collect() if r.more}
+    assert more == {k: [v] for k, (_, v) in odd.items()} | {112: ["555 123 4567"], 113: ["5550101234"]}
+
+
 def test_secrets_and_ledger(spark, docs):
     ledger = secrets.Ledger(spark)
     found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(docs, ledger=ledger).collect()}
