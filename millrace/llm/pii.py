@@ -3,7 +3,7 @@
 Seeds are the identifiers that the base patterns find. The word before an identifier induces a
 lexical pattern (kind, word). Patterns and the values they stand before are a graph, and Spark scores
 it iteratively: a pattern is as good as the mean score of its values, and a value as good as its
-patterns together make it; seeds stay at 1. Values of a like shape that no base pattern accepts, but
+patterns together make it; seeds stay at 1. Rounds go on until the scores have settled. Values of a like shape that no base pattern accepts, but
 that stand behind patterns of high confidence and support, are taken in as further identifiers.
 """
 
@@ -41,7 +41,8 @@ MAIL_HINT = re.compile(r"@|\bat\b", re.I)
 LABELS = re.compile(r"\.| dot | ?[(\[]dot[)\]] ?", re.I)
 HINT = re.compile(r"[0-9@]|\bat\b", re.I)
 CONTEXT = 48
-ROUNDS = 3
+#: Scores have settled when no confidence changes by more.
+TOLERANCE = 1e-4
 CONFIDENCE, SUPPORT = 0.9, 5
 SPAN = "array<struct<start:int,place:int,end:int,kind:string,context:string,value:string>>"
 
@@ -199,26 +200,45 @@ def extract(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
 
 def score_patterns(rows: DataFrame) -> DataFrame:
-    """The patterns (kind, context) of high confidence and support; staged."""
+    """The patterns (kind, context) of high confidence and support, at the fixed point of the scores; staged.
+
+    Values with one pattern only give back a fixed part of its confidence, so that they are solved for within
+    a round; rounds are needed for values with several patterns. Scores only grow from round to round, so the
+    fixed point is the least one above the seeds.
+    """
     seeds = rows.select(F.explode("base").alias("s"), F.lit(1.0).alias("seed"))
     others = rows.select(F.explode("more").alias("s"), F.lit(0.0).alias("seed"))
     seen = seeds.unionByName(others).where(F.col("s.context") != "")
     edges = seen.groupBy(F.col("s.kind").alias("kind"), F.col("s.context").alias("context"), F.col("s.value").alias("value"))
     edges = stage(edges.agg(F.max("seed").alias("seed")), "edges")
-    values = edges.withColumn("score", F.col("seed"))
-    for _ in range(ROUNDS):
-        patterns = stage(
-            values.groupBy("kind", "context").agg(F.avg("score").alias("confidence"), F.sum("seed").alias("support")), "patterns"
-        )
+    patterns = edges.groupBy("kind", "context").agg(F.count(F.lit(1)).alias("n"), F.sum("seed").alias("support"))
+    # A pattern without support gives its values nothing.
+    patterns = stage(patterns.where("support > 0"), "patterns")
+    part = 0.99 * F.col("support") / (F.col("support") + SUPPORT)
+    held = stage(edges.join(patterns, ["kind", "context"]).select("kind", "context", "value", "seed", part.alias("part")), "held")
+    values = held.groupBy("kind", "value").agg(F.max("seed").alias("known"), F.count(F.lit(1)).alias("n_patterns"))
+    held = stage(held.join(stage(values, "values"), ["kind", "value"]), "placed")
+    single = F.when((F.col("known") == 0) & (F.col("n_patterns") == 1), F.col("part")).otherwise(0.0)
+    sums = held.groupBy("kind", "context").agg(F.sum("known").alias("fixed"), F.sum(single).alias("back"))
+    sums = stage(patterns.join(sums, ["kind", "context"]), "sums")
+    several = stage(held.where("known = 0 and n_patterns > 1").select("kind", "context", "value", "part"), "several")
+    solved = F.col("fixed") / (F.col("n") - F.col("back"))
+    scored = stage(sums.withColumn("confidence", solved), "scored")
+    while not several.isEmpty():
+        edge = several.join(scored.select("kind", "context", "confidence"), ["kind", "context"])
         # A value is as good as its patterns together make it.
-        believed = edges.join(patterns, ["kind", "context"]).groupBy("kind", "value").agg(
-            (1 - F.exp(F.sum(F.log1p(-0.99 * F.col("confidence") * F.col("support") / (F.col("support") + SUPPORT))))).alias("score"),
-            F.max("seed").alias("known"),
-        )
-        believed = stage(believed, "values")
-        values = edges.join(believed, ["kind", "value"]).withColumn("score", F.greatest("score", "known"))
+        score = 1 - F.exp(F.sum(F.log1p(-F.col("part") * F.col("confidence"))))
+        believed = stage(edge.groupBy("kind", "value").agg(score.alias("score")), "believed")
+        more = several.join(believed, ["kind", "value"]).groupBy("kind", "context").agg(F.sum("score").alias("more"))
+        now = (F.col("fixed") + F.coalesce("more", F.lit(0.0))) / (F.col("n") - F.col("back"))
+        last = scored.withColumnRenamed("confidence", "last").join(more, ["kind", "context"], "left")
+        scored = stage(last.withColumn("confidence", now).drop("more"), "scored")
+        change = scored.agg(F.max(F.abs(F.col("confidence") - F.col("last")))).first()[0]
+        scored = scored.drop("last")
+        if change <= TOLERANCE:
+            break
     good = (F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT)
-    return stage(patterns.where(good).select("kind", "context"), "good")
+    return stage(scored.where(good).select("kind", "context"), "good")
 
 
 def masked(text: Column, spans: Column) -> Column:
