@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stage
 from millrace.operators.staging import new_path
 
-FINDING = "array<struct<kind:string,start:int,end:int>>"
+FINDING = "array<struct<rule:string,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ RULES = BASE + FURTHER
 
 
 def spans(text: Column, rule: Rule) -> Column:
-    """Matches of ``rule`` from left to right, without overlap, as (kind, start, end) in code points.
+    """Matches of ``rule`` from left to right, without overlap, as (rule, start, end) in code points.
 
     The text between the matches comes from splitting at the same pattern, so that running lengths of
     both give each match its place.
@@ -66,7 +66,7 @@ def spans(text: Column, rule: Rule) -> Column:
     def step(done: Column, x: Column) -> Column:
         begin = done["at"] + x["before"]
         end = begin + F.length(x["m"])
-        one = F.array(F.struct(F.lit(rule.kind).alias("kind"), begin.alias("start"), end.alias("end")))
+        one = F.array(F.struct(F.lit(rule.key).alias("rule"), begin.alias("start"), end.alias("end")))
         counts = F.length(F.regexp_extract(x["m"], rule.value, 1)) >= rule.least if rule.value else F.lit(True)
         return F.struct(end.alias("at"), F.when(counts, F.concat(done["found"], one)).otherwise(done["found"]).alias("found"))
 
@@ -115,11 +115,12 @@ class Ledger:
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """``blob`` and all ``spans`` found by ``rules``, in order of start, then of rule; staged."""
-        listed = F.array(*[F.lit(r.kind) for r in rules])
-        found = self.entries().select("blob", F.explode("spans").alias("s")).where(F.array_contains(listed, F.col("s.kind")))
-        ordered = F.array_sort(
-            F.collect_set(F.struct("s.start", F.array_position(listed, F.col("s.kind")).alias("place"), "s.end", "s.kind"))
-        )
+        listed = F.array(*[F.lit(r.key) for r in rules])
+        # Spans of another version of a rule are not among them.
+        found = self.entries().select("blob", F.explode("spans").alias("s")).where(F.array_contains(listed, F.col("s.rule")))
+        place = F.array_position(listed, F.col("s.rule"))
+        kind = F.get(F.array(*[F.lit(r.kind) for r in rules]), place.cast("int") - 1)
+        ordered = F.array_sort(F.collect_set(F.struct("s.start", place.alias("place"), "s.end", kind.alias("kind"))))
         return stage(found.groupBy("blob").agg(ordered.alias("spans")), "findings")
 
 

@@ -245,6 +245,15 @@ def test_secrets_and_ledger(spark, docs):
     assert all(r.rules == ["marker/2"] for r in ledger.scan(versions, newer).collect())
 
 
+def test_ledger_keeps_rule_versions_apart(spark):
+    ledger, docs = secrets.Ledger(spark), spark.createDataFrame([(1, "key-12 key-ab")], "doc_id long, text string")
+    old, new = secrets.Rule("key", 1, "key-[0-9]+"), secrets.Rule("key", 2, "key-[a-z]+")
+    for rule, want in ((old, ("key", 0, 6)), (new, ("key", 7, 13)), (old, ("key", 0, 6))):
+        (got,) = secrets.scan(docs, (rule,), ledger).collect()
+        assert [(s.kind, s.start, s.end) for s in got.spans] == [want]
+        assert [[s.start for s in r.spans] for r in ledger.findings((rule,)).collect()] == [[want[1]]]
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
