@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stage
@@ -18,20 +18,27 @@ def _follow(links: DataFrame, column: str, to: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` for every node of ``links`` (a, b: numbers); equal roots mean connected.
 
-    A round sends each node that has a smaller neighbour to the smallest of them and rewrites the links;
-    the number of links falls with every round. Links between a node and itself are ignored. A table
-    without links gives one without rows. The small tables are staged before they are joined, so that
-    adaptive execution can split the links of a node that has very many.
+    A round ranks the nodes by a hash of its own, sends each node to the first of its neighbours if that is
+    before itself, and rewrites the links. A node then stays with a chance that does not depend on how ids
+    lie along the links, so that the rounds grow with the logarithm of the nodes, on a chain of rising ids
+    as elsewhere. Links between a node and itself are ignored. A table without links gives one without
+    rows. The small tables are staged before they are joined, so that adaptive execution can split the
+    links of a node that has very many.
     """
     links = links.select("a", "b").where("a <> b")
     nodes = stage(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "members")
     rounds = []
     while True:
-        ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        links = stage(ordered, "contracted")
+        number = F.lit(len(rounds))
+
+        def placed(node: str) -> Column:
+            return F.struct(F.xxhash64(node, number).alias("h"), F.col(node).alias("node"))
+
+        ordered = links.select(F.greatest(placed("a"), placed("b"))["node"].alias("a"), F.least(placed("a"), placed("b"))["node"].alias("b"))
+        links = stage(ordered.distinct(), "contracted")
         if links.isEmpty():
             break
-        goes = stage(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("goes")), "goes")
+        goes = stage(links.groupBy(F.col("a").alias("node")).agg(F.min(placed("b"))["node"].alias("goes")), "goes")
         rounds.append(goes)
         links = _follow(_follow(links, "a", goes), "b", goes).where("a <> b")
     found = nodes.withColumn("root", F.col("node"))
