@@ -20,8 +20,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: Share of a document's word characters that its lines may lose.
 MOST_LOST = 0.6
-#: Navigation: a line of short labels between bars, arrows or bullets.
-NAVIGATION = r"^[^|»›•\n]{1,40}([|»›•][^|»›•\n]{1,40}){3,}[|»›•]?[\x20.]*$"
+#: Navigation: a line of so many short labels between bars, arrows or bullets.
+BARS, LONGEST_LABEL, LEAST_LABELS = "[|»›•]", 40, 4
 #: Phrases of lines that pages repeat around their text.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "terms and conditions", "privacy policy", "cookie policy",
@@ -36,11 +36,27 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def navigation(line: Column) -> Column:
+    """Whether a line is labels between bars; it may end with a bar, and with blanks and dots.
+
+    The line is split, as a pattern that repeats the labels would take stack for each of them.
+    """
+
+    def judged(labels: Column) -> Column:
+        n, last = F.size(labels), F.element_at(labels, -1)
+        bare = F.rtrim(last, F.lit(" ."))
+        before = F.forall(F.slice(labels, 1, n - 1), lambda x: F.length(x).between(1, LONGEST_LABEL))
+        open_end = (n >= LEAST_LABELS) & (F.length(last) > 0) & (F.length(bare) <= LONGEST_LABEL)
+        return (n >= LEAST_LABELS) & before & (open_end | ((n > LEAST_LABELS) & (bare == "")))
+
+    return _once(F.split(line, BARS), judged)
+
+
 def line_fails(line: Column) -> Column:
     """Whether a line is navigation, boilerplate or noise."""
     noise = [F.regexp_count(line, F.lit(p)) >= MOST_NOISE for p in NOISE]
     phrases = [F.contains(F.lower(line), F.lit(p)) for p in BOILERPLATE]
-    return reduce(Column.__or__, [F.rlike(line, F.lit(NAVIGATION)), *noise, *phrases])
+    return reduce(Column.__or__, [navigation(line), *noise, *phrases])
 
 
 def words(text: Column) -> Column:

@@ -49,14 +49,14 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontaminate", "op5_secrets", "op9_line_rules"])
+@pytest.mark.parametrize("name", ["op1_chat_format", "op2_decontaminate", "op5_secrets", "op9_line_rules", "op11_hard_negatives", "op12_embedding_groups"])
 def test_equal_to_duckdb(spark, name):
     ok, note = compare(spark, connect(SMALL), name, SMALL)
     assert ok, note
 
 
-def test_eleven_queries():
-    assert [re.match(r"op(\d+)_|pipeline", n)[0].strip("op_") for n in QUERIES] == [*map(str, range(1, 11)), "ipeline"]
+def test_queries():
+    assert [re.match(r"op(\d+)_|pipeline", n)[0].strip("op_") for n in QUERIES] == [*map(str, range(1, 14)), "ipeline"]
 
 
 def test_words_are_encoded_as_whole_texts():
@@ -396,3 +396,17 @@ def test_pipeline_stages_keep_columns(spark, docs):
     rows = kept.collect()
     assert len(rows) == len({(r.doc_id, r.text) for r in rows}) and any("<EMAIL>" in (r.text or "") for r in rows)
     assert corpus_pipeline.STAGES[4][1](spark, kept, SMALL).count() >= len(rows)
+
+
+def test_lines_of_many_bars(spark):
+    """Labels between bars are navigation, however many: the rule takes no stack for each of them."""
+    lines = {
+        "a|b|c|d": True, "a|b|c": False, "a | b | c | d |": True, "a|b|c|": False, "a|b|c| ": True, "a»b›c•d. .": True, "|a|b|c|d": False,
+        "a||b|c|d": False, "a|b|c|" + "x" * 40: True, "a|b|c|" + "x" * 41: False, "a|b|c|" + "x" * 40 + " .": True, "x" * 41 + "|b|c|d": False,
+        "a|b|c|d| . ": True, "ab|" * 100_000: True, "ab|" * 100_000 + "x" * 41: False, "plain": False, "": False,
+    }
+    rows = spark.createDataFrame(list(lines.items()), "line string, want boolean")
+    assert rows.where(line_rules.navigation(F.col("line")) != F.col("want")).count() == 0
+    text = "\n".join(["ab|" * 50_000, "word " * 60, "Home | News | Shop | About"])
+    got = line_rules.cleaned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.kept_lines == "word " * 60
