@@ -28,9 +28,15 @@ def _words(x: str) -> str:
 
 
 _ORDER = "ORDER BY turn, role, text"
+_LABELS = f"string_split_regex(l, {_q(line_rules.BARS)})"
+_BARE = f"rtrim({_LABELS}[-1], ' .')"
+_LEAST = line_rules.LEAST_LABELS
 _FAILS = " OR ".join(
     [
-        f"regexp_matches(l, {_q(line_rules.NAVIGATION)})",
+        f"""(len({_LABELS}) >= {_LEAST}
+             AND len([x for x in {_LABELS}[:-2] if length(x) NOT BETWEEN 1 AND {line_rules.LONGEST_LABEL}]) = 0
+             AND ((length({_LABELS}[-1]) > 0 AND length({_BARE}) <= {line_rules.LONGEST_LABEL})
+                  OR (len({_LABELS}) > {_LEAST} AND {_BARE} = '')))""",
         *[f"len(regexp_extract_all(l, {_q(p)})) >= {line_rules.MOST_NOISE}" for p in line_rules.NOISE],
         *[f"contains(lower(l), {_q(p)})" for p in line_rules.BOILERPLATE],
     ]
@@ -45,6 +51,8 @@ def _either(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
 
+_FINITE = "embedding IS NOT NULL AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0"
+
 #: Kinds of secrets in their order: pattern, what of a match is measured, and its least length.
 _ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + f"){_SIGN}({_VALUE})"
 _BASE = {
@@ -126,4 +134,33 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND 1 - left_chars::DOUBLE / greatest(word_chars, 1)::DOUBLE <= {line_rules.MOST_LOST} AS kept
         FROM f""",
+    "op11_hard_negatives": f"""
+        WITH r AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) for c in embedding] AS x
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+        p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+                     CAST(list_sum([z[1] * z[2] for z in list_zip(a.x, b.x)]) AS BIGINT) AS score
+              FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+        pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+               id AS negative_id, positive_score, score AS negative_score
+        FROM pos JOIN p USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        QUALIFY rank <= 5""",
+    "op12_embedding_groups": f"""
+        WITH RECURSIVE u AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE label IS NOT NULL AND {_FINITE} AND len([c for c in embedding if c <> 0]) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+              ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+              WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+        reach AS (SELECT vec_id AS v, vec_id AS w FROM embeddings
+                  UNION SELECT v, b FROM reach JOIN l ON w = a),
+        least AS (SELECT v AS vec_id, min(w) AS component_id FROM reach GROUP BY v),
+        n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM least LEFT JOIN n USING (vec_id)""",
 }

@@ -8,8 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import arrow_tokens, chat, decontaminate, license_model, line_rules, packing, pii, quality_model, secrets, simhash
+from millrace.llm import (
+    arrow_tokens, chat, decontaminate, hard_negatives, license_model, line_rules, packing, pii, quality_model, secrets,
+    simhash, vector_groups, whitening,
+)
 from millrace.llm.common import table
+from millrace.llm.vectors import finite, whole
 
 TOKENIZER = "word_bpe_49k.json"
 ESCAPE_TEST = "\\### Assistant: </turn> ok"
@@ -118,6 +122,25 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_paragraphs", "n_licences", F.array_join(families, ",").alias("families"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").where(finite(F.col("embedding"))).select(
+        vec_id, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), whole(F.col("embedding"), 256).alias("x")
+    )
+    return hard_negatives.mine(rows, anchors=vec_id % 100 == 0)
+
+
+def op12_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.usable(table(spark, sf_dir, "embeddings"))
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model) if model else 0.0
+    return whitening.whitened(rows, model).withColumn("identity_error", F.lit(error))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -128,6 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_decontaminate, op3_pack, op4_personal_data, op5_secrets, op6_token_files, op7_simhash,
-        op8_quality, op9_line_rules, op10_licences, pipeline,
+        op8_quality, op9_line_rules, op10_licences, op11_hard_negatives, op12_embedding_groups, op13_whitening, pipeline,
     )
 }
