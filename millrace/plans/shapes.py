@@ -134,8 +134,8 @@ def unpivot_measures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _apply(spark: SparkSession, folder: str, kind: str, n: int, keep_unmatched: bool) -> DataFrame:
-    purchases = table(spark, folder, "orders").where(F.col("o_orderstatus") == kind).select(
+def _apply(spark: SparkSession, folder: str, n: int, keep_unmatched: bool) -> DataFrame:
+    purchases = table(spark, folder, "orders").select(
         "o_custkey", F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount")
     )
     customers = raw_customers(spark, folder).select("customer_id", "name")
@@ -145,13 +145,13 @@ def _apply(spark: SparkSession, folder: str, kind: str, n: int, keep_unmatched:
 
 
 def cross_apply_top_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """CROSS APPLY: the two largest open orders of each customer that has any."""
-    return _apply(spark, folder, "O", 2, False)
+    """CROSS APPLY: the two largest orders of each customer that has any."""
+    return _apply(spark, folder, 2, False)
 
 
 def outer_apply_top_order(spark: SparkSession, folder: str) -> DataFrame:
-    """OUTER APPLY: the largest pending order of each customer, NULLs where there is none."""
-    return _apply(spark, folder, "P", 1, True)
+    """OUTER APPLY: the largest order of each customer, NULLs where there is none."""
+    return _apply(spark, folder, 1, True)
 
 
 def lateral_totals(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,6 +38,7 @@ def _business() -> dict[str, Query]:
         ),
         "upsert_sales_daily": loading.upsert_sales_daily,
         "upsert_customer_ltv": loading.upsert_customer_ltv,
+        "upsert_partitioned": loading.upsert_partitioned,
         "merge_balances": loading.merge_balances,
         "incremental_events": loading.incremental_events,
         "replace_vs_insert": loading.replace_vs_insert,

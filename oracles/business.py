@@ -84,6 +84,15 @@ SQL = {
                CASE WHEN report_date >= DATE '2000-01-01' THEN total_revenue ELSE 0 END AS total_revenue,
                CASE WHEN report_date >= DATE '2000-01-01' THEN avg_order_value ELSE 0 END AS avg_order_value,
                unique_customers, new_customers, returning_customers FROM daily""",
+    "upsert_partitioned": f"""WITH {RAW}, daily AS ({DAILY} GROUP BY so.order_date),
+        again AS (SELECT report_date FROM daily WHERE report_date = DATE '1999-03-01')
+        SELECT report_date, total_orders * CASE WHEN report_date IN (FROM again) THEN 2 ELSE 1 END AS total_orders,
+               CASE WHEN report_date >= DATE '2000-01-01' THEN total_revenue ELSE 0 END AS total_revenue,
+               CASE WHEN report_date >= DATE '2000-01-01' THEN avg_order_value ELSE 0 END AS avg_order_value,
+               unique_customers, new_customers, returning_customers,
+               CASE WHEN report_date >= DATE '2000-01-01' THEN 2
+                    WHEN date_trunc('month', report_date) IN (SELECT date_trunc('month', report_date) FROM again) THEN 3
+                    ELSE 1 END::BIGINT AS since FROM daily""",
     "upsert_customer_ltv": f"""WITH {RAW},
         o AS ({_ltv('2000-06-30', "so.order_date <= DATE '2000-06-30'")}),
         n AS ({_ltv('2001-08-01', "so.order_date >= DATE '2000-01-01'")})
@@ -99,7 +108,7 @@ SQL = {
         FROM o FULL OUTER JOIN n ON o.customer_id = n.customer_id""",
     "merge_balances": f"""WITH t AS (SELECT c_custkey, c_acctbal::DECIMAL(18,2) AS balance FROM customer
                                   WHERE c_mktsegment <> 'BUILDING'),
-        s AS (SELECT o_custkey, sum(o_totalprice::{MONEY}) AS charge FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+        s AS (SELECT o_custkey, sum(o_totalprice::{MONEY}) AS charge FROM orders GROUP BY 1)
         SELECT coalesce(c_custkey, o_custkey) AS customer_id,
                (coalesce(balance, 0) - coalesce(charge, 0))::DOUBLE AS balance,
                CASE WHEN c_custkey IS NULL THEN 'new' ELSE 'known' END AS origin
@@ -109,8 +118,8 @@ SQL = {
                CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'first' ELSE 'second' END AS load FROM events""",
     "replace_vs_insert": """
         SELECT c_custkey AS customer_id, c_name AS name, c_mktsegment AS segment, 'appended' AS target
-        FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
-        UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'replaced' FROM customer WHERE c_mktsegment = 'MACHINERY'""",
+        FROM customer
+        UNION ALL SELECT c_custkey, c_name, c_mktsegment, 'replaced' FROM customer WHERE c_mktsegment >= 'FURNITURE'""",
     "truncate_load_orders": """
         SELECT o_orderkey AS order_id, CASE WHEN o_orderdate >= DATE '2000-01-01' THEN 'R' ELSE o_orderstatus END AS status,
                o_orderdate::DATE AS order_date, year(o_orderdate) AS order_year FROM orders""",
@@ -177,12 +186,12 @@ SQL = {
         SELECT c_custkey AS customer_id, c_name AS name, order_id, amount, place FROM customer,
         LATERAL (SELECT o_orderkey AS order_id, o_totalprice AS amount,
                         row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place
-                 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') t WHERE place <= 2""",
+                 FROM orders WHERE o_custkey = c_custkey) t WHERE place <= 2""",
     "outer_apply_top_order": """
         SELECT c_custkey AS customer_id, c_name AS name, order_id, amount, place FROM customer LEFT JOIN
         (SELECT o_custkey, o_orderkey AS order_id, o_totalprice AS amount,
                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
-         FROM orders WHERE o_orderstatus = 'P') t ON o_custkey = c_custkey AND place = 1""",
+         FROM orders) t ON o_custkey = c_custkey AND place = 1""",
     "lateral_totals": """
         SELECT c_custkey AS customer_id, order_count, largest_order FROM customer,
         LATERAL (SELECT count(*) AS order_count, max(o_totalprice) AS largest_order FROM orders

@@ -165,3 +165,72 @@ def test_full_refresh_leaves_nothing_behind(spark):
     tables.truncate_load(spark.createDataFrame([(1, "x"), (2, "y")], "v int, p string"), path, ["p"])
     tables.truncate_load(spark.createDataFrame([(9, "y")], "v int, p string"), path, ["p"])
     assert [(r.v, r.p) for r in spark.read.parquet(path).collect()] == [(9, "y")]
+
+
+class TestPartitionedTable:
+    SCHEMA = "day date, v int, note string"
+
+    def table(self, spark):
+        from pyspark.sql.types import StructType
+
+        from millrace.sources.partitioned import PartitionedTable
+
+        month = F.year("day") * 100 + F.month("day")
+        return PartitionedTable(spark, new_path(spark, "months"), StructType.fromDDL(self.SCHEMA), ["day"], month)
+
+    def days(self, spark, *made):
+        return spark.createDataFrame([(d and dt.date(*d), v, n) for d, v, n in made], self.SCHEMA)
+
+    def test_a_change_reads_and_writes_its_partitions_only(self, spark):
+        mart = self.table(spark)
+        mart.create(self.days(spark, ((2024, 1, 1), 1, "a"), ((2024, 1, 2), 2, "b"), ((2024, 2, 1), 3, "c"), ((2024, 3, 9), 4, "d")))
+        before = {r.part: r.folder for r in mart.manifest().collect()}
+        one_day = self.days(spark, ((2024, 1, 2), 9, "x"))
+        read = mart.read(parts=[202401])
+        assert read.inputFiles() and all("__part=202401" in f for f in read.inputFiles())
+        assert mart.upsert(one_day, ["v"]) == 2
+        after = {r.part: (r.folder, r.since) for r in mart.manifest().collect()}
+        assert {p: f for p, (f, _) in after.items() if p != 202401} == {p: f for p, f in before.items() if p != 202401}
+        assert {p: s for p, (_, s) in after.items()} == {202401: 2, 202402: 1, 202403: 1}
+        assert rows(mart.read().select("v", "note")) == [(1, "a"), (3, "c"), (4, "d"), (9, "b")]
+        assert rows(mart.read(version=1).select("v")) == [(1,), (2,), (3,), (4,)]
+
+    def test_the_merge_plan_scans_touched_partitions_only(self, spark, monkeypatch):
+        from millrace.operators import upsert as operators
+
+        mart = self.table(spark)
+        mart.create(self.days(spark, ((2024, 1, 1), 1, "a"), ((2024, 2, 1), 3, "c")))
+        seen, merge = [], operators.merge
+        monkeypatch.setattr(operators, "merge", lambda *a: seen.append(merge(*a)) or seen[-1])
+        mart.upsert(stage(self.days(spark, ((2024, 2, 1), 7, "z"), ((2024, 4, 1), 8, "n")), "change"), ["v", "note"])
+        stored = [f for f in seen[0].inputFiles() if "months" in f]
+        assert stored and all("__part=202402" in f for f in stored)
+        assert {r.part: r.since for r in mart.manifest().collect()} == {202401: 1, 202402: 2, 202404: 2}
+        assert rows(mart.read().select("v", "note")) == [(1, "a"), (7, "z"), (8, "n")]
+
+    def test_merge_branches_and_an_empty_source(self, spark):
+        mart = self.table(spark)
+        mart.create(self.days(spark, ((2024, 1, 1), 1, "a"), (None, 5, "no day")))
+        mart.merge(self.days(spark, ((2024, 1, 1), 4, "q"), ((2024, 1, 5), 6, "r"), (None, 6, "s")), {"v": F.col("t.v") + F.col("s.v")}, None)
+        assert rows(mart.read().select("v", "note")) == [(5, "a"), (5, "no day")]
+        mart.merge(self.days(spark), {"v": F.lit(0)}, None)
+        assert rows(mart.read().select("v")) == [(5,), (5,)] and mart.versions() == [1, 2, 3]
+
+    def test_of_two_changes_on_one_version_the_later_fails(self, spark):
+        from millrace.sources.partitioned import VersionConflict
+
+        mart = self.table(spark)
+        mart.create(self.days(spark, ((2024, 1, 1), 1, "a")))
+        mart.upsert(self.days(spark, ((2024, 1, 1), 2, "b")), ["v"])
+        with pytest.raises(VersionConflict):
+            mart._commit(2, self.days(spark, ((2024, 1, 1), 3, "c")), 1, [202401])
+        assert rows(mart.read().select("v")) == [(2,)]
+        with pytest.raises(VersionConflict):
+            mart.create(self.days(spark, ((2024, 1, 1), 1, "a")))
+
+    def test_two_source_rows_for_a_key_leave_no_version(self, spark):
+        mart = self.table(spark)
+        mart.create(self.days(spark, ((2024, 1, 1), 1, "a")))
+        with pytest.raises(Exception, match="two source rows"):
+            mart.upsert(self.days(spark, ((2024, 1, 1), 2, "b"), ((2024, 1, 1), 3, "c")), ["v"])
+        assert mart.versions() == [1] and rows(mart.read().select("v")) == [(1,)]
