@@ -1,73 +1,104 @@
 """Graph operators over edge tables ``(keys…, src, dst)``; each key value is a graph of its own.
 
-All graphs advance together, one distributed join per round, and every round is a written table.
-Nothing is collected but the row count of a round; a loop ends with a round that adds nothing.
+All graphs advance together and every round is one written table. Rounds double the distance they look at: the
+``jumps`` of round k are the pairs joined by a walk of 2^k edges, so a graph as deep as n takes about log2 n
+rounds. Nothing is collected but the row counts of a round.
+
+The jumps of a chain or a tree are at most as many as its nodes in each round; in general they are pairs of
+the closure. ``components`` keeps one row per node and edge instead, whatever the graph.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.operators.staging import Rounds
+from millrace.operators.staging import stage
+
+#: Up to so many edges, walks are lengthened before the size of the largest graph is asked for.
+SHORT = 8
+
+
+def _written(df: DataFrame, tag: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The written table, and how many of its rows each condition holds for, counted by the same write."""
+    seen = Observation()
+    table = stage(df.observe(seen, *[F.count(F.when(c, 1)).alias(n) for n, c in counted.items()]), tag)
+    return table, seen.get
+
+
+def _ahead(jumps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return jumps.select(*keys, F.col("__src").alias("node"), F.col("node").alias("__next"))
+
+
+def _doubled(jumps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    longer = jumps.join(_ahead(jumps, keys), [*keys, "node"]).select(*keys, "__src", F.col("__next").alias("node"))
+    return longer.distinct()
+
+
+def _arcs(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return edges.select(*keys, F.col("src").alias("__src"), F.col("dst").alias("node")).where("__src <> node").distinct()
+
+
+def _cyclic_from(nodes: DataFrame, keys: Sequence[str]) -> int:
+    """A walk of so many edges visits a node of its graph twice."""
+    largest = (nodes.groupBy(*keys) if keys else nodes.groupBy()).count().agg(F.max("count")).first()[0]
+    return largest or 0
 
 
 def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, node, level)``: the length of the longest path to each node; NULL where a cycle precedes it.
 
-    Layers are peeled: each round removes the edges whose source is settled, and a node settles when all
-    of its edges are removed. The edge table only shrinks; what cannot be peeled lies on or behind a cycle.
+    A path of less than 2^(k+1) edges either has less than 2^k, or its last 2^k are a jump and the others
+    come before that. Nodes that walks as long as their graph is large lead to are on or behind a cycle.
     """
     keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "levels")
-    arcs = edges.select(*keys, "src", "dst").where("src <> dst").distinct()
-    targets = arcs.select(*keys, F.col("dst").alias("src")).distinct().withColumn("waits", F.lit(True))
-    removed = rounds.add(
-        arcs.join(targets, [*keys, "src"], "left").select(
-            *keys, "src", "dst", F.col("waits").isNull().alias("removed"), F.lit(1).alias("level")
-        ),
-        F.col("removed"),
-    )
-
-    def settled(table: DataFrame) -> DataFrame:
-        done = table.groupBy(*keys, F.col("dst").alias("node"), "level").agg(F.min("removed").alias("done"))
-        return done.where("done").drop("done")
-
-    while removed:
-        state = rounds.last()
-        ready = settled(state).select(*keys, F.col("node").alias("src"), F.lit(True).alias("ready"))
-        removed = rounds.add(
-            state.where("NOT removed").join(ready, [*keys, "src"], "left").select(
-                *keys, "src", "dst", F.col("ready").isNotNull().alias("removed"), F.lit(rounds.count + 1).alias("level")
-            ),
-            F.col("removed"),
+    jump, level = F.col("__src").isNotNull(), F.lit(None).cast("bigint").alias("level")
+    state, n = _written(_arcs(edges, keys).withColumn("level", level), "levels", jumps=jump)
+    length, least = 1, None
+    while n["jumps"]:
+        if length >= SHORT:
+            least = _cyclic_from(nodes, keys) if least is None else least
+            if length >= least:
+                break
+        jumps, placed = state.where(jump), state.where(~jump).drop("__src")
+        before = placed.select(*keys, F.col("node").alias("__src"), F.col("level").alias("__before"))
+        reached = jumps.join(before, [*keys, "__src"], "left").select(
+            *keys, "node", (F.coalesce("__before", F.lit(0)) + length).alias("level")
         )
-    placed = settled(rounds.all())
-    blocked = rounds.last().select(*keys, F.col("dst").alias("node")).distinct()
-    known = placed.withColumn("state", F.lit("placed")).unionByName(
-        blocked.withColumn("level", F.lit(None).cast("int")).withColumn("state", F.lit("blocked"))
-    )
-    level = F.when(F.col("state").isNull(), 0).otherwise(F.col("level"))
-    return nodes.select(*keys, "node").join(known, [*keys, "node"], "left").select(
-        *keys, "node", level.cast("bigint").alias("level")
+        best = placed.unionByName(reached).groupBy(*keys, "node").agg(F.max("level").alias("level"))
+        longer = _doubled(jumps, keys).withColumn("level", level)
+        state, n = _written(longer.unionByName(best, allowMissingColumns=True), "levels", jumps=jump)
+        length *= 2
+    blocked = state.where(jump).select(*keys, "node").distinct().withColumn("blocked", F.lit(True))
+    known = state.where(~jump).select(*keys, "node", "level")
+    found = nodes.select(*keys, "node").join(known, [*keys, "node"], "left").join(blocked, [*keys, "node"], "left")
+    return found.select(
+        *keys, "node", F.when(F.col("blocked").isNull(), F.coalesce("level", F.lit(0))).cast("bigint").alias("level")
     )
 
 
 def reachable(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
-    """All ``(keys…, carry…, node)`` rows reached from ``starts``, which are included.
+    """All ``(keys…, carry…, node)`` rows reached from ``starts``, which are included; cycles end by themselves.
 
-    Semi-naive: only rows that are new in a round are joined in the next. Cycles end by themselves.
+    What round k has found lies less than 2^k edges away. When a round finds nothing new, nothing lies further.
     """
     keys, columns = list(keys), [*keys, *carry, "node"]
-    rounds = Rounds(starts.sparkSession, "reach")
-    arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next"))
-    fresh = rounds.add(starts.select(*columns).distinct())
-    while fresh:
-        step = rounds.last().join(arcs, [*keys, "node"]).select(*keys, *carry, F.col("next").alias("node")).distinct()
-        fresh = rounds.add(step.join(rounds.all(), columns, "left_anti"))
-    return rounds.all()
+    jump = F.col("__src").isNotNull()
+    first = starts.select(*columns).distinct().unionByName(_arcs(edges, keys), allowMissingColumns=True)
+    state, n = _written(first, "reach", jumps=jump, found=~jump)
+    while n["jumps"]:
+        jumps, found = state.where(jump).select(*keys, "__src", "node"), state.where(~jump).select(*columns)
+        step = found.join(_ahead(jumps, keys), [*keys, "node"]).select(*keys, *carry, F.col("__next").alias("node"))
+        # A shortest path meets no node twice, so jumps that come back to their start are not needed.
+        longer = _doubled(jumps, keys).where("__src <> node")
+        before = n["found"]
+        both = found.unionByName(step).distinct().unionByName(longer, allowMissingColumns=True)
+        state, n = _written(both, "reach", jumps=jump, found=~jump)
+        if n["found"] == before:
+            break
+    return state.where(~jump).select(*columns)
 
 
 def closure(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,33 +107,116 @@ def closure(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return reachable(starts, edges, keys, ["src"]).withColumnRenamed("node", "dst")
 
 
+def walks(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Sequence[str] = (), path: Sequence[str] = ()) -> DataFrame:
+    """``(keys…, carry…, node, steps)``: every walk from the rows of ``starts``, one row per walk.
+
+    Where each node has one way in, or one way out, there are as many rows as there are nodes on the way. The
+    text columns ``path`` of ``starts`` and ``edges`` are appended along the walk. A walk that never ends, as a cycle
+    can be reached, is an error.
+    """
+    keys, carry, path = list(keys), list(carry), list(path)
+    jump = F.col("__src").isNotNull()
+    arcs = edges.select(*keys, F.col("src").alias("__src"), F.col("dst").alias("node"), *path)
+    first = starts.select(*keys, *carry, "node", *path, F.lit(0).cast("bigint").alias("steps"))
+    state, n = _written(first.unionByName(arcs, allowMissingColumns=True), "walks", jumps=jump, found=~jump)
+    length, most = 1, None
+    while n["jumps"]:
+        jumps, found = state.where(jump).select(*keys, "__src", "node", *path), state.where(~jump).drop("__src")
+        ahead = jumps.select(
+            *keys, F.col("__src").alias("node"), F.col("node").alias("__next"), *[F.col(p).alias(f"__{p}") for p in path]
+        )
+        longer_path = [F.concat(p, f"__{p}").alias(p) for p in path]
+        step = found.join(ahead, [*keys, "node"]).select(
+            *keys, *carry, F.col("__next").alias("node"), *longer_path, (F.col("steps") + length).alias("steps")
+        )
+        longer = jumps.join(ahead, [*keys, "node"]).select(*keys, "__src", F.col("__next").alias("node"), *longer_path)
+        before = n["found"]
+        both = found.unionByName(step).unionByName(longer, allowMissingColumns=True)
+        state, n = _written(both, "walks", jumps=jump, found=~jump)
+        if n["found"] == before:
+            break
+        if length >= SHORT:
+            most = edges.count() if most is None else most
+            if length > most:
+                raise RuntimeError(f"a walk of {length} edges among {most}: the data hold a cycle")
+        length *= 2
+    return state.where(~jump).select(*keys, *carry, "node", *path, "steps")
+
+
 def longest_path(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, path)``: the longest path of each graph, NULL where it has a cycle.
 
-    Among equally long paths the first by node names is taken. Round ``r`` keeps, per end node, the first
-    path of those with ``r`` edges. A path that would come back to one of its own nodes shows a cycle,
-    and its graph leaves the loop.
+    Among equally long paths the first by node names is taken. Heights (the longest path onward) come first;
+    the path then starts at the first of the highest nodes and goes on to the first neighbour one lower,
+    so that each node has one successor and the path is a walk over these.
     """
     keys = list(keys)
-    rounds = Rounds(nodes.sparkSession, "paths")
-    arcs = edges.select(*keys, F.col("src").alias("node"), F.col("dst").alias("next")).where("node <> next").distinct()
-    extended = rounds.add(
-        nodes.select(
-            *keys, "node", F.array("node").alias("path"), F.lit(0).alias("length"), F.lit(False).alias("cyclic")
-        ).distinct()
-    )
-    while extended:
-        ended = rounds.last().where("cyclic").select(*keys).distinct()
-        going = rounds.last().where("NOT cyclic").join(ended, keys, "left_anti")
-        step = going.join(arcs, [*keys, "node"]).select(
-            *keys, F.col("next").alias("node"), F.array_append("path", F.col("next")).alias("path"),
-            F.array_contains("path", F.col("next")).alias("back"),
-        )
-        extended = rounds.add(
-            step.groupBy(*keys, "node").agg(F.min("path").alias("path"), F.max("back").alias("cyclic"))
-            .select(*keys, "node", "path", F.lit(rounds.count).alias("length"), "cyclic")
-        )
-    best = F.min(F.struct((-F.col("length")).alias("rank"), "path"))
-    return rounds.all().groupBy(*keys).agg(best.alias("best"), F.max("cyclic").alias("cyclic")).select(
-        *keys, F.when(~F.col("cyclic"), F.col("best.path")).alias("path")
+    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    heights = stage(levels(nodes.select(*keys, "node").distinct(), back, keys), "heights")
+    summary = heights.groupBy(*keys).agg(
+        F.max(F.col("level").isNull()).alias("cyclic"), F.min(F.struct((-F.col("level")).alias("rank"), "node")).alias("first")
     )
+    summary = stage(summary, "tops")
+    straight = heights.join(summary.where("NOT cyclic").select(*keys), keys, "left_semi")
+    high = straight.select(*keys, F.col("node").alias("src"), F.col("level").alias("high"))
+    low = straight.select(*keys, F.col("node").alias("dst"), (F.col("level") + 1).alias("high"))
+    onward = edges.select(*keys, "src", "dst").join(high, [*keys, "src"]).join(low, [*keys, "dst", "high"])
+    onward = onward.groupBy(*keys, "src").agg(F.min("dst").alias("dst"))
+    starts = summary.where("NOT cyclic").select(*keys, F.col("first.node").alias("node"))
+    places = F.array_sort(F.collect_list(F.struct("steps", "node")))
+    paths = walks(starts, onward, keys).groupBy(*keys).agg(F.transform(places, lambda p: p["node"]).alias("path"))
+    return summary.select(*keys).join(paths, keys, "left")
+
+
+def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys…, node, component)`` of the nodes that lie on a cycle: equal components reach each other.
+
+    ``component`` is the smallest node of its kind. A phase drops nodes without a way in or out, then ranks
+    the others afresh by a hash; the highest rank that leads to a node is its colour. Nodes of a colour that
+    lead back to where it comes from are strongly connected with that node, and edges between colours join
+    no cycle. A colour spreads along edges and, as who is before my colour is before me, from the node it is
+    named for, so it needs few rounds on long ways too. Tables hold a row per node or edge, never per pair.
+    """
+    keys = list(keys)
+    arcs = stage(edges.select(*keys, "src", "dst").where("src <> dst").distinct(), "arcs")
+    done: list[DataFrame] = []
+    while True:
+        ins = arcs.select(*keys, F.col("dst").alias("src")).distinct()
+        outs = arcs.select(*keys, F.col("src").alias("dst")).distinct()
+        kept = arcs.join(ins, [*keys, "src"], "left_semi").join(outs, [*keys, "dst"], "left_semi").select(*keys, "src", "dst")
+        arcs, n = _written(kept, "arcs", rows=F.lit(True))
+        if not n["rows"]:
+            break
+        forward = _coloured(arcs, keys, len(done))
+        one, two = (forward.select(*keys, F.col("node").alias(end), F.col("colour").alias(f"c_{end}")) for end in ("src", "dst"))
+        inside = arcs.join(one, [*keys, "src"]).join(two, [*keys, "dst"]).where("c_src = c_dst").select(*keys, "src", "dst")
+        inside = stage(inside, "inside")
+        backward = _coloured(inside.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")), keys, len(done))
+        strong = forward.join(backward, [*keys, "node", "colour"]).select(*keys, "node", F.col("colour.node").alias("__name"))
+        strong = stage(strong, "strong")
+        done.append(strong)
+        for end in ("src", "dst"):
+            inside = inside.join(strong.select(*keys, F.col("node").alias(end)), [*keys, end], "left_anti")
+        arcs = inside.select(*keys, "src", "dst")
+    found = arcs.select(*keys, F.col("src").alias("node"), F.col("src").alias("__name"))
+    for part in done:
+        found = found.unionByName(part)
+    names = found.groupBy(*keys, "__name").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("__n"))
+    return found.join(names.where("__n > 1"), [*keys, "__name"]).select(*keys, "node", "component")
+
+
+def _coloured(arcs: DataFrame, keys: Sequence[str], phase: int) -> DataFrame:
+    """``(keys…, node, colour)``: the highest (rank, node) among each node and all that lead to it."""
+    nodes = arcs.select(*keys, F.col("src").alias("node")).union(arcs.select(*keys, "dst")).distinct()
+    rank = F.xxhash64(*keys, "node", F.lit(phase))
+    state = stage(nodes.withColumn("colour", F.struct(rank.alias("rank"), F.col("node").alias("node"))), "colours")
+    while True:
+        along = arcs.join(state.withColumnRenamed("node", "src"), [*keys, "src"]).select(*keys, F.col("dst").alias("node"), "colour")
+        named = state.select(*keys, "node", F.col("colour.node").alias("__via")).where("node <> __via")
+        further = named.join(state.select(*keys, F.col("node").alias("__via"), "colour"), [*keys, "__via"]).select(*keys, "node", "colour")
+        offered = along.unionByName(further).withColumn("own", F.lit(False)).unionByName(state.withColumn("own", F.lit(True)))
+        best = offered.groupBy(*keys, "node").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("own"), F.col("colour"))).alias("old"))
+        table, n = _written(best, "colours", changed=F.col("colour") > F.col("old"))
+        state = table.drop("old")
+        if not n["changed"]:
+            return state

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import scan
 from millrace.operators.apply import apply_top_n
-from millrace.operators.recursion import connect_by, recursive_union
+from millrace.operators.recursion import connect_by, hierarchy
 from millrace.plans.warehouse import MONEY, employees, raw_customers
 from millrace.sources.tables import table
 
@@ -210,17 +210,23 @@ def hierarchy_levels(spark: SparkSession, folder: str) -> DataFrame:
 def recursive_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Recursive CTE: every employee with the chain of managers above as a path."""
     staff = employees(spark, folder).select("employee_id", "manager_id")
-    anchor = staff.where(F.col("manager_id").isNull()).select(
-        "employee_id", F.col("employee_id").cast("string").alias("path")
-    )
+    walked = connect_by(staff, "employee_id", "manager_id", path=("path", F.col("employee_id"), "/"))
+    return walked.select("employee_id", "path")
+
 
-    def step(last: DataFrame) -> DataFrame:
-        above = last.select(F.col("employee_id").alias("boss"), F.col("path").alias("boss_path"))
-        return staff.join(above, F.col("manager_id") == F.col("boss")).select(
-            "employee_id", F.concat_ws("/", "boss_path", F.col("employee_id").cast("string")).alias("path")
-        )
+def hierarchy_marks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each order under the one before it of the same customer: root, level and whether it is on a cycle.
 
-    return recursive_union(anchor, step)
+    The first order of every fifth customer hangs below the last one, so that these orders form a cycle.
+    """
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("order_id"))
+    above = orders.groupBy("customer_id").agg(F.max("order_id").alias("last_id"))
+    placed = scan.row_number(orders, ["customer_id"], [F.col("order_id")], "place")
+    prior = placed.select("customer_id", (F.col("place") + 1).alias("place"), F.col("order_id").alias("prior_id"))
+    chained = placed.join(prior, ["customer_id", "place"], "left").join(above, "customer_id").select(
+        "order_id", F.when(F.col("prior_id").isNull() & (F.col("customer_id") % 5 == 0), F.col("last_id")).otherwise(F.col("prior_id")).alias("prior_id")
+    )
+    return hierarchy(chained, "order_id", "prior_id").withColumn("root", F.col("root").cast("bigint"))
 
 
 def gross_margin(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,9 +56,12 @@ def levels(statements: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.levels(nodes, edges, ["script_id"]).withColumnRenamed("node", "stmt_no")
 
 
-def cycles(levels: DataFrame) -> DataFrame:
-    """Statements that no order can place."""
-    return levels.where("level IS NULL").select("script_id", "stmt_no")
+def cycles(edges: DataFrame) -> DataFrame:
+    """``(script_id, stmt_no, component)``: the statements on a cycle; equal components depend on each other.
+
+    Statements that only wait behind a cycle are not listed, though no order can place them either.
+    """
+    return graph.components(edges, ["script_id"]).withColumnRenamed("node", "stmt_no")
 
 
 def dependency_labels(statements: DataFrame, edges: DataFrame, levels: DataFrame) -> DataFrame:

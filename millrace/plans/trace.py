@@ -1,8 +1,8 @@
 """Column trace: the way of a column through the CTEs and the final select of each statement.
 
 A hop is the first item of a select that mentions a column. Where the column goes next is the
-nearest later select that mentions the hop's output, found for all hops in one ordered pass; a
-trace then follows these links, one join per hop for all traces together.
+nearest later select that mentions the hop's output, found for all hops in one ordered pass; all
+traces then follow these links together, in rounds that double the distance.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import sqltext as sql
-from millrace.operators.recursion import recursive_union
+from millrace.operators import graph
 from millrace.operators.staging import stage
 
 UNNAMED = "final_output"
@@ -68,16 +68,13 @@ def trace_steps(models: DataFrame, questions: DataFrame) -> DataFrame:
     links = stage(_linked(hops(models)), "hops")
     start = links.groupBy("script_id", "stmt_no", F.col("input_col").alias("column")).agg(F.min("ord").alias("ord"))
     asked = questions.select("script_id", F.lower("column").alias("column")).distinct()
-    anchor = asked.join(start, ["script_id", "column"]).select(
-        "script_id", "column", "stmt_no", "ord", F.col("column").alias("input_col")
+    place = F.struct("stmt_no", "ord", F.col("column").alias("input_col")).alias("node")
+    starts = asked.join(start, ["script_id", "column"]).select("script_id", "column", place)
+    onward = links.where("next_ord IS NOT NULL").select(
+        "script_id", F.struct("stmt_no", "ord", "input_col").alias("src"),
+        F.struct("stmt_no", F.col("next_ord").alias("ord"), F.col("output_col").alias("input_col")).alias("dst"),
     )
-
-    def step(last: DataFrame) -> DataFrame:
-        return last.join(links, _AT).where("next_ord IS NOT NULL").select(
-            "script_id", "column", "stmt_no", F.col("next_ord").alias("ord"), F.col("output_col").alias("input_col")
-        )
-
-    visited = recursive_union(anchor, step)
+    visited = graph.reachable(starts, onward, ["script_id"], ["column"]).select("script_id", "column", "node.*")
     order = Window.partitionBy("script_id", "column").orderBy("stmt_no", "ord")
     return visited.join(links, _AT).join(items(models), ["script_id", "stmt_no", "ord", "item"]).select(
         "script_id", "column", F.row_number().over(order).cast("bigint").alias("hop"), "stmt_no", "model_name",

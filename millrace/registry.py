@@ -65,6 +65,7 @@ def _business() -> dict[str, Query]:
         "self_join_managers": shapes.self_join_managers,
         "hierarchy_levels": shapes.hierarchy_levels,
         "recursive_reports": shapes.recursive_reports,
+        "hierarchy_marks": shapes.hierarchy_marks,
         "gross_margin": shapes.gross_margin,
     }
 
@@ -147,7 +148,7 @@ def _statement_queries() -> dict[str, Query]:
         "stmt_edges_nearest_prior": lambda s, d: statement_graph.edges(_slim(s, d), "nearest_prior"),
         "stmt_predecessors": lambda s, d: statement_graph.predecessors(statement_graph.edges(_slim(s, d))),
         "stmt_levels": levels,
-        "cycles": lambda s, d: statement_graph.cycles(levels(s, d)),
+        "cycles": lambda s, d: statement_graph.cycles(statement_graph.edges(_slim(s, d))),
         "dependency_labels": dependency_labels,
         "tables_touched": lambda s, d: catalog.tables_touched(_statements(s, d)),
         "corpus_rollup": lambda s, d: catalog.type_rollup(_statements(s, d)),

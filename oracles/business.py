@@ -219,6 +219,14 @@ SQL = {
               UNION ALL SELECT e.employee_id, h.path || '/' || e.employee_id FROM employees e
               JOIN h ON e.manager_id = h.employee_id)
         SELECT * FROM h""",
+    "hierarchy_marks": """
+        WITH o AS (SELECT o_custkey AS c, o_orderkey AS id, count(*) OVER w AS place, lag(o_orderkey) OVER w AS prior,
+                          max(o_orderkey) OVER (PARTITION BY o_custkey) AS last,
+                          min(o_orderkey) OVER (PARTITION BY o_custkey) AS first
+                   FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+        SELECT id AS order_id, CASE WHEN prior IS NULL AND c % 5 = 0 THEN last ELSE prior END AS prior_id,
+               CASE WHEN c % 5 <> 0 THEN first END AS root, CASE WHEN c % 5 <> 0 THEN place END AS level, c % 5 = 0 AS on_cycle
+        FROM o""",
     "gross_margin": """
         SELECT l_orderkey AS order_id, l_linenumber::BIGINT AS line_no, l_partkey AS part_id,
                l_shipdate::DATE AS ship_date, l_extendedprice * (1 - l_discount) AS net,

@@ -384,8 +384,11 @@ SQL = {
     "stmt_predecessors": f"""WITH {EDGES}, e AS (SELECT DISTINCT script_id, src, dst FROM edges)
         SELECT script_id, dst AS stmt_no, string_agg(src::VARCHAR, ',' ORDER BY src) AS predecessors FROM e GROUP BY ALL""",
     "stmt_levels": f"WITH RECURSIVE {EDGES}, {levels_of('catalog', 'edges', 'script_id', 'stmt_no')} SELECT * FROM leveled",
-    "cycles": f"""WITH RECURSIVE {EDGES}, {levels_of('catalog', 'edges', 'script_id', 'stmt_no')}
-        SELECT script_id, stmt_no FROM leveled WHERE level IS NULL""",
+    "cycles": f"""WITH RECURSIVE {EDGES},
+        r AS (SELECT script_id, src AS a, dst AS b FROM edges UNION
+              SELECT r.script_id, a, dst FROM r JOIN edges e ON r.script_id = e.script_id AND b = src)
+        SELECT script_id, x.a AS stmt_no, min(x.b) AS component FROM r x JOIN r y USING (script_id)
+        WHERE x.b = y.a AND y.b = x.a GROUP BY ALL""",
     "dependency_labels": f"""WITH RECURSIVE {EDGES}, {levels_of('catalog', 'edges', 'script_id', 'stmt_no')},
         lab AS (SELECT script_id, stmt_no, {safe_label('label')} AS label FROM catalog)
         SELECT e.script_id, u.label AS upstream, d.label AS downstream, min(level) AS level FROM edges e

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import graph
-from millrace.operators.recursion import connect_by, recursive_union
+from millrace.operators.recursion import connect_by, hierarchy, recursive_union
 
 E = "g int, src string, dst string"
 N = "g int, node string"
@@ -77,6 +77,94 @@ def test_levels_closure_and_longest_path_against_brute_force(spark, seed, acycli
         assert all(got[(g, a)] < got[(g, b)] for g, a, b in edges)
 
 
+@pytest.mark.parametrize("seed", [3, 4, 5, 6])
+def test_components_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    edges = {(g, f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for g in range(3) for _ in range(13)}
+    closed = reach(edges)
+    mutual = {(g, a, b) for g, a, b in closed if (g, b, a) in closed}
+    want = {(g, a): min(y for h, x, y in mutual if (h, x) == (g, a)) for g, a, b in mutual if a != b}
+    got = graph.components(spark.createDataFrame(sorted(edges), E), ["g"]).collect()
+    assert {(r.g, r.node): r.component for r in got} == want and len(got) == len(want)
+
+
+def chain(spark, n, g=0):
+    return spark.range(n).select(F.lit(g).alias("g"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+
+
+@pytest.fixture
+def rounds(monkeypatch):
+    """How many tables the loops write."""
+    written, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, tag: written.append(tag) or stage(df, tag))
+    return written
+
+
+def test_a_thousand_links_take_logarithmic_rounds(spark, rounds):
+    edges, n = chain(spark, 1000).coalesce(1), spark.range(1001).select(F.lit(0).alias("g"), F.col("id").alias("node"))
+    got = graph.levels(n, edges, ["g"])
+    assert got.where("level <> node").count() == 0 and got.count() == 1001 and len(rounds) <= 12
+    rounds.clear()
+    starts = spark.createDataFrame([(0, "a", 0), (0, "b", 990)], "g int, label string, node long")
+    found = graph.reachable(starts, edges, ["g"], ["label"])
+    assert {(r.label, r.n) for r in found.groupBy("label").agg(F.count("node").alias("n")).collect()} == {("a", 1001), ("b", 11)}
+    assert len(rounds) <= 12
+    rounds.clear()
+    path = graph.longest_path(n, edges, ["g"]).first().path
+    assert path == list(range(1001)) and len(rounds) <= 26
+
+
+def test_components_of_a_long_cycle_with_a_tail(spark):
+    around = chain(spark, 60).coalesce(1).unionByName(spark.createDataFrame([(0, 60, 20)], "g int, src long, dst long"))
+    got = {r.node: r.component for r in graph.components(around, ["g"]).collect()}
+    assert got == dict.fromkeys(range(20, 61), 20)
+
+
+def test_closure_of_a_deep_chain_and_of_a_cycle(spark, rounds):
+    edges = chain(spark, 100).unionByName(spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 0)], "g int, src long, dst long"))
+    got = {(r.g, r.src, r.dst) for r in graph.closure(edges, ["g"]).collect()}
+    assert got == {(0, a, b) for a in range(101) for b in range(a + 1, 101)} | {(1, a, b) for a in range(3) for b in range(3)}
+    assert len(rounds) <= 9
+
+
+def test_a_hierarchy_of_100000_levels(spark, rounds):
+    n = 100_000
+    rows = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("boss"))
+    got = connect_by(rows, "id", "boss")
+    assert got.where("level <> id + 1").count() == 0 and got.count() == n and len(rounds) <= 20
+    rounds.clear()
+    marked = hierarchy(rows, "id", "boss")
+    assert marked.where("level <> id + 1 OR root <> 0 OR on_cycle").count() == 0 and marked.count() == n and len(rounds) <= 20
+
+
+def test_a_cycle_ends_in_a_table(spark):
+    rows = [(1, None), (2, 1), (3, 5), (4, 3), (5, 4), (6, 5), (7, 6), (8, 8), (9, 99), (10, 9), (None, 2), (None, None)]
+    staff = spark.createDataFrame(rows, "id int, boss int")
+    got = {(r.id, r.boss): (r.root, r.level, r.on_cycle) for r in hierarchy(staff, "id", "boss").collect()}
+    lost, behind = (None, None, True), (None, None, False)
+    assert got == {
+        (1, None): (1, 1, False), (2, 1): (1, 2, False), (3, 5): lost, (4, 3): lost, (5, 4): lost, (6, 5): behind, (7, 6): behind,
+        (8, 8): lost, (9, 99): (9, 1, False), (10, 9): (9, 2, False), (None, 2): (1, 3, False), (None, None): (None, 1, False),
+    }
+    with pytest.raises(RuntimeError, match="cycle"):
+        connect_by(staff, "id", "boss", start_with=F.col("id") == 3)
+
+
+def test_connect_by_counts_every_way_and_carries_paths(spark):
+    parts = spark.createDataFrame([("car", None), ("axle", "car"), ("wheel", "axle"), ("wheel", "car"), ("bolt", "wheel")], "part string, of string")
+    got = sorted((r.level, r.way) for r in connect_by(parts, "part", "of", path=("way", F.col("part"), "/")).collect())
+    assert got == sorted([
+        (1, "car"), (2, "car/axle"), (3, "car/axle/wheel"), (2, "car/wheel"),
+        (4, "car/axle/wheel/bolt"), (3, "car/wheel/bolt"),
+    ])
+
+
+def test_distinct_recursion_ends_on_a_cycle(spark):
+    one = spark.createDataFrame([(0, None)], "n int, x int")
+    got = recursive_union(one, lambda last: last.select(((F.col("n") + 1) % 5).alias("n"), "x"), distinct=True)
+    assert sorted(r.n for r in got.collect()) == [0, 1, 2, 3, 4]
+
+
 def test_no_edges(spark):
     n = spark.createDataFrame([(0, "a"), (0, "b")], N)
     e = spark.createDataFrame([], E)
