@@ -5,7 +5,7 @@ code points, one for one, so that later patterns see neither a keyword nor a sep
 ``unveil`` brings them back. The quotes of an identifier stay, and no other double quote does, so a
 pattern knows a quoted name by them. Table names keep their quotes, column names lose them.
 Comments are also framed by two marks, so that they can be cut out of veiled text.
-All patterns but ``BLOCK`` stay within the syntax that Java and RE2 share.
+All patterns but ``BLOCK_END`` stay within the syntax that Java and RE2 share.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ AGGREGATES = ("SUM", "COUNT", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "MEDIAN
 _PRIVATE = 0x10F000
 PLAIN = "".join(chr(c) for c in range(0x20, 0x7F) if chr(c) != "'")
 VEILED = "".join(chr(_PRIVATE + ord(c)) for c in PLAIN)
-COMMENT_START, COMMENT_END = chr(_PRIVATE + 1), chr(_PRIVATE + 2)
+COMMENT_START, COMMENT_END, CUT = chr(_PRIVATE + 1), chr(_PRIVATE + 2), chr(_PRIVATE + 3)
 
 PIECES = r"""(?s)'[^']*'?|"[^"]*"|--[^\n]*|/\*.*?\*/|[^'"/\-]+|."""
 COMMENT = f"{COMMENT_START}[^{COMMENT_END}]*{COMMENT_END}"
 # Possessive, so that a long run of comments neither recurses nor backtracks.
 _GAP = rf"\s*+(?:{COMMENT}\s*+)*+"
-BLOCK = rf"(?is)\bBEGIN\b(.*?)\bEND\b{_GAP};"
+BLOCK_END = rf"(?i)\bEND\b{_GAP};"
+BLOCK_BODY = r"(?is)\bBEGIN\b.*$"
+UNWRAPPED = rf"(?is)\bBEGIN\b(.*)\bEND\b{_GAP};$"
 
 _QUOTED = r'"[^"]*"'
 WORD = rf"(?:\w+|{_QUOTED})"
@@ -84,9 +86,20 @@ def strip_comments(sql: Column) -> Column:
     return _rebuild(sql, lambda p: F.lit(" "), lambda p: p)
 
 
-def blank_comments(sql: Column) -> Column:
-    """Comments become blanks of the same length and keep their line breaks, so offsets stay valid."""
-    return _rebuild(sql, lambda p: F.regexp_replace(p, r"[^\n]", " "), lambda p: p)
+def blanked(sql: Column) -> Column:
+    """Only code is left: comments, and what literals and quoted names hold, are blanks of the same length.
+
+    Line breaks and quotes stay, so that offsets are those of the text and a literal can be seen to begin.
+    """
+
+    def blank(text: Column) -> Column:
+        return F.regexp_replace(text, r"[^\n]", " ")
+
+    def quoted(p: Column) -> Column:
+        ended = (F.length(p) > 1) & p.endswith(F.substring(p, 1, 1))
+        return F.concat(F.substring(p, 1, 1), blank(F.substring(p, F.lit(2), F.length(p) - F.when(ended, 2).otherwise(1))), F.when(ended, F.substring(p, 1, 1)).otherwise(""))
+
+    return _rebuild(sql, blank, quoted)
 
 
 def veil(sql: Column) -> Column:
@@ -108,16 +121,31 @@ def cut_comments(veiled: Column) -> Column:
 
 
 def drop_blocks(veiled: Column, mode: str = "drop") -> Column:
-    """PL/SQL blocks: ``drop`` removes them with their body, ``unwrap`` removes only the delimiters."""
+    """PL/SQL blocks: ``drop`` removes them with their body, ``unwrap`` removes only the delimiters.
+
+    A block goes from a BEGIN to the first END that a semicolon follows. The text is cut after each such END,
+    so every part but the last ends in one and its first BEGIN opens the block: one pass, whatever is left open.
+    """
     if mode not in ("drop", "unwrap"):
         raise ValueError(f"unknown block mode {mode!r}")
-    return F.regexp_replace(veiled, BLOCK, "" if mode == "drop" else "$1")
+    body, put = (BLOCK_BODY, "") if mode == "drop" else (UNWRAPPED, "$1")
+    return _replaced_up_to(veiled, BLOCK_END, body, put)
+
+
+def _replaced_up_to(text: Column, ending: str, opened: str, put: str) -> Column:
+    """Replace what ``opened`` matches in each part of ``text`` that ends in ``ending``; the rest stays."""
+    parts = F.split(F.regexp_replace(text, ending, f"$0{CUT}"), CUT)
+
+    def whole(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.regexp_replace(p, opened, put)).otherwise(p)), "")
+
+    return F.get(F.transform(F.array(parts), whole), 0)
 
 
 def normalise(sql: Column) -> Column:
     """Comment-free text with template expressions neutralised and blanks collapsed."""
     text = strip_comments(sql)
-    text = F.regexp_replace(text, r"(?s)\{\{.*?\}\}", " __JINJA_EXPR__ ")
+    text = _replaced_up_to(text, r"\}\}", r"(?s)\{\{.*$", " __JINJA_EXPR__ ")
     text = F.regexp_replace(text, r"(?s)\{%-?.*?-?%\}", " ")
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")

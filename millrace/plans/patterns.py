@@ -58,8 +58,8 @@ _PARENS = r"(?i)\(\s*SELECT\b|[()]"
 
 
 def _searchable(scripts: DataFrame) -> DataFrame:
-    """Comments blanked in place, so that offsets are those of the original text."""
-    text = F.translate(sql.blank_comments(F.col("sql_text")), _MARK, " ")
+    """Comments, literals and quoted names blanked in place, so that offsets are those of the original text."""
+    text = F.translate(sql.blanked(F.col("sql_text")), _MARK, " ")
     return scripts.select("script_id", text.alias("text"))
 
 
@@ -85,9 +85,8 @@ def _pieces_before_hits(number: int) -> Column:
 
 
 def _parentheses() -> Column:
-    """One entry per parenthesis outside literals: −1 closes, 1 opens, 2 opens a subquery."""
-    bare = F.regexp_replace("text", "'[^']*'", "''")
-    found = F.regexp_extract_all(bare, F.lit(_PARENS), F.lit(0))
+    """One entry per parenthesis: −1 closes, 1 opens, 2 opens a subquery."""
+    found = F.regexp_extract_all("text", F.lit(_PARENS), F.lit(0))
     step = lambda t: F.when(t == ")", -1).when(t == "(", 1).otherwise(2)
     return F.transform(found, lambda t, i: _piece(_PAREN, i, F.lit(0), F.lit(0), step(t)))
 

@@ -247,20 +247,15 @@ def script_versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dbt_models(spark: SparkSession, folder: str) -> DataFrame:
-    """``(project, name, sql_text)``: one project per nation, models per customer and per segment.
-
-    The two looping models exist in the project of nation 7 only.
-    """
+    """``(project, name, sql_text)``: one project per nation, models per customer and per segment."""
     customer = _authors(spark, folder)
     project = F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("project")
-    looping = F.col("model.name").startswith("loop_")
     each = customer.select(
         project,
-        "c_nationkey",
         F.explode(
             F.array(*[F.struct(_fill(F.lit(n)).alias("name"), _fill(F.lit(t)).alias("sql_text")) for n, t in DBT_MODELS])
         ).alias("model"),
-    ).where(~looping | (F.col("c_nationkey") == 7))
+    )
     per_segment = customer.select(
         project, _fill(F.lit(DBT_DIM[0])).alias("name"), _fill(F.lit(DBT_DIM[1])).alias("sql_text")
     ).distinct()

@@ -70,12 +70,16 @@ scripts AS (SELECT c_custkey AS script_id, {_filled('body')} AS sql_text
             FROM customer JOIN tpl ON c_custkey % {len(corpus.TEMPLATES)} = tid)"""
 
 
+#: From a BEGIN to the first END before a semicolon.
+BLOCK = rf"(?is)\bBEGIN\b(.*?)\bEND\b\s*(?:{t.COMMENT}\s*)*;"
+
+
 def statements_of(source: str, out: str) -> str:
     """CTEs that split the scripts of ``source`` into ``out``."""
     veiled = rebuilt("sql_text", f"{q(t.COMMENT_START)} || {hidden('p')} || {q(t.COMMENT_END)}", veiled_piece("p"))
     clean = trim(f"regexp_replace(part, {q(t.COMMENT)}, ' ', 'g')")
     return f"""
-{out}_v AS (SELECT script_id, string_split(regexp_replace({veiled}, {q(t.BLOCK.replace('*+', '*'))}, '', 'g'), ';') AS parts FROM {source}),
+{out}_v AS (SELECT script_id, string_split(regexp_replace({veiled}, {q(BLOCK)}, '', 'g'), ';') AS parts FROM {source}),
 {out}_p AS (SELECT script_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM {out}_v),
 {out}_c AS (SELECT *, {clean} AS veiled, row_number() OVER (PARTITION BY script_id ORDER BY i) - 1 AS stmt_no
             FROM {out}_p WHERE {clean} <> ''),
@@ -284,8 +288,10 @@ steps AS (SELECT k.script_id, k.col, row_number() OVER (PARTITION BY k.script_id
           FROM walk k JOIN mdl m ON m.script_id = k.script_id AND m.stmt_no = k.stmt_no AND m.ord = k.ord
           WHERE k.input_col IS NOT NULL)"""
 
+_BLANK = "regexp_replace({}, '[^\\n]', ' ', 'g')"
+_HOLLOW = f"""CASE WHEN length(p) > 1 AND p[-1] = p[1] THEN p[1] || {_BLANK.format('p[2:-2]')} || p[1] ELSE p[1] || {_BLANK.format('p[2:]')} END"""
 BLANKED = f"""{SCRIPTS},
-txt AS (SELECT script_id, {rebuilt('sql_text', "regexp_replace(p, '[^\\n]', ' ', 'g')", 'p')} AS txt FROM scripts)"""
+txt AS (SELECT script_id, {rebuilt('sql_text', _BLANK.format('p'), _HOLLOW)} AS txt FROM scripts)"""
 
 HITS = f"""{BLANKED},
 rules(rule, pattern_type, score, rx) AS (VALUES {', '.join(f'({i}, {q(k)}, {s}, {q(p)})' for i, (k, s, p) in enumerate(patterns.RULES))}),
@@ -311,7 +317,7 @@ hits AS (SELECT script_id, pattern_type, location, score AS complexity_score FRO
 DBT = f"""
 dtpl(name, body) AS (VALUES {', '.join(f'({q(n)}, {q(b)})' for n, b in corpus.DBT_MODELS)}),
 dbt_src AS (SELECT 'nation_' || c_nationkey AS project, {_filled('name')} AS name, {_filled('body')} AS sql_text
-            FROM customer, dtpl WHERE NOT starts_with(name, 'loop_') OR c_nationkey = 7
+            FROM customer, dtpl
             UNION ALL SELECT DISTINCT 'nation_' || c_nationkey, {_filled(q(corpus.DBT_DIM[0]))}, {_filled(q(corpus.DBT_DIM[1]))}
             FROM customer),
 dbt_ok AS (SELECT * FROM dbt_src WHERE {has('name', t.SAFE_MODEL_NAME)}),

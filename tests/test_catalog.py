@@ -129,10 +129,35 @@ def test_veil_round_trip(spark, scripts):
     assert ";" not in r.v
 
 
-def test_blanked_comments_keep_offsets(scripts):
-    text = "SELECT 1 -- über\nFROM /* a\nb */ t"
-    got = scripts(text).select(sql.blank_comments(F.col("sql_text")).alias("t")).first().t
-    assert len(got) == len(text) and got.count("\n") == 2 and got.index("FROM") == text.index("FROM")
+def test_blanks_keep_offsets(scripts):
+    text = "SELECT 1 -- über\nFROM /* a\nb */ t WHERE x = 'from\ny' AND \"a b\" = '' OR z = 'open"
+    got = scripts(text).select(sql.blanked(F.col("sql_text")).alias("t")).first().t
+    assert got == "SELECT 1        \nFROM     \n     t WHERE x = '    \n ' AND \"   \" = '' OR z = '    "
+
+
+def test_blocks_left_open_take_linear_time(scripts):
+    """50,000 BEGINs without an END, and as many with one behind them all."""
+    import time
+
+    def seconds(n):
+        table = scripts("BEGIN x " * n + "; SELECT 1 FROM t", "BEGIN x " * n + "END; SELECT 1 FROM u", "{{ x " * n, "END; " * n + "SELECT 2 FROM v")
+        started = time.perf_counter()
+        got = catalog.statements(table).groupBy("script_id").agg(F.count("stmt_no").alias("n")).collect()
+        catalog.normalised(table).agg(F.max(F.length("clean_text"))).collect()
+        assert {r.script_id: r.n for r in got} == {0: 2, 1: 1, 2: 1, 3: n + 1}
+        return time.perf_counter() - started
+
+    seconds(100)
+    assert seconds(50_000) < 20
+
+
+def test_blocks_end_at_the_first_end_before_a_semicolon(scripts):
+    text = "BEGIN a; BEGIN b; END IF; c; END /* x */ ; SELECT 1 FROM t; END; SELECT 2 FROM u; begin d"
+    got = [r.clean_sql for r in catalog.statements(scripts(text)).orderBy("stmt_no").collect()]
+    assert got == ["SELECT 1 FROM t", "END", "SELECT 2 FROM u", "begin d"]
+    text = "BEGIN CREATE TABLE x AS SELECT 1 FROM a; END; SELECT 2 FROM u"
+    got = [r.clean_sql for r in catalog.statements(scripts(text), blocks="unwrap").orderBy("stmt_no").collect()]
+    assert got == ["CREATE TABLE x AS SELECT 1 FROM a", "SELECT 2 FROM u"]
 
 
 def test_labels(spark):
