@@ -1,12 +1,16 @@
 """Near duplicates by the Jaccard similarity of their word shingles, for the pipeline.
 
 SimHash proposes first: fingerprints over five-word shingles that link within its radius. At a similarity
-of 0.8 fingerprints differ in some ten of 64 bits, which no block buckets reach, so MinHash bands propose
-the rest: 32 bands of 4 minima miss a pair of similarity 0.8 with a chance of 5e-8, and closer pairs with
-less. Every proposed pair is compared exactly, shingle by shingle, before it links.
-
-Pairs grow with the rows, not with their square: a bucket's rows meet one row of another group first, until
-that links nothing more, and only rows of a bucket that are then still in different groups meet each other.
+of 0.8 fingerprints differ in some ten of 64 bits, which no block buckets reach, so MinHash bands say which
+texts can have a partner at all: 32 bands of 4 minima pass over a pair of similarity 0.8 with a chance of
+5e-8, and over closer pairs with less. Every proposed pair is compared exactly before it links.
+
+Large groups are tied to few of their texts first: in each round a text of a bucket meets one text of another
+group, the one that it shares most buckets with, until that links nothing more. Texts whose buckets still
+hold several groups then go through an exact prefix-filtered join: their shingles are ordered by rarity, the
+``n - ceil(0.8 n) + 1`` rarest of each text are its prefix, and only texts of different groups that share a
+prefix shingle, within the length and positional bounds, are compared. Passages that many texts have are in
+no prefix, so pairs follow true neighbours.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
@@ -31,27 +35,18 @@ _FACTORS, _ADDENDS = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * M
 _FACTORS |= np.uint64(1)
 
 
-def shingles(text: str | None) -> set[bytes]:
-    """Runs of five words, or all words of a shorter text; none of a text without words."""
-    words = simhash.words(text)
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-
-
-def alike(a: set[bytes], b: set[bytes]) -> bool:
-    least, of = SHARE
-    if of * min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return of * both >= least * (len(a) + len(b) - both)
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different hashes of the runs of five words, or of all words of a shorter text; none without words."""
+    return np.unique(np.array(simhash.shingle_hashes(text, SHINGLE), "<u8"))
 
 
-def bands(hashes: list[int]) -> list[int]:
+def bands(hashes: np.ndarray) -> list[int]:
     """One signed key for each band of minima."""
-    if not hashes:
+    if not len(hashes):
         return []
-    all_, least = np.array(hashes, "<u8"), np.full(BANDS * MINIMA, -1, "<i8").view("<u8")
-    for at in range(0, len(all_), 1 << 10):
-        mixed = all_[at : at + (1 << 10), None] * _FACTORS + _ADDENDS
+    least = np.full(BANDS * MINIMA, -1, "<i8").view("<u8")
+    for at in range(0, len(hashes), 1 << 10):
+        mixed = hashes[at : at + (1 << 10), None] * _FACTORS + _ADDENDS
         least = np.minimum(least, mixed.min(axis=0))
     keys = [xxhash.xxh64_intdigest(least[k : k + MINIMA].tobytes(), k) for k in range(0, len(least), MINIMA)]
     return np.array(keys, "<u8").view("<i8").tolist()
@@ -63,38 +58,71 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, text in zip(batch["row"], batch["text"], strict=True):
             hashes = simhash.shingle_hashes(text, SHINGLE)
             fp = int(np.array([simhash.majority(hashes)], "<u8").view("<i8")[0])
-            rows.append((row, xxhash.xxh3_128_digest(b" ".join(simhash.words(text))), fp, bands(hashes)))
+            different = np.unique(np.array(hashes, "<u8"))
+            rows.append((row, xxhash.xxh3_128_digest(different.tobytes()), fp, bands(different)))
         yield pd.DataFrame(rows, columns=["row", "digest", "fp", "bands"])
 
 
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(text).view("<i8") for text in batch["text"]]
+        yield pd.DataFrame({"node": batch["row"], "n": [len(x) for x in sets], "shingles": sets})
+
+
 def _pairs(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Pairs (a < b), each once and staged, without those of ``known``."""
     one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     return stage(one if known is None else one.join(known, ["a", "b"], "left_anti"), "pairs")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _near(a: Column, b: Column) -> Column:
+    """The length bound: the smaller set is large enough to be similar to the larger."""
+    least, of = SHARE
+    return of * F.least(a, b) >= least * F.greatest(a, b)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` that are similar enough; staged."""
+    least, of = SHARE
+    first = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a")).hint("merge")
+    second = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b")).hint("merge")
+    both = pairs.join(second, "b").join(first, "a").where(_near(F.col("n_a"), F.col("n_b")))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return stage(both.where((least + of) * common >= least * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "similar")
 
-    @F.pandas_udf("boolean")
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        found, last, mine = [], None, set()
-        for a, b in zip(left, right, strict=True):
-            if a != last:  # pairs come sorted by a
-                last, mine = a, shingles(a)
-            found.append(alike(mine, shingles(b)))
-        return pd.Series(found, dtype=bool)
 
-    first = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")).hint("merge")
-    second = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")).hint("merge")
-    both = pairs.join(second, "b").join(first, "a")
-    return stage(both.where(similar("text_a", "text_b")).select("a", "b"), "similar")
+def prefix_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (node, root, n, shingles) with different roots that can be similar enough.
+
+    No pair is missed: two sets with enough in common share one of the prefixes' shingles, whatever the order.
+    For each shingle the rows of the root with most of them are not paired among each other, nor looked at
+    where no other root has the shingle.
+    """
+    least, of = SHARE
+    rows = texts.select("node", "root", "n", F.explode("shingles").alias("key"))
+    rarity = rows.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    ordered = Window.partitionBy("node").orderBy("seen", "key")
+    ranked = rows.join(rarity, "key").withColumn("at", F.row_number().over(ordered) - 1)
+    longest = F.col("n") - F.ceil(F.col("n") * least / of) + 1
+    prefix = stage(ranked.where(F.col("at") < longest).select("key", "node", "root", "n", "at"), "prefixes")
+    by_root = prefix.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    keys = by_root.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mixed = stage(keys.where("roots > 1").select("key", "main"), "mixed")
+    posted = stage(prefix.join(mixed, "key"), "postings")
+    names = ("node", "root", "n", "at")
+    one = posted.where("root <> main").select("key", "main", *[F.col(c).alias(f"{c}_a") for c in names])
+    two = posted.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
+    met = one.join(two, "key").where("root_a <> root_b AND (root_b = main OR node_a < node_b)")
+    # What lies before the shared shingle, it and what follows bound the overlap.
+    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    enough = (least + of) * most >= least * (F.col("n_a") + F.col("n_b"))
+    return met.where(_near(F.col("n_a"), F.col("n_b")) & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """``row`` and ``group`` of every row of ``docs`` (row: different numbers; text).
 
-    Rows share a group where pairs of a similarity of at least 0.8 connect them. Texts with the same words
+    Rows share a group where pairs of a similarity of at least 0.8 connect them. Texts with the same shingles
     are one; texts without words are one group and similar to nothing else.
     """
     read = stage(docs.select("row", "text").mapInPandas(_read, "row long, digest binary, fp long, bands array<long>"), "sketches")
@@ -113,24 +141,27 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = _pairs(equal.union(near.select("__a", "__b")))
     wanted = filed.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     wanted = stage(wanted.withColumnRenamed("node", "row"), "wanted").hint("merge")
-    texts = stage(docs.select("row", "text").join(wanted, "row", "left_semi"), "texts", compression="zstd")
-    known, found = pairs, _compared(pairs, texts)
+    texts = docs.select("row", "text").join(wanted, "row", "left_semi")
+    sets = stage(texts.mapInPandas(_sets, "node long, n long, shingles array<long>"), "sets", compression="zstd")
+    known, found = pairs, _compared(pairs, sets)
     while True:
         linked = components(found)
         placed = filed.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         placed = stage(placed, "placed")
         ends = placed.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("lo"), F.max(F.struct("root", "node")).alias("hi"))
         mixed = placed.join(stage(ends.where("lo.root < hi.root"), "mixed"), "bucket")
-        other = F.when(F.col("root") == F.col("lo.root"), F.col("hi.node")).otherwise(F.col("lo.node"))
-        pairs = _pairs(mixed.select(F.col("node").alias("a"), other.alias("b")), known)
-        known, more = known.union(pairs), _compared(pairs, texts)
+        other = F.when(F.col("root") == F.col("lo.root"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("other")
+        offers = mixed.select("node", other).groupBy("node", "other").agg(F.count(F.lit(1)).alias("buckets"))
+        offers = offers.select("node", "other", "buckets", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        fresh = offers.join(known, ["a", "b"], "left_anti").groupBy("node").agg(F.max_by("other", F.struct("buckets", "other")).alias("other"))
+        pairs = _pairs(fresh.select(F.col("node").alias("a"), F.col("other").alias("b")), known)
+        known, more = known.union(pairs), _compared(pairs, sets)
         if more.isEmpty():
             break
         found = found.union(more)
-    left = stage(mixed.select("bucket", "node", "root"), "left")
-    one, two = (left.select("bucket", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    rest = _pairs(one.join(two, "bucket").where("root_a < root_b"), known)
-    found = found.union(_compared(rest, texts))
+    left = stage(mixed.select("node", "root").distinct(), "left").hint("merge")
+    rest = _pairs(prefix_pairs(sets.join(left, "node")), known)
+    found = found.union(_compared(rest, sets))
     named = nodes.select("digest", "node").join(components(found), "node", "left")
     named = stage(named.select("digest", F.coalesce("root", "node").alias("group")), "named")
     return read.select("row", "digest").join(named, "digest").select("row", "group")

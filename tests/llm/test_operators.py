@@ -337,7 +337,59 @@ def test_bands_propose_what_is_similar():
     rng = random.Random(6)
     for _ in range(300):  # two sets of 100 hashes with 89 in common: a similarity of 0.802
         both = [rng.getrandbits(64) for _ in range(111)]
-        assert set(similar.bands(both[:100])) & set(similar.bands(both[11:]))
+        assert set(similar.bands(np.array(both[:100], "<u8"))) & set(similar.bands(np.array(both[11:], "<u8")))
+
+
+def jaccard_groups(sets):
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 9 * both >= 4 * (len(sets[a]) + len(sets[b])) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    return {frozenset(i for i, g in enumerate(group) if g == x) for x in group}
+
+
+def test_similar_texts_beside_a_hot_passage(spark):
+    """Most texts hold one passage; near copies, chains of versions and equal shingle sets are found among them."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(40_000)}"
+    passage, texts = [word() for _ in range(90)], []
+    for _ in range(150):
+        texts.append([*[word() for _ in range(rng.randrange(20, 90))], *passage])
+    for base in texts[:25]:
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    step = list(texts[30])
+    for k in range(12):  # each version is like the one before, the last ones unlike the first
+        step = [*step[:6 * k], *[word() for _ in range(6)], *step[6 * k + 6 :]]
+        texts.append(step)
+    texts += [texts[3] + texts[3][:4] * 0, ["same"] * 7, ["same"] * 30, [], [], ["one"], ["two", "words"]]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [" ".join(texts[k]) for k in order]
+    split = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else {()} for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = defaultdict(set)
+    for r in similar.groups(rows).collect():
+        found[r.group].add(r.row)
+    assert {frozenset(v) for v in found.values()} == jaccard_groups(split)
+
+
+def test_prefix_pairs_miss_none(spark):
+    rng = random.Random(9)
+    sets = [set(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(40)]
+    sets += [(s | {rng.randrange(60)}) - {rng.choice(sorted(s))} or s for s in sets for _ in range(2)]
+    roots = [k % 7 for k in range(len(sets))]
+    rows = [(k, roots[k], len(s), sorted(s)) for k, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node long, root long, n long, shingles array<long>")
+    got = {frozenset((r.a, r.b)) for r in similar.prefix_pairs(table).collect()}
+    want = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if roots[a] != roots[b]
+            and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert want and want <= got
 
 
 def test_quality_of_held_out_documents(spark):
