@@ -6,7 +6,7 @@ columns of fixed-size lists: ``ids`` (unsigned, 16 bits where the vocabulary all
 plain buffers of fixed width, so that a mapped file gives any sequence without a copy. Beside it lies
 a file that has the shard's documents: doc_id, start and n_tokens.
 
-Documents are laid out in range partitions over doc_id, and each becomes a shard. Shards count for
+Documents are laid out in range partitions over doc_id (and a hash of the text), and each becomes a shard. Shards count for
 nothing until they are named in the manifest, which Spark writes; what a lost or repeated task left
 behind is never read.
 """
@@ -66,11 +66,12 @@ class ShardWriter:
             self._flush_rows()
 
     def _flush(self, last: bool) -> None:
+        """Write what is held in batches of ``BATCH`` sequences; only the last of a shard may have fewer."""
         ids = np.concatenate(self._held) if self._held else np.empty(0, self._dtype)
-        whole = -(-len(ids) // self._length) if last else len(ids) // self._length
-        n = min(len(ids), whole * self._length)
-        for at in range(0, n, self._length * BATCH):
-            part = ids[at : min(n, at + self._length * BATCH)]
+        full = self._length * BATCH
+        n = len(ids) if last else len(ids) // full * full
+        for at in range(0, n, full):
+            part = ids[at : min(n, at + full)]
             size = -(-len(part) // self._length) * self._length
             padded, mask = np.zeros(size, self._dtype), np.zeros(size, bool)
             padded[: len(part)], mask[: len(part)] = part, True
@@ -104,11 +105,11 @@ class ShardReader:
         self._ids, self._docs = opened(".ids.arrow"), opened(".docs.arrow")
         self.length = self._ids.schema.field("ids").type.list_size
 
-    def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence of the shard; the ids are not copied."""
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of the k-th sequence of the shard, as views: neither is copied. The mask is bit-packed."""
         batch = self._ids.get_batch(k // BATCH)
         ids, mask = (batch.column(c).slice(k % BATCH, 1).flatten() for c in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start in the shard and ids of every document, from the sequences' real positions."""
@@ -135,7 +136,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
 
     The manifest has one row per shard: ``shard`` (in document order), ``path``, ``n_docs``,
     ``n_tokens``. A NULL text counts as empty; every document ends in ``end_id``. NULL doc_ids come
-    first; rows of one doc_id are all kept, in order of their texts. Other columns are left out.
+    first; rows of one doc_id are all kept, in the order of a hash of their texts, which also lets ranges
+    split a doc_id that very many rows bear. Other columns are left out.
     """
     folder = folder or new_path(docs.sparkSession, "arrow")
 
@@ -156,7 +158,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
             yield pd.DataFrame([row])
 
     wanted = docs.select(*columns_of(docs, doc_id="long", text="string"))
-    ordered = wanted.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = wanted.withColumn("hash", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
     # doc_id travels as text, as pandas would turn numbers beside NULLs into floats.
     ordered = ordered.select(F.spark_partition_id().alias("shard"), F.col("doc_id").cast("string"), "text")
     return stage(ordered.mapInPandas(shards, MANIFEST), "manifest")

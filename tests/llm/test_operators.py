@@ -182,6 +182,38 @@ def test_token_files_round_trip(docs):
     assert len(ids) == len(mask) == 16
 
 
+def test_every_sequence_of_a_shard_of_many_batches(tmp_path):
+    """Documents that cross the limit of a batch at will: each sequence is the plain slice of all ids."""
+    rng, length = np.random.default_rng(2), 8
+    writer, docs = arrow_tokens.ShardWriter(f"file://{tmp_path}/s", 16, length), []
+    for k in range(300):
+        docs.append(rng.integers(1, 49_000, int(rng.choice([1, 5, 700, 2_500]))).astype("<u4"))
+        writer.add(k, docs[-1])
+    writer.close()
+    ids, reader = np.concatenate(docs), arrow_tokens.ShardReader(f"file://{tmp_path}/s")
+    n = -(-len(ids) // length)
+    assert n > 5 * arrow_tokens.BATCH
+    for k in range(n):
+        got, mask = reader.sequence(k)
+        want = ids[k * length : (k + 1) * length]
+        assert mask.to_pylist() == [i < len(want) for i in range(length)]
+        assert (got[: len(want)] == want).all() and not got[len(want) :].any()
+    assert all((x == docs[i]).all() for i, _, x in reader.documents())
+
+
+def test_a_doc_id_of_most_rows_is_spread_over_shards(spark):
+    rows = [(7 if k % 3 else None, f"text {k} of many") for k in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = arrow_tokens.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() >= 3 and manifest.agg(F.max("n_docs")).first()[0] < 1500
+    got = arrow_tokens.read(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 1000 + [7] * 2000
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got]).tolist()[:-1]]
+
+
 def test_base_identifiers(docs):
     found = pii.extract(docs, keep=("doc_id", "text", "base")).collect()
     email, luhn = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), 0
