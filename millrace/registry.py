@@ -11,11 +11,12 @@ from millrace.functions.sqltext import unveil
 from millrace.operators import graph
 from millrace.operators.staging import new_path, stage
 from millrace.plans import (
-    catalog, customers, dbt, impact, lineage, loading, models, patterns, revenue, sales, shapes, statement_graph, trace,
+    catalog, corpus_graph, customers, dbt, impact, lineage, loading, models, patterns, revenue, sales, shapes, statement_graph, trace,
 )
 from millrace.plans.warehouse import raw_accounts, raw_orders
 from millrace.sources import corpus
-from millrace.sources.tables import write_graph_json
+from millrace.sources.parsed import ParsedScripts
+from millrace.sources.tables import scripts_from_directory, write_graph_json, write_script_files
 from millrace.streaming.incremental import stream_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,7 +139,35 @@ def _statement_queries() -> dict[str, Query]:
         edges = stage(statement_graph.edges(statements), "edges")
         return statement_graph.dependency_labels(statements, edges, statement_graph.levels(statements, edges))
 
+    def script_directory(s, d):
+        """The corpus as files, one folder for each of seven groups, read back and split into statements."""
+        path = new_path(s, "scripts")
+        place, name = F.concat(F.lit("group_"), F.col("script_id") % 7), F.concat(F.lit("script_"), F.col("script_id"))
+        write_script_files(corpus.scripts(s, d).select(place.alias("place"), name.alias("name"), "sql_text"), path)
+        files = scripts_from_directory(s, path).withColumnRenamed("name", "script_id")
+        counts = catalog.statements(files).groupBy("script_id").agg(F.count(F.lit(1)).alias("statements"))
+        place = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("place")
+        return files.join(counts, "script_id", "left").select(
+            F.col("script_id").alias("name"), place, F.length("sql_text").alias("chars"),
+            F.sha2("sql_text", 256).alias("checksum"), F.coalesce("statements", F.lit(0)).alias("statements"),
+        )
+
+    def catalog_refresh(s, d):
+        """The catalogue of each script's second version after a run over the first: ``run`` 2 parsed what is new only."""
+        versions = stage(corpus.script_versions(s, d), "versions")
+        old, new = (versions.select("script_id", F.col(v).alias("sql_text")) for v in ("v1", "v2"))
+        store = ParsedScripts(s, new_path(s, "parsed"))
+        store.refresh(old)
+        store.refresh(new)
+        return store.statements(new).select("script_id", "stmt_no", "statement_type", "target_table", "raw_sql", "run")
+
     return {
+        "script_directory": script_directory,
+        "catalog_refresh": catalog_refresh,
+        "corpus_edges": lambda s, d: corpus_graph.edges(_slim(s, d)),
+        "corpus_downstream": lambda s, d: corpus_graph.downstream(
+            slim := _slim(s, d), slim.select(F.explode("source_tables").alias("table")).where("table LIKE 'raw.%'")
+        ),
         "script_clean": lambda s, d: catalog.normalised(corpus.scripts(s, d)),
         "rejected_scripts": lambda s, d: catalog.rejected(corpus.scripts(s, d)),
         "unsafe_labels": lambda s, d: catalog.rejected_labels(_statements(s, d)),

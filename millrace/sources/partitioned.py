@@ -28,6 +28,27 @@ class VersionConflict(RuntimeError):
     """Another change was committed after this one began."""
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, none where there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+def publish(spark: SparkSession, draft: str, final: str) -> None:
+    """Give a written folder its name; of several drafts for one name only the first gets it."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(final)
+    target.getFileSystem(conf).mkdirs(target.getParent())
+    never_overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(hadoop.Path(draft), target, never_overwrite)
+    except Exception as refused:
+        if "FileAlreadyExists" in str(refused):
+            raise VersionConflict(f"{final} was committed by another change") from refused
+        raise
+
+
 class PartitionedTable:
     """``keys`` name the key columns; ``part`` is a whole number worked out from them alone.
 
@@ -37,15 +58,9 @@ class PartitionedTable:
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: Sequence[str], part: Column):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
         self.part = F.coalesce(part.cast("long"), F.lit(NO_KEY))
-        self._hadoop, self._conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-
-    def _names(self, folder: str) -> list[str]:
-        path = self._hadoop.Path(folder)
-        files = path.getFileSystem(self._conf)
-        return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
 
     def versions(self) -> list[int]:
-        return sorted(int(n[1:]) for n in self._names(f"{self.path}/manifest"))
+        return sorted(int(n[1:]) for n in listed(self.spark, f"{self.path}/manifest"))
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """``(part, folder, since)``: where each partition lies and which version wrote it."""
@@ -91,23 +106,11 @@ class PartitionedTable:
         run = f"{self.path}/data/{uuid.uuid4().hex}"
         # Adaptive execution splits a partition that holds most rows into several files.
         rows.select(*self.schema.names).withColumn(_PART, self.part).hint("rebalance", _PART).write.partitionBy(_PART).parquet(run)
-        written = [n for n in self._names(run) if n.startswith(f"{_PART}=")]
+        written = [n for n in listed(self.spark, run) if n.startswith(f"{_PART}=")]
         fresh = self.spark.createDataFrame([(int(n.split("=")[1]), f"{run}/{n}", version) for n in written], MANIFEST)
         if base is not None:
             fresh = self.manifest(base).where(~F.col("part").isin([int(p) for p in touched])).unionByName(fresh)
         draft = f"{self.path}/drafts/{uuid.uuid4().hex}"
         fresh.coalesce(1).write.parquet(draft)
-        self._name(draft, f"{self.path}/manifest/v{version}")
+        publish(self.spark, draft, f"{self.path}/manifest/v{version}")
         return version
-
-    def _name(self, draft: str, final: str) -> None:
-        """Give a written manifest its name; of several drafts for one name only the first gets it."""
-        source, target = self._hadoop.Path(draft), self._hadoop.Path(final)
-        target.getFileSystem(self._conf).mkdirs(target.getParent())
-        never_overwrite = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
-        try:
-            self._hadoop.FileContext.getFileContext(target.toUri(), self._conf).rename(source, target, never_overwrite)
-        except Exception as refused:
-            if "FileAlreadyExists" in str(refused):
-                raise VersionConflict(f"{final} was committed by another change") from refused
-            raise

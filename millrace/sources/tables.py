@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,22 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").json(f"{path}/edges")
 
 
+def write_script_files(scripts: DataFrame, folder: str) -> None:
+    """One file ``folder/<place>/<name>.sql`` per row of ``scripts`` (place, name, sql_text); a repeated task rewrites its files."""
+
+    def save(rows) -> None:
+        store, root = fs.FileSystem.from_uri(folder)
+        made = set()
+        for r in rows:
+            if r.place not in made:
+                store.create_dir(f"{root}/{r.place}", recursive=True)
+                made.add(r.place)
+            with store.open_output_stream(f"{root}/{r.place}/{r.name}.sql") as out:
+                out.write((r.sql_text or "").encode())
+
+    scripts.select("place", "name", "sql_text").foreachPartition(save)
+
+
 def scripts_from_directory(spark: SparkSession, folder: str) -> DataFrame:
     """One ``(name, path, sql_text)`` row per ``*.sql`` file below ``folder``; name = file stem."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.sql")

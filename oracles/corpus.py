@@ -361,6 +361,26 @@ l_nodes AS (
   SELECT script_id, task_id, task_label, 'dag_task', raw_sql[1:200], 0 FROM tsk)"""
 
 SQL = {
+    "script_directory": f"""WITH {STATEMENTS}, n AS (SELECT script_id, count(*) AS n FROM catalog GROUP BY 1)
+        SELECT 'script_' || script_id AS name, 'group_' || (script_id % 7) AS place, length(sql_text)::BIGINT AS chars,
+               sha256(sql_text) AS checksum, coalesce(n, 0) AS statements FROM scripts LEFT JOIN n USING (script_id)""",
+    "catalog_refresh": f"""WITH {VERSIONS}, v2s AS (SELECT id AS script_id, v2 AS sql_text FROM vers), {statements_of('v2s', 'vst')}
+        SELECT v.script_id, stmt_no::BIGINT AS stmt_no, statement_type, target_table, raw_sql,
+               CASE WHEN sql_text IN (SELECT v1 FROM vers) THEN 1 ELSE 2 END::BIGINT AS run
+        FROM vst v JOIN v2s USING (script_id)""",
+    "corpus_edges": f"""WITH {STATEMENTS},
+        u AS (SELECT tbl, script_id, stmt_no, 0 AS w FROM stm_src
+              UNION ALL SELECT target_table, script_id, stmt_no, 1 FROM catalog WHERE target_table IS NOT NULL),
+        f AS (SELECT *, last_value(CASE WHEN w = 1 THEN {{'s': script_id, 'n': stmt_no}} END IGNORE NULLS) OVER (
+                PARTITION BY tbl ORDER BY script_id, stmt_no, w ROWS UNBOUNDED PRECEDING) AS src FROM u)
+        SELECT src.s AS src_script, src.n::BIGINT AS src_stmt, script_id AS dst_script, stmt_no::BIGINT AS dst_stmt, tbl AS via_table
+        FROM f WHERE w = 0 AND src IS NOT NULL""",
+    "corpus_downstream": f"""WITH RECURSIVE {STATEMENTS},
+        e AS (SELECT DISTINCT tbl AS src, target_table AS dst FROM stm_src JOIN catalog USING (script_id, stmt_no)
+              WHERE target_table IS NOT NULL),
+        r AS (SELECT DISTINCT tbl AS origin, tbl AS node FROM stm_src WHERE starts_with(tbl, 'raw.')
+              UNION SELECT origin, dst FROM r JOIN e ON node = src)
+        SELECT origin AS "table", node AS depends FROM r WHERE origin <> node""",
     "script_clean": f"""WITH {SCRIPTS} SELECT script_id, {trim(
         "regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + rebuilt('sql_text', "' '", 'p')
         + ", '(?s)\\{\\{.*?\\}\\}', ' __JINJA_EXPR__ ', 'g'), '(?s)\\{%-?.*?-?%\\}', ' ', 'g'), '[ \\t]+', ' ', 'g'),"
