@@ -257,6 +257,10 @@ def _impact_queries() -> dict[str, Query]:
     def column_trace(s, d):
         return traced(s, d)[0].drop("is_final")
 
+    def column_trace_across(s, d):
+        parsed = stage(_models(s, d), "models")
+        return trace.trace_across(parsed, _questions(models.model_columns(parsed)))
+
     def trace_rollup(s, d):
         steps, questions = traced(s, d)
         return trace.trace_rollup(steps, _statements(s, d), questions)
@@ -271,6 +275,7 @@ def _impact_queries() -> dict[str, Query]:
         "rename_impact": rename_impact,
         "breaking_changes": lambda s, d: impact.breaking_changes(corpus.script_versions(s, d)),
         "column_trace": column_trace,
+        "column_trace_across": column_trace_across,
         "trace_rollup": trace_rollup,
     }
 

@@ -288,6 +288,37 @@ steps AS (SELECT k.script_id, k.col, row_number() OVER (PARTITION BY k.script_id
           FROM walk k JOIN mdl m ON m.script_id = k.script_id AND m.stmt_no = k.stmt_no AND m.ord = k.ord
           WHERE k.input_col IS NOT NULL)"""
 
+DOTTED = r'(?:\w+|"[^"]*")(?:\.(?:\w+|"[^"]*"))*'
+_NO_ALIAS = ", ".join(q(w) for w in (
+    "WHERE JOIN ON USING LEFT RIGHT FULL INNER OUTER CROSS NATURAL LATERAL GROUP ORDER HAVING UNION EXCEPT INTERSECT MINUS "
+    "LIMIT OFFSET FETCH PIVOT UNPIVOT START CONNECT WINDOW QUALIFY SET WHEN ( ) ,"
+).split())
+ACROSS = f"""{MODELS}, {QUESTIONS},
+x_tok AS (SELECT script_id, stmt_no, ord, regexp_extract_all(body, {q(DOTTED + '|[(),]')}) AS toks FROM mdl),
+x_at AS (SELECT script_id, stmt_no, ord, toks[i + 1] AS ref, toks[i + 2] AS after, toks[i + 3] AS then_
+         FROM x_tok, unnest(range(1, len(toks) + 1)) r(i) WHERE upper(toks[i]) IN ('FROM', 'JOIN') AND toks[i + 1] NOT IN ('(', ')', ',')),
+x_scope AS (SELECT DISTINCT script_id, stmt_no, ord, {named('ref')} AS ref,
+              coalesce(CASE WHEN upper(after) = 'AS' THEN {bare('then_')} WHEN upper(after) NOT IN ({_NO_ALIAS}) THEN {bare('after')} END,
+                       {bare(last_part(named('ref')))}) AS called FROM x_at),
+x_opt AS (SELECT script_id, stmt_no AS f_stmt, ord AS f_ord, is_final, name AS ref FROM mdl WHERE name IS NOT NULL
+          UNION SELECT script_id, stmt_no, ord, is_final, {last_part('name')} FROM mdl WHERE is_final AND name IS NOT NULL),
+x_feed AS (SELECT script_id, stmt_no, ord, called, max({{'s': f_stmt, 'o': f_ord}}) AS f FROM x_scope JOIN x_opt USING (script_id, ref)
+           WHERE CASE WHEN is_final THEN f_stmt < stmt_no ELSE f_stmt = stmt_no AND f_ord < ord END GROUP BY script_id, stmt_no, ord, called, ref),
+x_word AS (SELECT script_id, stmt_no, ord, item,
+             unnest(regexp_extract_all(regexp_replace(expr, {q(t.ALIAS)}, ''), {q(DOTTED)})) AS word FROM itm),
+x_rest AS (SELECT *, regexp_replace(word, '\\.?("[^"]*"|[^".]*)$', '') AS rest FROM x_word),
+x_said AS (SELECT DISTINCT script_id, stmt_no, ord, item, {bare(last_part('word'))} AS col,
+             CASE WHEN rest <> '' THEN {bare(last_part('rest'))} END AS qualifier FROM x_rest),
+x_edge AS (SELECT DISTINCT m.script_id, i.stmt_no AS a_stmt, i.ord AS a_ord, i.item AS a_item, m.stmt_no, m.ord, m.item
+           FROM x_said m JOIN x_feed g ON g.script_id = m.script_id AND g.stmt_no = m.stmt_no AND g.ord = m.ord
+             AND (qualifier IS NULL OR qualifier = called)
+           JOIN itm i ON i.script_id = m.script_id AND i.stmt_no = f.s AND i.ord = f.o AND {column_name('i.expr')} = m.col),
+x_first AS (SELECT script_id, col, min({{'s': stmt_no, 'o': ord}}) AS f FROM x_said GROUP BY ALL),
+x_reach AS (SELECT q.script_id, q.col, m.stmt_no, m.ord, m.item FROM (SELECT DISTINCT * FROM qst) q
+              JOIN x_first USING (script_id, col) JOIN x_said m ON m.script_id = q.script_id AND m.col = q.col AND m.stmt_no = f.s AND m.ord = f.o
+            UNION SELECT r.script_id, r.col, e.stmt_no, e.ord, e.item FROM x_reach r JOIN x_edge e
+              ON e.script_id = r.script_id AND a_stmt = r.stmt_no AND a_ord = r.ord AND a_item = r.item)"""
+
 _BLANK = "regexp_replace({}, '[^\\n]', ' ', 'g')"
 _HOLLOW = f"""CASE WHEN length(p) > 1 AND p[-1] = p[1] THEN p[1] || {_BLANK.format('p[2:-2]')} || p[1] ELSE p[1] || {_BLANK.format('p[2:]')} END"""
 BLANKED = f"""{SCRIPTS},
@@ -546,6 +577,11 @@ SQL = {
         FROM f""",
     "column_trace": f"""WITH RECURSIVE {TRACE} SELECT script_id, col AS column, hop, stmt_no, model_name, input_col,
         output_col, transformation, snippet FROM steps""",
+    "column_trace_across": f"""WITH RECURSIVE {ACROSS} SELECT script_id, col AS column,
+        row_number() OVER (PARTITION BY script_id, col ORDER BY stmt_no, ord, item) AS hop, stmt_no::BIGINT AS stmt_no,
+        coalesce({last_part('name')}, 'final_output') AS model_name, {column_name('expr')} AS output_col,
+        {transformation('expr')} AS transformation, {shown('expr')} AS snippet
+        FROM (SELECT DISTINCT * FROM x_reach) JOIN itm USING (script_id, stmt_no, ord, item)""",
     "trace_rollup": f"""WITH RECURSIVE {TRACE},
         fnd AS (SELECT script_id, col, count(*) AS depth, min(stmt_no) AS first_stmt,
                   arg_max(model_name, stmt_no) FILTER (is_final) AS final_output FROM steps GROUP BY ALL),

@@ -2,11 +2,11 @@ import pytest
 
 from millrace.plans import catalog, dbt, models, patterns
 
-CTES = """CREATE TABLE mart.month AS
-WITH raw_orders AS (SELECT id, customer_id, amount FROM raw.orders WHERE d >= '2024-01-01'),
-Enriched AS (SELECT o.id, o.amount, c.segment FROM raw_orders o JOIN raw.customers c ON o.customer_id = c.id),
-agg AS (SELECT segment, SUM(amount) AS revenue FROM enriched GROUP BY segment)
-SELECT segment, revenue FROM agg"""
+CTES = """CREATE TABLE mart.offer AS
+WITH ripe AS (SELECT variety, COUNT(tree_no) AS trees FROM farm.trees WHERE age > 4 GROUP BY variety),
+Prices AS (SELECT v.name, v.cents / 100 AS euros FROM farm.varieties v),
+worth AS (SELECT r.variety, r.trees * p.euros AS total FROM prices p JOIN ripe r ON r.variety = p.name)
+SELECT total, variety FROM worth"""
 
 
 def parse(scripts, *texts):
@@ -28,11 +28,11 @@ def columns(scripts, text):
 
 def test_ctes_and_final_select(scripts):
     rows = selects(scripts, CTES)
-    assert [r.name for r in rows] == ["raw_orders", "enriched", "agg", "mart.month"]
+    assert [r.name for r in rows] == ["ripe", "prices", "worth", "mart.offer"]
     assert [r.is_final for r in rows] == [False, False, False, True]
-    assert rows[2].body == "SELECT segment, SUM(amount) AS revenue FROM enriched GROUP BY segment"
-    assert rows[3].body == "SELECT segment, revenue FROM agg"
-    assert rows[3]["items"] == ["segment", "revenue"]
+    assert rows[2].body == "SELECT r.variety, r.trees * p.euros AS total FROM prices p JOIN ripe r ON r.variety = p.name"
+    assert rows[3].body == "SELECT total, variety FROM worth"
+    assert rows[3]["items"] == ["total", "variety"]
 
 
 @pytest.mark.parametrize(
@@ -118,23 +118,23 @@ def test_catalog(scripts):
     CREATE TABLE plain AS SELECT RANK() OVER (ORDER BY a) AS r FROM b"""
     rows = {r.name: r for r in models.model_catalog(parse(scripts, text)).collect()}
     assert {n: (r.kind, r.layer, r.materialized) for n, r in rows.items()} == {
-        "raw_orders": ("cte", "staging", "view"), "enriched": ("cte", "staging", "view"), "agg": ("cte", "staging", "table"),
-        "month": ("target", "marts", "view"), "u": ("target", "staging", "view"), "plain": ("target", "staging", "table"),
+        "ripe": ("cte", "staging", "table"), "prices": ("cte", "staging", "view"), "worth": ("cte", "staging", "view"),
+        "offer": ("target", "marts", "view"), "u": ("target", "staging", "view"), "plain": ("target", "staging", "table"),
     }
-    assert rows["agg"].description == "dbt model: agg. Aggregated grain."
+    assert rows["ripe"].description == "dbt model: ripe. Aggregated grain."
     assert rows["u"].description == "dbt model: u. UNION ALL of multiple sub-selects."
     assert rows["plain"].description == "dbt model: plain. Contains window functions."
 
 
 def test_refs_and_sources(scripts):
-    parsed = parse(scripts, CTES + "; INSERT INTO x SELECT revenue AS month FROM mart.month JOIN raw.orders r ON 1 = 1")
+    parsed = parse(scripts, CTES + "; INSERT INTO x SELECT total AS month FROM mart.offer JOIN farm.trees r ON 1 = 1")
     got = {r.model: (r.model_refs, r.source_refs) for r in models.model_refs(parsed).collect()}
     assert got == {
-        "raw_orders": ([], ["raw.orders"]), "enriched": (["raw_orders"], ["raw.customers"]), "agg": (["enriched"], []),
-        "month": (["agg"], []), "x": (["month"], ["raw.orders"]),
+        "ripe": ([], ["farm.trees"]), "prices": ([], ["farm.varieties"]), "worth": (["prices", "ripe"], []),
+        "offer": (["worth"], []), "x": (["offer"], ["farm.trees"]),
     }
     sources = {r.schema: r.tables for r in models.source_catalog(parsed).collect()}
-    assert sources == {"raw": ["customers", "orders"]}
+    assert sources == {"farm": ["trees", "varieties"]}
 
 
 def test_items_rebuild_the_select_list(scripts):
