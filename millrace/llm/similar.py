@@ -6,8 +6,8 @@ texts can have a partner at all: 32 bands of 4 minima pass over a pair of simila
 5e-8, and over closer pairs with less. Every proposed pair is compared exactly before it links.
 
 Large groups are tied to few of their texts first: in each round a text of a bucket meets one text of another
-group, the one that it shares most buckets with, until that links nothing more. Texts whose buckets still
-hold several groups then go through an exact prefix-filtered join: their shingles are ordered by rarity, the
+group, the one that it shares most buckets with, and goes on to the next round if it was linked. Texts whose buckets
+still hold several groups then go through an exact prefix-filtered join: their shingles are ordered by rarity, the
 ``n - ceil(0.8 n) + 1`` rarest of each text are its prefix, and only texts of different groups that share a
 prefix shingle, within the length and positional bounds, are compared. Passages that many texts have are in
 no prefix, so pairs follow true neighbours.
@@ -143,7 +143,7 @@ def groups(docs: DataFrame) -> DataFrame:
     wanted = stage(wanted.withColumnRenamed("node", "row"), "wanted").hint("merge")
     texts = docs.select("row", "text").join(wanted, "row", "left_semi")
     sets = stage(texts.mapInPandas(_sets, "node long, n long, shingles array<long>"), "sets", compression="zstd")
-    known, found = pairs, _compared(pairs, sets)
+    known, found, active = pairs, _compared(pairs, sets), None
     while True:
         linked = components(found)
         placed = filed.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
@@ -151,7 +151,8 @@ def groups(docs: DataFrame) -> DataFrame:
         ends = placed.groupBy("bucket").agg(F.min(F.struct("root", "node")).alias("lo"), F.max(F.struct("root", "node")).alias("hi"))
         mixed = placed.join(stage(ends.where("lo.root < hi.root"), "mixed"), "bucket")
         other = F.when(F.col("root") == F.col("lo.root"), F.col("hi.node")).otherwise(F.col("lo.node")).alias("other")
-        offers = mixed.select("node", other).groupBy("node", "other").agg(F.count(F.lit(1)).alias("buckets"))
+        asking = mixed if active is None else mixed.join(active, "node", "left_semi")
+        offers = asking.select("node", other).groupBy("node", "other").agg(F.count(F.lit(1)).alias("buckets"))
         offers = offers.select("node", "other", "buckets", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
         fresh = offers.join(known, ["a", "b"], "left_anti").groupBy("node").agg(F.max_by("other", F.struct("buckets", "other")).alias("other"))
         pairs = _pairs(fresh.select(F.col("node").alias("a"), F.col("other").alias("b")), known)
@@ -159,6 +160,7 @@ def groups(docs: DataFrame) -> DataFrame:
         if more.isEmpty():
             break
         found = found.union(more)
+        active = stage(more.select(F.col("a").alias("node")).union(more.select("b")).distinct(), "active").hint("merge")
     left = stage(mixed.select("node", "root").distinct(), "left").hint("merge")
     rest = _pairs(prefix_pairs(sets.join(left, "node")), known)
     found = found.union(_compared(rest, sets))
