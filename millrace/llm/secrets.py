@@ -8,6 +8,7 @@ ledger's findings back to all paths.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import stage
 from millrace.operators.staging import new_path
+from millrace.sources.partitioned import listed, publish
 
 FINDING = "array<struct<rule:string,start:int,end:int>>"
 
@@ -76,25 +78,34 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 class Ledger:
-    """What was found in each blob by which rules, in Parquet files of the shared folder.
+    """What was found in each blob by which rules, in Parquet files below ``path``.
 
     An entry has the ``blob``, the ``rules`` that were applied in one scan and all their ``spans``. Scans
-    only ever add entries.
+    only ever add entries. A scan's entries count from the moment their folder gets its name, so a scan that
+    died leaves none, and a ledger that is opened again in another session goes on from all that were
+    entered. Without a path it is one of this session, in the shared folder.
     """
 
     SCHEMA = f"blob string, rules array<string>, spans {FINDING}"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self._spark, self.path = spark, path or new_path(spark, "ledger")
-        self._parts: list[str] = []
+        self._spark, self.path = spark, (path or new_path(spark, "ledger")).rstrip("/")
+
+    def parts(self) -> list[str]:
+        return sorted(listed(self._spark, f"{self.path}/scans"))
 
     def entries(self) -> DataFrame:
-        if not self._parts:
+        parts = [f"{self.path}/scans/{p}" for p in self.parts()]
+        if not parts:
             return self._spark.createDataFrame([], self.SCHEMA)
-        return self._spark.read.schema(self.SCHEMA).parquet(*self._parts)
+        return self._spark.read.schema(self.SCHEMA).parquet(*parts)
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Scan what is unseen in ``versions`` (path, text), enter it and return the new entries."""
+        """Scan what is unseen in ``versions`` (path, text), enter it and return the new entries.
+
+        Of two scans that began on the same entries the later one fails, and may be run again.
+        """
+        number = int((self.parts() or ["-1"])[-1]) + 1
         keys = F.array(*[F.lit(r.key) for r in rules])
         addressed = versions.select("path", "text", blob("text").alias("blob"))
         # One path of each blob is read, whichever paths and versions share it.
@@ -108,9 +119,9 @@ class Ledger:
         found = [F.when(F.array_contains("rules", r.key), spans(F.col("text"), r)).otherwise(none) for r in rules]
         # Repeated versions of one path were read alike, so any of their entries will do.
         entries = read.select("blob", "rules", F.concat(*found).alias("spans")).dropDuplicates(["blob"])
-        part = f"{self.path}/scan-{len(self._parts):05d}"
-        entries.write.parquet(part)
-        self._parts.append(part)
+        draft, part = f"{self.path}/drafts/{uuid.uuid4().hex}", f"{self.path}/scans/{number:09d}"
+        entries.write.parquet(draft)
+        publish(self._spark, draft, part)
         return self._spark.read.schema(self.SCHEMA).parquet(part)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
