@@ -64,8 +64,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
 
     Adds ``n_words``, ``n_hit`` (words inside an occurrence of a window), ``item_ids`` (sorted as
     strings) and ``spans`` (sorted ranges of words that equal a window, end exclusive). A NULL or empty
-    text has none. Equal rows are counted each for itself. The text itself is left out.
+    text has none. Equal rows are counted each for itself. The text itself is left out, and so are columns of
+    ``docs`` that bear the name of an added one.
     """
+    kept = [c for c in docs.columns if c not in ("text", "n_words", "n_hit", "item_ids", "spans")]
     found = stage(windows(benchmark, window), "windows")
     blocks = max(1, math.ceil(found.count() / BLOCK_ROWS))
     sizes = [r.s for r in found.select(F.least(F.size("words"), F.lit(shingle)).alias("s")).distinct().orderBy("s").collect()]
@@ -96,7 +98,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     # Each document has one more position, with a key of its own, so that it is there without any hit.
     own = -1
     rows = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("doc"),
+        F.struct(*[docs[f"`{c}`"] for c in kept]).alias("doc"),
         F.monotonically_increasing_id().alias("row"),
         words(F.col("text").cast("string")).alias("w"),
     )

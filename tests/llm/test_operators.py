@@ -95,7 +95,7 @@ def test_windows_are_found_whole(spark):
     texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "AA-bb"]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 5, 6, 7, 12])))) for i in range(12)]
     items += [(90, None), (91, "..."), (92, "aa BB"), (92, "aa BB")]
-    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string").drop("n_hit")
+    frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_hit string")
     got = decontaminate.hits(frame, spark.createDataFrame(items, "item_id long, text string"), window=6)
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
     windows = defaultdict(set)
@@ -182,6 +182,22 @@ def test_token_files_round_trip(docs):
     assert len(ids) == len(mask) == 16
 
 
+def test_a_ledger_goes_on_in_another_session(spark, tmp_path):
+    rows = [(1, "token = aaaabbbbcccc"), (2, "AKIA" + "B" * 16), (3, "nothing")]
+    docs, path = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ledger"
+    first = secrets.Ledger(spark, path)
+    before = sorted(map(str, secrets.scan(docs, ledger=first).collect()))
+    again = secrets.Ledger(spark, path)
+    assert again.scan(docs.select(F.col("doc_id").alias("path"), "text")).count() == 0
+    assert sorted(map(str, secrets.scan(docs, ledger=again).collect())) == before
+    more = docs.union(spark.createDataFrame([(4, "secret: 0123456789")], docs.schema))
+    late = secrets.Ledger(spark, path)
+    assert late.scan(more.select(F.col("doc_id").alias("path"), "text")).count() == 1
+    assert {r.doc_id: len(r.spans) for r in secrets.scan(more, ledger=secrets.Ledger(spark, path)).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+    (tmp_path / "ledger" / "drafts" / "dead").mkdir()  # what a scan that died leaves behind
+    assert secrets.Ledger(spark, path).entries().count() == 4
+
+
 def test_every_sequence_of_a_shard_of_many_batches(tmp_path):
     """Documents that cross the limit of a batch at will: each sequence is the plain slice of all ids."""
     rng, length = np.random.default_rng(2), 8
