@@ -154,23 +154,33 @@ def critical_path(index: DataFrame, edges: DataFrame, places: DataFrame) -> Data
     return paths.where("path IS NOT NULL").unionByName(first)
 
 
-def rename_impact(models: DataFrame, index: DataFrame, renames: DataFrame) -> DataFrame:
-    """The first line of each projecting model that holds the old name as a word.
+def word_index(models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables that answer renames without the texts: where each word stands, and how each line reads.
 
-    ``renames`` is ``(script_id, old_value, new_value)``. Lines are indexed by their words, so the lookup
-    is an equality join; the text of a line is fetched only for the hits.
+    ``(script_id, model, line_no, word)``, laid out by word so that a stored index is read where a word can be, and
+    ``(script_id, model, line_no, line_hint)``. Both are of the definition of each model that counts.
     """
     current = latest(models, "body").withColumnRenamed("name", "model")
     lines = current.select("script_id", "model", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
-    words = lines.select("script_id", "model", "line_no", F.explode(sql.words(F.col("line"))).alias("column"))
+    words = lines.select("script_id", "model", "line_no", F.explode(sql.words(F.col("line"))).alias("word"))
+    hints = lines.select("script_id", "model", "line_no", sql.strip(sql.unveil(F.col("line"))).alias("line_hint"))
+    return words.repartitionByRange("word", "script_id").sortWithinPartitions("word", "script_id"), hints
+
+
+def rename_impact(words: DataFrame, hints: DataFrame, index: DataFrame, renames: DataFrame) -> DataFrame:
+    """The first line of each projecting model that holds the old name as a word.
+
+    ``renames`` is ``(script_id, old_value, new_value)``, ``words`` and ``hints`` are a stored ``word_index``: the
+    lookup is an equality join on words, and a line is fetched only for the hits.
+    """
     wanted = renames.withColumn("column", F.lower("old_value"))
-    projecting = index.join(wanted, ["script_id", "column"])
-    named = projecting.join(words, ["script_id", "model", "column"])
+    projecting = index.join(wanted, ["script_id", "column"]).withColumnRenamed("column", "word")
+    named = projecting.join(words, ["script_id", "model", "word"])
     first = named.groupBy("script_id", "model", "old_value", "new_value").agg(F.min("line_no").alias("line_no"))
-    return first.join(lines, ["script_id", "model", "line_no"]).select(
+    return first.join(hints, ["script_id", "model", "line_no"]).select(
         "script_id",
         F.concat(F.lit("models/"), sql.last_part(F.col("model")), F.lit(".sql")).alias("file_path"),
-        sql.strip(sql.unveil(F.col("line"))).alias("line_hint"),
+        "line_hint",
         F.lit("rename").alias("change_type"),
         "old_value",
         "new_value",

@@ -247,7 +247,8 @@ def _impact_queries() -> dict[str, Query]:
         renames = index.select(
             "script_id", F.col("column").alias("old_value"), F.concat("column", F.lit("_v2")).alias("new_value")
         ).distinct()
-        return impact.rename_impact(parsed, index, renames)
+        words, hints = impact.word_index(parsed)
+        return impact.rename_impact(stage(words, "words"), stage(hints, "hints"), index, renames)
 
     def traced(s, d):
         parsed = stage(_models(s, d).drop("body"), "models")

@@ -1,6 +1,7 @@
 import pytest
 
 from millrace.operators import graph
+from millrace.operators.staging import stage
 from millrace.plans import catalog, impact, lineage, models, trace
 
 CHAIN = """
@@ -8,11 +9,11 @@ CREATE TABLE staging.spend AS SELECT id, SUM(x) AS total, COUNT(*) AS n FROM raw
 CREATE TABLE mart.summary AS SELECT c.id, c.name, s.total, s.n FROM staging.spend s JOIN raw.people c ON s.id = c.id;
 INSERT INTO mart.top SELECT id, name, total FROM mart.summary WHERE total > 10;
 """
-CTES = """CREATE TABLE mart.month AS
-WITH raw_orders AS (SELECT id, amount FROM raw.orders),
-Enriched AS (SELECT o.id, o.amount AS revenue, c.segment FROM raw_orders o JOIN raw.people c ON o.id = c.id),
-agg AS (SELECT segment, SUM(revenue) AS total_revenue FROM enriched GROUP BY segment)
-SELECT segment, total_revenue FROM agg"""
+CTES = """CREATE TABLE mart.tides AS
+WITH gauges AS (SELECT gauge_no, MAX(level) AS peak FROM sea.readings GROUP BY gauge_no),
+Coasts AS (SELECT g.gauge_no, g.peak AS height, h.coast FROM sea.harbours h JOIN gauges g USING (gauge_no)),
+steep AS (SELECT coast, height * 100 AS centimetres FROM coasts WHERE height > 3)
+SELECT centimetres, coast FROM steep"""
 LOOP = "CREATE TABLE t AS SELECT a FROM r; CREATE TABLE u AS SELECT a FROM t; INSERT INTO t SELECT a FROM u"
 
 
@@ -72,10 +73,10 @@ def test_model_graph_needs_an_earlier_definition(scripts):
 def test_ctes_of_any_case_join_the_graph(scripts):
     c = Corpus(scripts, CTES)
     assert {(r.src, r.dst) for r in c.edges.collect()} == {
-        ("raw_orders", "enriched"), ("enriched", "agg"), ("agg", "mart.month"),
+        ("gauges", "coasts"), ("coasts", "steep"), ("steep", "mart.tides"),
     }
     closed = {(r.src, r.dst) for r in graph.closure(c.edges, ["script_id"]).collect()}
-    assert ("raw_orders", "mart.month") in closed and len(closed) == 6
+    assert ("gauges", "mart.tides") in closed and len(closed) == 6
 
 
 def test_same_short_name_in_two_schemas(scripts):
@@ -92,12 +93,24 @@ def test_rename(spark, scripts):
     c = Corpus(scripts, CHAIN, "CREATE TABLE x.y AS SELECT 'total' AS k,\n  Total + 1 AS total\nFROM t")
     renames = spark.createDataFrame([(0, "total", "amount"), (1, "TOTAL", "amount"), (0, "nope", "x")],
                                     "script_id bigint, old_value string, new_value string")
-    got = {(r.script_id, r.file_path): r for r in impact.rename_impact(c.models, c.index, renames).collect()}
+    got = {(r.script_id, r.file_path): r for r in impact.rename_impact(*impact.word_index(c.models), c.index, renames).collect()}
     assert set(got) == {(0, "models/spend.sql"), (0, "models/summary.sql"), (0, "models/top.sql"), (1, "models/y.sql")}
     hit = got[(1, "models/y.sql")]
     assert (hit.line_hint, hit.change_type, hit.old_value, hit.new_value) == ("Total + 1 AS total", "rename", "TOTAL", "amount")
 
 
+def test_renames_read_the_stored_index_only(spark, scripts):
+    c = Corpus(scripts, CHAIN)
+    words, hints = (stage(t, n) for t, n in zip(impact.word_index(c.models), ("words", "hints")))
+    renames = spark.createDataFrame([(0, "total", "amount")], "script_id bigint, old_value string, new_value string")
+    index = stage(c.index, "columns")
+    found = impact.rename_impact(words, hints, index, renames)
+    read = {f.split("/millrace/")[1].split("/")[1].split("-")[0] for f in found.inputFiles()}
+    assert read == {"words", "hints", "columns"} and found.count() == 3
+    one = words.where("word = 'total' AND script_id = 0")
+    assert "EqualTo(word,total)" in one._jdf.queryExecution().executedPlan().toString() and one.count() > 0
+
+
 @pytest.mark.parametrize(
     "v1, v2, changed, breaking, summary",
     [
@@ -133,16 +146,16 @@ def ask(spark, scripts, text, *columns):
 
 
 def test_trace_follows_aliases(spark, scripts):
-    steps, roll = ask(spark, scripts, CTES, "amount", "missing")
+    steps, roll = ask(spark, scripts, CTES, "level", "missing")
     assert [(r.model_name, r.input_col, r.output_col, r.transformation) for r in steps] == [
-        ("raw_orders", "amount", "amount", "passthrough"),
-        ("enriched", "amount", "revenue", "rename"),
-        ("agg", "revenue", "total_revenue", "aggregate:SUM"),
-        ("month", "total_revenue", "total_revenue", "passthrough"),
+        ("gauges", "level", "peak", "aggregate:MAX"),
+        ("coasts", "peak", "height", "rename"),
+        ("steep", "height", "centimetres", "rename"),
+        ("tides", "centimetres", "centimetres", "passthrough"),
     ]
     assert [r.hop for r in steps] == [1, 2, 3, 4]
-    r = roll["amount"]
-    assert (r.found, r.depth, r.final_output, r.source_table) == (True, 4, "month", "raw.orders")
+    r = roll["level"]
+    assert (r.found, r.depth, r.final_output, r.source_table) == (True, 4, "tides", "sea.readings")
     r = roll["missing"]
     assert (r.found, r.depth, r.final_output, r.source_table) == (False, 0, None, None)
 
