@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import stage
 
 
+#: So few links, whatever their number was at first, are settled by one task instead of further rounds.
+FEW = 1 << 16
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where each node of at most ``FEW`` links goes: to the first node of its component."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = [x for x in up if top(x) != x]
+    yield pd.DataFrame({"node": nodes, "goes": [top(x) for x in nodes]}, dtype="int64")
+
+
 def _follow(links: DataFrame, column: str, to: DataFrame) -> DataFrame:
     """Replace a node by where it goes; a node that goes nowhere stays."""
     there = to.select(F.col("node").alias(column), F.col("goes").alias("__goes"))
@@ -15,15 +41,15 @@ def _follow(links: DataFrame, column: str, to: DataFrame) -> DataFrame:
     return links.join(there, column, "left").select(F.coalesce("__goes", column).alias(column), *kept)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
     """``node`` and ``root`` for every node of ``links`` (a, b: numbers); equal roots mean connected.
 
     A round ranks the nodes by a hash of its own, sends each node to the first of its neighbours if that is
     before itself, and rewrites the links. A node then stays with a chance that does not depend on how ids
     lie along the links, so that the rounds grow with the logarithm of the nodes, on a chain of rising ids
-    as elsewhere. Links between a node and itself are ignored. A table without links gives one without
-    rows. The small tables are staged before they are joined, so that adaptive execution can split the
-    links of a node that has very many.
+    as elsewhere. Rounds end when no more than ``few`` links are left, which one task settles. Links between a
+    node and itself are ignored. A table without links gives one without rows. The small tables are staged
+    before they are joined, so that adaptive execution can split the links of a node that has very many.
     """
     links = links.select("a", "b").where("a <> b")
     nodes = stage(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "members")
@@ -36,7 +62,10 @@ def components(links: DataFrame) -> DataFrame:
 
         ordered = links.select(F.greatest(placed("a"), placed("b"))["node"].alias("a"), F.least(placed("a"), placed("b"))["node"].alias("b"))
         links = stage(ordered.distinct(), "contracted")
-        if links.isEmpty():
+        left = links.count()
+        if left <= few:
+            if left:
+                rounds.append(stage(links.coalesce(1).mapInPandas(_settled, "node long, goes long"), "goes"))
             break
         goes = stage(links.groupBy(F.col("a").alias("node")).agg(F.min(placed("b"))["node"].alias("goes")), "goes")
         rounds.append(goes)
