@@ -21,7 +21,7 @@ from millrace.operators.staging import stage
 SHORT = 8
 
 
-def _written(df: DataFrame, tag: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
+def written(df: DataFrame, tag: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
     """The written table, and how many of its rows each condition holds for, counted by the same write."""
     seen = Observation()
     table = stage(df.observe(seen, *[F.count(F.when(c, 1)).alias(n) for n, c in counted.items()]), tag)
@@ -55,7 +55,7 @@ def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame
     """
     keys = list(keys)
     jump, level = F.col("__src").isNotNull(), F.lit(None).cast("bigint").alias("level")
-    state, n = _written(_arcs(edges, keys).withColumn("level", level), "levels", jumps=jump)
+    state, n = written(_arcs(edges, keys).withColumn("level", level), "levels", jumps=jump)
     length, least = 1, None
     while n["jumps"]:
         if length >= SHORT:
@@ -69,7 +69,7 @@ def levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame
         )
         best = placed.unionByName(reached).groupBy(*keys, "node").agg(F.max("level").alias("level"))
         longer = _doubled(jumps, keys).withColumn("level", level)
-        state, n = _written(longer.unionByName(best, allowMissingColumns=True), "levels", jumps=jump)
+        state, n = written(longer.unionByName(best, allowMissingColumns=True), "levels", jumps=jump)
         length *= 2
     blocked = state.where(jump).select(*keys, "node").distinct().withColumn("blocked", F.lit(True))
     known = state.where(~jump).select(*keys, "node", "level")
@@ -87,7 +87,7 @@ def reachable(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: S
     keys, columns = list(keys), [*keys, *carry, "node"]
     jump = F.col("__src").isNotNull()
     first = starts.select(*columns).distinct().unionByName(_arcs(edges, keys), allowMissingColumns=True)
-    state, n = _written(first, "reach", jumps=jump, found=~jump)
+    state, n = written(first, "reach", jumps=jump, found=~jump)
     while n["jumps"]:
         jumps, found = state.where(jump).select(*keys, "__src", "node"), state.where(~jump).select(*columns)
         step = found.join(_ahead(jumps, keys), [*keys, "node"]).select(*keys, *carry, F.col("__next").alias("node"))
@@ -95,7 +95,7 @@ def reachable(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: S
         longer = _doubled(jumps, keys).where("__src <> node")
         before = n["found"]
         both = found.unionByName(step).distinct().unionByName(longer, allowMissingColumns=True)
-        state, n = _written(both, "reach", jumps=jump, found=~jump)
+        state, n = written(both, "reach", jumps=jump, found=~jump)
         if n["found"] == before:
             break
     return state.where(~jump).select(*columns)
@@ -118,7 +118,7 @@ def walks(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Seque
     jump = F.col("__src").isNotNull()
     arcs = edges.select(*keys, F.col("src").alias("__src"), F.col("dst").alias("node"), *path)
     first = starts.select(*keys, *carry, "node", *path, F.lit(0).cast("bigint").alias("steps"))
-    state, n = _written(first.unionByName(arcs, allowMissingColumns=True), "walks", jumps=jump, found=~jump)
+    state, n = written(first.unionByName(arcs, allowMissingColumns=True), "walks", jumps=jump, found=~jump)
     length, most = 1, None
     while n["jumps"]:
         jumps, found = state.where(jump).select(*keys, "__src", "node", *path), state.where(~jump).drop("__src")
@@ -132,7 +132,7 @@ def walks(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Seque
         longer = jumps.join(ahead, [*keys, "node"]).select(*keys, "__src", F.col("__next").alias("node"), *longer_path)
         before = n["found"]
         both = found.unionByName(step).unionByName(longer, allowMissingColumns=True)
-        state, n = _written(both, "walks", jumps=jump, found=~jump)
+        state, n = written(both, "walks", jumps=jump, found=~jump)
         if n["found"] == before:
             break
         if length >= SHORT:
@@ -184,7 +184,7 @@ def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         ins = arcs.select(*keys, F.col("dst").alias("src")).distinct()
         outs = arcs.select(*keys, F.col("src").alias("dst")).distinct()
         kept = arcs.join(ins, [*keys, "src"], "left_semi").join(outs, [*keys, "dst"], "left_semi").select(*keys, "src", "dst")
-        arcs, n = _written(kept, "arcs", rows=F.lit(True))
+        arcs, n = written(kept, "arcs", rows=F.lit(True))
         if not n["rows"]:
             break
         forward = _coloured(arcs, keys, len(done))
@@ -216,7 +216,7 @@ def _coloured(arcs: DataFrame, keys: Sequence[str], phase: int) -> DataFrame:
         further = named.join(state.select(*keys, F.col("node").alias("__via"), "colour"), [*keys, "__via"]).select(*keys, "node", "colour")
         offered = along.unionByName(further).withColumn("own", F.lit(False)).unionByName(state.withColumn("own", F.lit(True)))
         best = offered.groupBy(*keys, "node").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("own"), F.col("colour"))).alias("old"))
-        table, n = _written(best, "colours", changed=F.col("colour") > F.col("old"))
+        table, n = written(best, "colours", changed=F.col("colour") > F.col("old"))
         state = table.drop("old")
         if not n["changed"]:
             return state

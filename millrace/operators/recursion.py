@@ -66,7 +66,7 @@ def hierarchy(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     named = rows.where(F.col(node).isNotNull()).select(F.col(node).alias("__parent"), F.col("__row").alias("__up"))
     first = rows.select("__row", F.col(parent).alias("__parent")).join(named, "__parent", "left")
     open_ = F.col("__up").isNotNull()
-    state, n = graph._written(
+    state, n = graph.written(
         first.select("__row", "__up", F.when(open_, F.col("__up")).otherwise(F.col("__row")).alias("__top"), F.when(open_, 1).otherwise(0).cast("bigint").alias("__above")),
         "pointers", open=open_,
     )
@@ -80,7 +80,7 @@ def hierarchy(nodes: DataFrame, node: str, parent: str) -> DataFrame:
         joined = state.where(open_).join(upper, "__up").select(
             "__row", F.col("__up2").alias("__up"), F.col("__top2").alias("__top"), (F.col("__above") + F.col("__above2")).alias("__above")
         )
-        state, n = graph._written(joined.unionByName(state.where(~open_)), "pointers", open=open_)
+        state, n = graph.written(joined.unionByName(state.where(~open_)), "pointers", open=open_)
         length *= 2
     # After as many steps as there are rows, what still has a way up is on a cycle or behind one, and points to one.
     cyclic = state.where(open_).select(F.col("__up").alias("__row")).distinct().withColumn("__on", F.lit(True))
