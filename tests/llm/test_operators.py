@@ -510,3 +510,35 @@ def test_lines_of_many_bars(spark):
     text = "\n".join(["ab|" * 50_000, "word " * 60, "Home | News | Shop | About"])
     got = line_rules.cleaned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.kept_lines == "word " * 60
+
+
+def test_sketches_rule_out_no_pair():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 3000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 64, n // 9, np.uint64)])
+            apart = sum((x ^ y).bit_count() for x, y in zip(*[np.array(similar.sketch(s), "<i8").view("<u8").tolist() for s in (a, b)], strict=True))
+            assert apart <= len(np.setxor1d(a, b))
+
+
+def test_crowd_of_texts_just_below_the_similarity(spark):
+    """Copies that each differ from one another, some of them tied through others: groups equal plain Jaccard's."""
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 5)), replace=False):
+            words[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    sets = [set(similar.shingle_set(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r.row: r.group for r in similar.groups(rows).collect()}
+    assert len(set(zip(root, [got[i] for i in range(len(texts))], strict=True))) == len(set(root)) == len(set(got.values()))
