@@ -148,20 +148,37 @@ def layout(cut: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def sequences(cut: DataFrame, placed: DataFrame, pad_id: int = 0, window: int = WINDOW) -> DataFrame:
-    """The packed sequences: ``sequence_id``, ``n_tokens``, ``ids`` (padded) and each piece's length in ``lengths``.
+    """The packed sequences: ``sequence_id``, ``n_tokens``, ``ids`` (padded) and ``pieces``, what lies where.
 
-    A sequence is padded to ``window``, unless it ends at a power of two.
+    A sequence is padded to ``window``, unless it ends at a power of two. ``pieces`` holds (offset, length, doc_id,
+    start, doc_tokens) in order. Ids move once, to their sequence, where the staged table of places is small enough
+    for Spark to broadcast it, and twice otherwise. A sequence gathers at most ``window`` ids.
     """
-    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
-    grouped = cut.join(placed, "piece_id").groupBy("sequence_id").agg(parts.alias("parts"))
+    places = stage(placed, "places")
+    whole = F.struct("offset", "length", "doc_id", "start", "doc_tokens", "ids")
+    grouped = cut.join(places, "piece_id").groupBy("sequence_id").agg(F.array_sort(F.collect_list(whole)).alias("parts"))
     used = F.aggregate("parts.length", F.lit(0).cast("long"), lambda a, x: a + x)
-    whole = F.aggregate("parts.ids", F.lit(b""), lambda a, x: F.concat(a, x))
-    one = F.lit(int(pad_id).to_bytes(4, "little"))
+    ids = F.aggregate("parts.ids", F.lit(b""), lambda a, x: F.concat(a, x))
+    pieces_of = F.transform("parts", lambda x: x.dropFields("ids"))
+    joined = grouped.select("sequence_id", used.alias("n_tokens"), ids.alias("ids"), pieces_of.alias("pieces"))
+    one = F.lit(int(pad_id).to_bytes(4, "little").hex())
     padding = F.when(F.bit_count("n_tokens") == 1, F.lit(0)).otherwise(window - F.col("n_tokens")).cast("int")
-    pads = F.aggregate(F.array_repeat(one, padding), F.lit(b""), lambda a, x: F.concat(a, x))
-    return grouped.select(
-        "sequence_id", used.alias("n_tokens"), whole.alias("ids"), F.col("parts.length").alias("lengths")
-    ).withColumn("ids", F.concat("ids", pads))
+    return joined.withColumn("ids", F.concat("ids", F.unhex(F.repeat(one, padding))))
+
+
+def read_pieces(packed: DataFrame) -> DataFrame:
+    """The pieces of written ``sequences``, each with the checksum of its ids as they lie in its sequence."""
+    each = packed.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+    ids = F.substring("ids", 4 * F.col("p.offset").cast("int") + 1, 4 * F.col("p.length").cast("int"))
+    return each.select(
+        "p.doc_id", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset"
+    )
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int, pad_id: int = 0, window: int = WINDOW) -> DataFrame:
+    """Tokenise, cut and pack ``docs`` (doc_id, text): the written ``sequences``. An empty table gives no sequences."""
+    cut = pieces(docs, tokenizer, end_id, window)
+    return stage(sequences(cut, layout(cut, window), pad_id, window), "sequences", compression="zstd")
 
 
 def ids_of(ids: bytes) -> np.ndarray:

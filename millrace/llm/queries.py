@@ -55,11 +55,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=1)
-    placed = packing.layout(cut)
-    # Digests first, so that no ids are shuffled.
-    digests = cut.select("piece_id", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return digests.join(placed, "piece_id").drop("piece_id")
+    """The documents packed and written as sequences; the pieces are read back from these."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.read_pieces(packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1))
 
 
 def _joined(spans: Column) -> Column:

@@ -169,6 +169,30 @@ def test_packing_keeps_every_token(docs):
         assert len(s.ids) // 4 == (s.n_tokens if s.n_tokens & (s.n_tokens - 1) == 0 else 64)
 
 
+def test_pieces_are_read_back_from_written_sequences(docs, no_docs):
+    got = defaultdict(list)
+    packed = packing.pack(docs, PATH, end_id=1, window=64)
+    lie = defaultdict(list)
+    for r in packing.read_pieces(packed).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        lie[r.sequence_id].append((r.offset, r.length))
+    encoder, want = Encoder(PATH), defaultdict(list)
+    for r in docs.collect():
+        ids = encoder.encode(r.text) + (1).to_bytes(4, "little")
+        for at in range(0, len(ids), 256):
+            want[r.doc_id].append((at // 4, len(ids[at : at + 256]) // 4, zlib.crc32(ids[at : at + 256]), len(ids) // 4))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    for parts in lie.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    for r in packed.collect():
+        assert not any(r.ids[4 * r.n_tokens :]) and [tuple(p)[:2] for p in r.pieces] == sorted(lie[r.sequence_id])
+    assert packing.read_pieces(packing.pack(no_docs, PATH, end_id=1)).count() == 0
+
+
 def test_token_files_round_trip(docs):
     manifest = arrow_tokens.write(docs, PATH, end_id=2, length=16)
     got = sorted(((r.doc_id if r.doc_id is not None else -1), r.start, r.n_tokens, r.ids_crc32) for r in arrow_tokens.read(manifest).collect())
