@@ -61,12 +61,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """What is left, packed and written as sequences; their pieces are read back."""
     import public_tokenizers
 
-    cut = packing.pieces(docs, public_tokenizers.path(TOKENIZER), end_id=1)
-    digests = cut.select("piece_id", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return digests.join(packing.layout(cut), "piece_id").drop("piece_id")
+    return packing.read_pieces(packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=1))
 
 
 STAGES = [
