@@ -6,15 +6,20 @@ from the table of counts by length: pieces of one length go, many at a time, to
 are alike. A segment tree over the remaining capacities finds the tightest open windows. The plan is
 a table of runs whose size depends on ``window`` only (at most three new runs of windows per length,
 each visited by at most 64 lengths, as different lengths in one window add up to at most ``window``).
+
+The same plan over what one task holds fills most windows without padding where the texts are tokenised. These
+are done; only the pieces of the other windows move, to the windows of the plan over the whole corpus.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +28,10 @@ from millrace.llm.tokens import encoder
 from millrace.operators.scan import running_sum
 
 WINDOW = 2048
+#: Ids that a task holds to fill windows with, 4 bytes each, and rows that it hands over at once. They bound its memory.
+HELD, ROWS_AT_ONCE = 8_000_000, 1000
+PIECE = ("offset", "length", "doc_id", "start", "doc_tokens")
+ROWS = f"n_tokens long, ids binary, pieces array<struct<{', '.join(f'{name}: bigint' for name in PIECE)}>>"
 RUNS = "length long, first_rank long, n long, per long, window_id long, at long"
 
 
@@ -33,27 +42,76 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -
     little-endian unsigned 32-bit numbers. A NULL text counts as empty, and every document has at
     least its end id. Equal rows are different documents. Other columns are left out.
     """
+    return _as_pieces(tokenised(docs, tokenizer, end_id, window, held=0))
+
+
+def _as_pieces(rows: DataFrame) -> DataFrame:
+    """Rows of one piece as a table of pieces."""
+    p = F.col("pieces")[0]
+    fields = [p[name].alias(name) for name in ("doc_id", "start", "doc_tokens")]
+    return rows.select(F.col("row_id").alias("piece_id"), F.col("n_tokens").alias("length"), *fields, "ids")
+
+
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, held: int = HELD) -> DataFrame:
+    """Tokenise ``docs`` and fill windows on the spot, so that few ids have to move; staged.
+
+    One row per sequence without padding, and one per piece that is in none: ``row_id``, ``n_tokens``, ``ids`` and
+    ``pieces``. A task holds pieces of about ``held`` ids, packs them best-fit decreasing and lets go of all: what it
+    leaves in windows that are not full has rows of its own, for the plan over the whole corpus.
+    """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer).encode, int(end_id).to_bytes(4, "little")
+        rows, waiting, n_waiting = [], [], 0
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 ids = encode(text) + end
                 total = len(ids) // 4
-                rows += [
-                    (doc_id, at, min(window, total - at), total, ids[4 * at : 4 * (at + window)])
-                    for at in range(0, total, window)
-                ]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "ids"])
-
-    # doc_id travels as text, as pandas would turn numbers beside NULLs into floats.
-    schema = "doc_id string, start long, length long, doc_tokens long, ids binary"
-    cut_up = docs.select(*columns_of(docs, doc_id="string", text="string")).mapInPandas(cut, schema)
-    numbered = cut_up.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(
-        "piece_id", F.monotonically_increasing_id()
-    )
-    return stage(numbered, "pieces", compression="zstd")
+                for at in range(0, total, window):
+                    piece = (min(window, total - at), doc_id, at, total, ids[4 * at : 4 * (at + window)])
+                    if piece[0] == window or not held:
+                        rows.append([piece])
+                    else:
+                        waiting.append(piece)
+                        n_waiting += piece[0]
+                if n_waiting >= held > 0:
+                    rows += _fill(waiting, window)
+                    waiting, n_waiting = [], 0
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield from _batches(rows)
+                    rows = []
+        yield from _batches(rows + _fill(waiting, window))
+
+    rows = docs.select(*columns_of(docs, doc_id="long", text="string")).mapInArrow(fill, ROWS)
+    return stage(rows.withColumn("row_id", F.monotonically_increasing_id()), "pieces", compression="zstd")
+
+
+def _fill(waiting: list[tuple], window: int) -> list[list[tuple]]:
+    """The pieces as lists in order of their place: those of a full window together, each other one by itself."""
+    by_length, windows = defaultdict(list), defaultdict(list)
+    for piece in waiting:
+        by_length[piece[0]].append(piece)
+    # Runs come by falling length, so a window's pieces come in the order of their places.
+    for length, rank, n, per, first, _ in plan_runs({k: len(v) for k, v in by_length.items()}, window):
+        for j in range(n):
+            windows[first + j // per].append(by_length[length][rank + j])
+    out = []
+    for parts in windows.values():
+        out += [parts] if sum(p[0] for p in parts) == window else [[p] for p in parts]
+    return out
+
+
+def _batches(rows: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(rows), ROWS_AT_ONCE):
+        some = rows[k : k + ROWS_AT_ONCE]
+        flat = [p for parts in some for p in parts]
+        offsets = [at for parts in some for at in accumulate((p[0] for p in parts[:-1]), initial=0)]
+        columns = [offsets, *([p[i] for p in flat] for i in range(4))]
+        places = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], list(PIECE))
+        ends = pa.array(accumulate(map(len, some), initial=0), pa.int32())
+        ids = pa.array([b"".join(p[4] for p in parts) for parts in some], pa.binary())
+        used = pa.array([sum(p[0] for p in parts) for parts in some], pa.int64())
+        yield pa.RecordBatch.from_arrays([used, ids, pa.ListArray.from_arrays(ends, places)], ["n_tokens", "ids", "pieces"])
 
 
 class Tightest:
@@ -151,11 +209,11 @@ def sequences(cut: DataFrame, placed: DataFrame, pad_id: int = 0, window: int =
     """The packed sequences: ``sequence_id``, ``n_tokens``, ``ids`` (padded) and ``pieces``, what lies where.
 
     A sequence is padded to ``window``, unless it ends at a power of two. ``pieces`` holds (offset, length, doc_id,
-    start, doc_tokens) in order. Ids move once, to their sequence, where the staged table of places is small enough
-    for Spark to broadcast it, and twice otherwise. A sequence gathers at most ``window`` ids.
+    start, doc_tokens, piece_id) in order. Ids move once, to their sequence, where the staged table of places is small
+    enough for Spark to broadcast it, and twice otherwise. A sequence gathers at most ``window`` ids.
     """
     places = stage(placed, "places")
-    whole = F.struct("offset", "length", "doc_id", "start", "doc_tokens", "ids")
+    whole = F.struct(*PIECE, "piece_id", "ids")
     grouped = cut.join(places, "piece_id").groupBy("sequence_id").agg(F.array_sort(F.collect_list(whole)).alias("parts"))
     used = F.aggregate("parts.length", F.lit(0).cast("long"), lambda a, x: a + x)
     ids = F.aggregate("parts.ids", F.lit(b""), lambda a, x: F.concat(a, x))
@@ -175,10 +233,21 @@ def read_pieces(packed: DataFrame) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, pad_id: int = 0, window: int = WINDOW) -> DataFrame:
-    """Tokenise, cut and pack ``docs`` (doc_id, text): the written ``sequences``. An empty table gives no sequences."""
-    cut = pieces(docs, tokenizer, end_id, window)
-    return stage(sequences(cut, layout(cut, window), pad_id, window), "sequences", compression="zstd")
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int, pad_id: int = 0, window: int = WINDOW, held: int = HELD
+) -> DataFrame:
+    """Tokenise, cut and pack ``docs`` (doc_id, text): the written ``sequences``. An empty table gives no sequences.
+
+    Windows that a task fills without padding stay where it wrote them. The pieces of all others, from all tasks,
+    are packed by one plan. A sequence is numbered by the row of its first piece.
+    """
+    rows = tokenised(docs, tokenizer, end_id, window, held)
+    cut = _as_pieces(rows.where(F.col("n_tokens") < window))
+    planned = stage(sequences(cut, layout(cut, window), pad_id, window), "sequences", compression="zstd")
+    places = F.transform("pieces", lambda x: x.dropFields("piece_id"))
+    planned = planned.select(F.col("pieces")[0]["piece_id"].alias("sequence_id"), "n_tokens", "ids", places.alias("pieces"))
+    full = rows.where(F.col("n_tokens") == window).select(F.col("row_id").alias("sequence_id"), "n_tokens", "ids", "pieces")
+    return full.unionByName(planned)
 
 
 def ids_of(ids: bytes) -> np.ndarray:
