@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import stage
 
 UNKNOWN = "unknown"
-#: Documents whose paragraphs stand for ordinary text, picked by a hash of the text, and paragraphs of them.
-MOST_DOCUMENTS, MOST_PARAGRAPHS = 300, 3000
+#: All ordinary paragraphs of a corpus count in training, and weigh as many as this together where there are more, so
+#: that the few templates are not lost beside them. Calibration counts each as one.
+PLAIN_WEIGHT = 3000
 #: Least share of the shorter side's triples that a paragraph and a template have in common.
 OVERLAP = 0.5
 LEAST_THRESHOLD = 0.6
@@ -128,10 +129,11 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Model:
-    """Learn from the templates and a bounded sample of the paragraphs of ``docs`` (text).
+    """Learn from the templates and all different paragraphs of ``docs`` (text).
 
-    Every template gives itself and all its leading and trailing parts of five words or more. An empty
-    corpus leaves the class ``unknown`` to a few fixed phrases.
+    Every template gives itself and all its leading and trailing parts of five words or more. Paragraphs
+    with the same known pairs and triples are one weighted row. An empty corpus leaves the class ``unknown``
+    to a few fixed phrases.
     """
     spark = docs.sparkSession
     whole = _templates(spark)
@@ -140,36 +142,50 @@ def train(docs: DataFrame) -> Model:
         F.array("w"), F.transform(cuts, lambda n: F.slice("w", 1, n)), F.transform(cuts, lambda n: F.slice("w", -n, n))
     )
     known = whole.select("family", F.explode(parts).alias("w"))
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    # At most ``MOST_DOCUMENTS`` hashes, picked without their texts.
-    hashes = texts.groupBy("h").count().select("h").orderBy("h").limit(MOST_DOCUMENTS)
-    picked = texts.join(F.broadcast(hashes), "h").groupBy("h").agg(F.min("text").alias("text"))
-    picked = picked.withColumn("row", F.lit(0).cast("long"))
-    # Staged, as a filter that moved below the split would split a line again for every triple.
-    lines = paragraphs(picked).select("w").distinct().withColumn("triples", F.array_distinct(triples(F.col("w"))))
-    lines = stage(lines, "lines")
+    # The templates' pairs and triples, whatever the corpus.
+    vocabulary = sorted(r.g for r in known.select(F.explode(grams(F.col("w"))).alias("g")).distinct().collect())
+    by_family = _family_triples(spark)
+    confirming = {g for t in by_family.values() for one in t for g in one}
+    texts = docs.select(F.lit(0).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    digest = F.xxhash64("w").alias("h")
+    # A paragraph that occurs more than once is one. Staged, as a filter that moved below would find the grams of a line
+    # again for every template.
+    lines = _met(paragraphs(texts).select("w", digest), ["h"], vocabulary, confirming).select(
+        F.array_sort("grams").alias("grams"), "h", "n_triples"
+    )
+    lines = stage(lines.distinct(), "lines")
     licence = F.lit(False)
-    for family in _family_triples(spark).values():
-        licence = licence | _overlap(_arrays(family), F.col("triples"), F.size("triples"))
-    plain = lines.where(~licence).select("w").orderBy(F.xxhash64("w"), "w").limit(MOST_PARAGRAPHS)
+    for family in by_family.values():
+        licence = licence | _overlap(_arrays(family), F.col("grams"), F.col("n_triples"))
+    plain = lines.where(~(licence & (F.col("n_triples") > 0)))
     fixed = [("the quick brown fox jumps over the lazy dog",), ("this work is under way in the version of the year",),
              ("released in the spring under the name of the house",), ("you can use this at the end of the day",)]
-    plain = plain.unionByName(spark.createDataFrame(fixed, "t string").select(words(F.col("t")).alias("w")))
-    labelled = known.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "w")).withColumn("grams", grams(F.col("w")))
+    fixed = spark.createDataFrame(fixed, "t string").select(words(F.col("t")).alias("w")).select("w", digest)
+    plain = plain.select("grams", "h").unionByName(
+        _met(fixed, ["h"], vocabulary, confirming).select(F.array_sort("grams").alias("grams"), "h")
+    )
+    counted = plain.groupBy("grams", F.pmod("h", F.lit(4)).alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    plain = stage(counted, "plain")
+    n_plain = plain.where("fold != 0").agg(F.sum("n")).first()[0] or 0
     classes = (UNKNOWN, *FAMILIES)
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    labelled = labelled.select(label.cast("double").alias("label"), "grams", F.pmod(F.xxhash64("w"), F.lit(4)).alias("fold"))
-    vocabulary = sorted(r.g for r in known.select(F.explode(grams(F.col("w"))).alias("g")).distinct().collect())
+    weight = F.col("n") * F.lit(min(1.0, PLAIN_WEIGHT / max(1, n_plain)))
+    labelled = plain.select(F.lit(0.0).alias("label"), "grams", "fold", "n", weight.alias("weight")).unionByName(
+        known.select(label.cast("double").alias("label"), grams(F.col("w")).alias("grams"), F.lit(1).cast("long").alias("fold"),
+                     F.lit(1).cast("long").alias("n"), F.lit(1.0).alias("weight"))
+    )
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", binary=True)
-    rows = vectors.transform(labelled.coalesce(1)).select("label", "features", "fold").cache()
-    learner = LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, standardization=False)
+    rows = vectors.transform(labelled).select("label", "features", "fold", "n", "weight").cache()
+    learner = LogisticRegression(
+        family="multinomial", regParam=1e-4, elasticNetParam=0.5, maxIter=60, standardization=False, weightCol="weight"
+    )
     trained = learner.fit(rows.where((F.col("fold") != 0) | (F.col("label") > 0)))
     # Calibration: by family, so that an odd line near one licence bars neither the others nor its own.
     from pyspark.ml.functions import vector_to_array
 
     apart = trained.transform(rows.where((F.col("fold") == 0) & (F.col("label") == 0)))
-    said = apart.select(vector_to_array("probability").alias("p"))
-    tops = said.agg(*[F.percentile(F.get("p", F.lit(k)), F.lit(QUANTILE)) for k in range(1, len(classes))]).first()
+    said = apart.select(vector_to_array("probability").alias("p"), "n")
+    tops = said.agg(*[F.percentile(F.get("p", F.lit(k)), F.lit(QUANTILE), F.col("n")) for k in range(1, len(classes))]).first()
     rows.unpersist()
     seen = {int(k): j for j, k in enumerate(range(trained.numClasses))}
     matrix, intercepts = trained.coefficientMatrix.toArray(), trained.interceptVector.toArray()
@@ -178,6 +194,29 @@ def train(docs: DataFrame) -> Model:
     return Model(classes, weights, [float(x) for x in intercepts], [max(LEAST_THRESHOLD, top or 0.0) for top in tops])
 
 
+def _met(lines: DataFrame, keep: list[str], known: Iterable[str], confirming: set[str]) -> DataFrame:
+    """``grams`` (known pairs and triples, each once), ``spoken`` and ``n_triples`` of each line of words ``w``.
+
+    The number of different triples is 0 where a line shares none with a template.
+    """
+    known = sorted(confirming.union(known))
+    heads = sorted({g.split(" ")[0] for g in known})
+    # Each word with the next two. Only what has a weight or confirms leaves its line, once each, so the work on a
+    # long line grows with its length.
+    following = [F.slice("w", F.lit(k + 1), F.size("w")).alias(f"w{k}") for k in range(3)]
+    runs = lines.select(*keep, "w", F.arrays_zip(*following).alias("runs"))
+    runs = runs.withColumn("runs", F.filter("runs", lambda r: r["w0"].isin(heads)))
+    pairs = F.transform("runs", lambda r: F.concat_ws(" ", r["w0"], r["w1"]))
+    threes = F.transform("runs", lambda r: F.concat_ws(" ", r["w0"], r["w1"], r["w2"]))
+    # Features are binary: a gram that a line repeats counts once.
+    grams_of = runs.select(*keep, "w", F.concat(pairs, threes).alias("grams"))
+    met = grams_of.withColumn("grams", F.array_distinct(F.filter("grams", lambda g: g.isin(known))))
+    # The triples of a line matter only where it shares one with a template.
+    may_confirm = F.exists("grams", lambda g: g.isin(sorted(confirming)))
+    n_triples = F.when(may_confirm, F.size(F.array_distinct(triples(F.col("w"))))).otherwise(0)
+    return met.select(*keep, (F.size("w") > 0).alias("spoken"), "grams", n_triples.alias("n_triples"))
+
+
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Every row of ``docs`` (doc_id, text) with its licence paragraphs.
 
@@ -196,24 +235,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     confirming = {g for t in by_family.values() for one in t for g in one}
     # The weights are bound by the templates' pairs and triples.
     weights = model.table(spark, confirming)
-    known = sorted(confirming | model.weights.keys())
-    heads = sorted({g.split(" ")[0] for g in known})
-    # Each word with the next two. Only what has a weight or confirms leaves its line, once each, so the work on a
-    # long line grows with its length.
-    following = [F.slice("w", F.lit(k + 1), F.size("w")).alias(f"w{k}") for k in range(3)]
-    runs = lines.select("doc_id", "row", "line", "w", F.arrays_zip(*following).alias("runs"))
-    runs = runs.withColumn("runs", F.filter("runs", lambda r: r["w0"].isin(heads)))
-    pairs = F.transform("runs", lambda r: F.concat_ws(" ", r["w0"], r["w1"]))
-    threes = F.transform("runs", lambda r: F.concat_ws(" ", r["w0"], r["w1"], r["w2"]))
-    # Features are binary: a gram that a line repeats counts once.
-    grams_of = runs.select("doc_id", "row", "line", "w", F.concat(pairs, threes).alias("grams"))
-    met = grams_of.withColumn("grams", F.array_distinct(F.filter("grams", lambda g: g.isin(known))))
-    # The triples of a line matter only where it shares one with a template.
-    may_confirm = F.exists("grams", lambda g: g.isin(sorted(confirming)))
-    met = met.select(
-        "doc_id", "row", "line", (F.size("w") > 0).alias("spoken"), "grams",
-        F.when(may_confirm, F.size(F.array_distinct(triples(F.col("w"))))).otherwise(0).alias("n_triples"),
-    ).select("doc_id", "row", "line", "spoken", "n_triples", F.explode_outer("grams").alias("gram"))
+    met = _met(lines, ["doc_id", "row", "line"], model.weights, confirming)
+    met = met.select("doc_id", "row", "line", "spoken", "n_triples", F.explode_outer("grams").alias("gram"))
     met = met.join(F.broadcast(weights), "gram", "left")
     features = F.collect_list(F.when(F.col("weights").isNotNull(), F.struct("gram", "weights")))
     by_line = met.groupBy("row", "line").agg(
