@@ -5,8 +5,9 @@ of 0.8 fingerprints differ in some ten of 64 bits, which no block buckets reach,
 texts can have a partner at all: 32 bands of 4 minima pass over a pair of similarity 0.8 with a chance of
 5e-8, and over closer pairs with less. Every proposed pair is compared exactly before it links.
 
-Large groups are tied to few of their texts first: in each round a text of a bucket meets at most three texts of
-other groups, others in every round. Texts whose buckets still hold several groups then go through an exact prefix-filtered
+Large groups are tied to few of their texts first: in each round the texts of a bucket that are not of its largest group
+meet one text of that group and one of a group drawn anew. The largest group asks nobody, so that what stays outside does
+not meet each of its texts. Texts whose buckets still hold several groups then go through an exact prefix-filtered
 join: their shingles are ordered by rarity, the ``n - ceil(0.8 n) + 1`` rarest of each text are its prefix, and only texts
 of different groups that share a prefix shingle, within the length and positional bounds, are compared. Passages that
 many texts have are in no prefix, so pairs follow true neighbours.
@@ -194,15 +195,17 @@ def groups(docs: DataFrame) -> DataFrame:
         linked = components(found)
         placed = filed.join(linked, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
         placed = stage(placed, "placed")
-        # A bucket's texts in an order that no two rounds share: ends of two groups, and a text whatever its group.
+        # A bucket's group with most texts and one that is drawn, by one text each; every round draws others.
         of_root, of_node = (F.xxhash64(c, F.lit(n_round)) for c in ("root", "node"))
-        by_root, by_node = F.struct(of_root, "root", of_node, "node"), F.struct(of_node, "node", "root")
-        ends = placed.groupBy("bucket").agg(F.min(by_root).alias("lo"), F.max(by_root).alias("hi"), F.min(by_node).alias("any"))
-        mixed = placed.join(stage(ends.where("lo.root <> hi.root"), "mixed"), "bucket")
+        by_root = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("rows"), F.min_by("node", of_node).alias("node"))
+        one = F.struct("node", "root")
+        most, drawn = F.max_by(one, F.struct("rows", of_root)).alias("main"), F.min_by(one, of_root).alias("drawn")
+        ends = by_root.groupBy("bucket").agg(most, drawn, F.count(F.lit(1)).alias("roots"))
+        mixed = placed.join(stage(ends.where("roots > 1").drop("roots"), "mixed"), "bucket")
         if gained is not None and LEAST_GAIN * gained <= n_texts:
             break
-        offered = [F.struct(F.col(f"{x}.node").alias("node"), F.col(f"{x}.root").alias("root")) for x in ("lo", "hi", "any")]
-        asking = mixed.select("node", "root", F.explode(F.array(*offered)).alias("other")).where("root <> other.root")
+        offered = F.explode(F.array_distinct(F.array("main", "drawn"))).alias("other")
+        asking = mixed.where("root <> main.root").select("node", "root", offered).where("root <> other.root")
         pairs = _pairs(asking.select(F.col("node").alias("a"), F.col("other.node").alias("b")), known, marks)
         more = _compared(pairs, sets)
         known, found, gained, n_round = known.union(pairs), found.union(more), more.count(), n_round + 1

@@ -597,3 +597,28 @@ def test_crowd_of_texts_just_below_the_similarity(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
     got = {r.row: r.group for r in similar.groups(rows).collect()}
     assert len(set(zip(root, [got[i] for i in range(len(texts))], strict=True))) == len(set(root)) == len(set(got.values()))
+
+
+def test_crowd_around_a_large_group_is_not_met_by_all_of_it(spark, monkeypatch):
+    """Copies with one changed word are a group, those with three are mostly alone beside it: they ask, the group does not."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for k in range(300):
+        words = [f"w{k}" for k in range(120)]
+        for at in rng.choice(120, 1 if k < 200 else 3, replace=False):
+            words[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    offered, pairs_of = [], similar._pairs
+
+    def counted(pairs, known=None, marks=None):
+        ends = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+        offered.append(pairs.select(*ends).where("a < b").distinct().count())
+        return pairs_of(pairs, known, marks)
+
+    monkeypatch.setattr(similar, "_pairs", counted)
+    found = defaultdict(set)
+    for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "row long, text string")).collect():
+        found[r.group].add(r.row)
+    sets = [set(similar.shingle_set(t).tolist()) for t in texts]
+    assert {frozenset(v) for v in found.values()} == jaccard_groups(sets)
+    assert max(map(len, found.values())) >= 200 and sum(offered) <= 20 * len(texts), offered
