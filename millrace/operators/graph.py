@@ -5,7 +5,8 @@ All graphs advance together and every round is one written table. Rounds double
 rounds. Nothing is collected but the row counts of a round.
 
 The jumps of a chain or a tree are at most as many as its nodes in each round; in general they are pairs of
-the closure. ``components`` keeps one row per node and edge instead, whatever the graph.
+the closure. ``components`` keeps one row per node and edge instead, whatever the graph, and ``spread`` makes
+no more jumps than a few per edge, so that nodes with many ways in and out (hubs) cost no pairs.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.operators.staging import stage
+from millrace.operators.staging import Rounds, stage
 
 #: Up to so many edges, walks are lengthened before the size of the largest graph is asked for.
 SHORT = 8
 
+#: ``spread`` lengthens walks through nodes with so many ways in, or ways out, at most, to so many jumps per edge.
+BROAD = 4
+
 
 def written(df: DataFrame, tag: str, **counted: Column) -> tuple[DataFrame, dict[str, int]]:
     """The written table, and how many of its rows each condition holds for, counted by the same write."""
@@ -32,8 +36,9 @@ def _ahead(jumps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return jumps.select(*keys, F.col("__src").alias("node"), F.col("node").alias("__next"))
 
 
-def _doubled(jumps: DataFrame, keys: Sequence[str]) -> DataFrame:
-    longer = jumps.join(_ahead(jumps, keys), [*keys, "node"]).select(*keys, "__src", F.col("__next").alias("node"))
+def _doubled(jumps: DataFrame, keys: Sequence[str], first: DataFrame | None = None) -> DataFrame:
+    """All jumps, or those of ``first``, made longer by another."""
+    longer = (jumps if first is None else first).join(_ahead(jumps, keys), [*keys, "node"]).select(*keys, "__src", F.col("__next").alias("node"))
     return longer.distinct()
 
 
@@ -101,6 +106,38 @@ def reachable(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: S
     return state.where(~jump).select(*columns)
 
 
+def spread(starts: DataFrame, edges: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``reachable``, for few starts in a graph where many nodes lead to hubs and hubs to many nodes.
+
+    A round goes on from the rows that the last one found, along edges, so tables hold edges and found rows and
+    no other pairs. Where that takes many rounds, jumps are added to the edges, twice as long in each round,
+    but none through a hub, and no more than a few per edge: chains take rounds by the logarithm of their length,
+    and what jumps leave out the edges reach.
+    """
+    keys, columns = list(keys), [*keys, *carry, "node"]
+    jumps, n = written(_arcs(edges, keys), "arcs", rows=F.lit(True))
+    steps, length, longest, most = jumps, 1, n["rows"], BROAD * n["rows"]
+    rounds = Rounds(starts.sparkSession, "spread")
+    fresh = rounds.add(starts.select(*columns).distinct())
+    while fresh:
+        if rounds.count > SHORT and length <= longest and 0 < n["rows"] <= most:
+            length *= 2
+            jumps, n = written(_past_hubs(jumps, keys), "jumps", rows=F.lit(True))
+            steps = steps.unionByName(jumps) if n["rows"] <= most else steps
+        step = rounds.last().join(_ahead(steps, keys), [*keys, "node"]).select(*keys, *carry, F.col("__next").alias("node"))
+        # An intersection of all columns rather than a join, as NULLs are equal here.
+        fresh = rounds.add(step.distinct().subtract(rounds.all()))
+    return rounds.all()
+
+
+def _past_hubs(jumps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Jumps of twice the length, without those whose middle has many ways in and many ways out."""
+    ins = jumps.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("__in"))
+    outs = jumps.groupBy(*keys, F.col("__src").alias("node")).agg(F.count(F.lit(1)).alias("__out"))
+    middles = ins.join(outs, [*keys, "node"]).where(F.least("__in", "__out") <= BROAD).select(*keys, "node")
+    return _doubled(jumps, keys, jumps.join(middles, [*keys, "node"], "left_semi")).where("__src <> node")
+
+
 def closure(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys…, src, dst)`` for every node and each of its descendants."""
     starts = edges.select(*keys, "src", F.col("dst").alias("node"))

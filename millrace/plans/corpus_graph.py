@@ -43,10 +43,13 @@ def edges(statements: DataFrame) -> DataFrame:
 
 
 def downstream(statements: DataFrame, tables: DataFrame) -> DataFrame:
-    """``(table, depends)``: the tables that ``tables`` (table) lead to, in any script and over any number of steps."""
+    """``(table, depends)``: the tables that ``tables`` (table) lead to, in any script and over any number of steps.
+
+    Marts that many scripts write and many read are hubs: no pairs of their writers and readers are made.
+    """
     links = edges_between_tables(statements)
     starts = tables.select(F.col("table").alias("origin"), F.col("table").alias("node")).distinct()
-    reached = graph.reachable(starts, links, [], ["origin"]).where("origin <> node")
+    reached = graph.spread(starts, links, [], ["origin"]).where("origin <> node")
     return reached.select(F.col("origin").alias("table"), F.col("node").alias("depends"))
 
 

@@ -166,7 +166,8 @@ def _statement_queries() -> dict[str, Query]:
         "catalog_refresh": catalog_refresh,
         "corpus_edges": lambda s, d: corpus_graph.edges(_slim(s, d)),
         "corpus_downstream": lambda s, d: corpus_graph.downstream(
-            slim := _slim(s, d), slim.select(F.explode("source_tables").alias("table")).where("table LIKE 'raw.%'")
+            used := stage(_statements(s, d).select("target_table", "source_tables"), "statements"),
+            used.select(F.explode("source_tables").alias("table")).where("table LIKE 'raw.%'"),
         ),
         "script_clean": lambda s, d: catalog.normalised(corpus.scripts(s, d)),
         "rejected_scripts": lambda s, d: catalog.rejected(corpus.scripts(s, d)),

@@ -1,5 +1,6 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,18 @@ def test_downstream_tables(spark):
     assert {tuple(r) for r in got} == {("raw.x", "a"), ("raw.x", "b"), ("raw.x", "c"), ("raw.y", "b"), ("raw.y", "c"), ("b", "c")}
 
 
+def test_downstream_makes_no_pairs_of_a_marts_writers_and_readers(spark):
+    """400 tables lead to a mart and 400 come from it: no table on the way holds their 160,000 pairs."""
+    rows = [(i, 0, f"own{i}", ["raw.x"]) for i in range(400)] + [(i, 1, "mart.hot", [f"own{i}"]) for i in range(400)]
+    rows += [(i, 2, f"report{i}", ["mart.hot"]) for i in range(400)]
+    base = Path(new_path(spark, "before").removeprefix("file:")).parent
+    before = set(base.iterdir())
+    got = corpus_graph.downstream(spark.createDataFrame(rows, STATEMENTS).coalesce(1), spark.createDataFrame([("raw.x",)], "table string")).collect()
+    assert len(got) == 801 and {r.table for r in got} == {"raw.x"} and len({r.depends for r in got}) == 801
+    most = max(spark.read.option("recursiveFileLookup", True).parquet(str(p)).count() for p in set(base.iterdir()) - before)
+    assert most <= 3000
+
+
 FIRST = ["CREATE TABLE a AS SELECT x FROM r; CREATE TABLE b AS SELECT x FROM a", "SELECT 1 FROM t", "-- nothing", "SELECT 1 FROM t", None]
 SECOND = [FIRST[0], "SELECT 2 FROM t", "CREATE TABLE a AS SELECT 1 FROM s; CREATE TABLE c AS SELECT 1 FROM a", FIRST[1], ""]
 

@@ -114,6 +114,36 @@ def test_a_thousand_links_take_logarithmic_rounds(spark, rounds):
     assert path == list(range(1001)) and len(rounds) <= 26
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spread_reaches_what_reachable_does(spark, seed):
+    """Cycles, loops, hubs, a chain longer than the first plain rounds, starts that nothing leads on from, and NULLs."""
+    rng = random.Random(seed)
+    edges = {(g, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for g in range(3) for _ in range(35)}
+    edges |= {(1, f"n{i}", "hub") for i in range(30)} | {(1, "hub", f"o{i}") for i in range(30)} | {(1, "o3", "n4")}
+    edges |= {(2, f"c{i}", f"c{i + 1}") for i in range(40)} | {(2, "n1", "c0"), (None, "n1", "n2"), (0, None, "n1")}
+    table = spark.createDataFrame(sorted(edges, key=str), E)
+    rows = [(0, "a", "n1"), (0, "b", "n2"), (1, "a", "n3"), (2, None, "n1"), (2, "a", "n7"), (2, "a", "none"), (None, "a", "n1"), (0, "a", None), (0, "a", "n1")]
+    starts = spark.createDataFrame(rows, "g int, label string, node string")
+    found = graph.spread(starts, table, ["g"], ["label"])
+    assert found.columns == ["g", "label", "node"]
+    got, want = ([tuple(r) for r in df.collect()] for df in (found, graph.reachable(starts, table, ["g"], ["label"])))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(2, None, f"c{i}") for i in range(41)} <= set(got)
+
+
+def test_spread_takes_few_rounds_on_long_ways(spark, monkeypatch):
+    """A chain of 1000, one of pairs of nodes that both lead to the next pair, and one with a hub in the middle."""
+    counts, add = [], graph.Rounds.add
+    monkeypatch.setattr(graph.Rounds, "add", lambda self, df: counts.append(add(self, df)) or counts[-1])
+    single = [(0, f"n{i}", f"n{i + 1}") for i in range(1000)]
+    double = [(1, f"{a}{i}", f"{b}{i + 1}") for i in range(300) for a in "ab" for b in "ab"]
+    hub = [(2, f"{a}{i}", "n0") for i in range(40) for a in "ab"] + [(2, "n20", f"o{i}") for i in range(40)] + [(2, f"n{i}", f"n{i + 1}") for i in range(60)]
+    starts = spark.createDataFrame([(0, "n0"), (1, "a0"), (2, "a1")], "g int, node string")
+    found = graph.spread(starts, spark.createDataFrame(single + double + hub, E).coalesce(1), ["g"])
+    assert {r.g: r.n for r in found.groupBy("g").agg(F.count("node").alias("n")).collect()} == {0: 1001, 1: 601, 2: 102}
+    assert len(counts) <= 20
+
+
 def test_components_of_a_long_cycle_with_a_tail(spark):
     around = chain(spark, 60).coalesce(1).unionByName(spark.createDataFrame([(0, 60, 20)], "g int, src long, dst long"))
     got = {r.node: r.component for r in graph.components(around, ["g"]).collect()}
