@@ -130,6 +130,67 @@ def test_script_directory(spark, tmp_path):
     assert got == {"a": "SELECT 1;\nSELECT 2", "b": "SELECT 3"}
 
 
+ODD = {
+    "a b/x %20#é.sql": b"SELECT 1", "_hid/y.sql": b"1", ".hid/y.sql": b"1", "_y.sql": b"1", ".y.sql": b"1", "_p=1/z.sql": b"z", "k=v/_q=1.sql": b"q",
+    "n/bad.sql": b"\xff\xfeSELECT\x00 \xc3", "n/bom.sql": b"\xef\xbb\xbfS\r\n", "n/empty.sql": b"", "n/UP.SQL": b"u", "n/.sql": b"d",
+    "n/t.sql._COPYING_": b"c", "n/v.sql/w.sql": b"dir", "n/_metadata.sql": b"m", "_metadata/m.sql": b"m", "n/c._COPYING_/o.sql": b"c", "1/2/3/4/x %20#é.sql": b"e",
+}
+
+
+def odd_files(top):
+    for name, content in ODD.items():
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_bytes(content)
+    (top / "link.sql").symlink_to(top / "n" / "bom.sql")
+    (top / "linked").symlink_to(top / "a b")
+    (top / "broken.sql").symlink_to(top / "nothing")
+
+
+def test_scripts_read_by_tasks_are_those_that_spark_reads(spark, tmp_path):
+    odd_files(tmp_path)
+
+    def read(how, folder):
+        return sorted(map(tuple, how(spark, folder).select("name", "path", F.col("sql_text").cast("binary")).collect()))
+
+    for folder in (str(tmp_path), f"file:{tmp_path}/n/", f"{tmp_path}/_hid", f"{tmp_path}/n/bom.sql", f"{tmp_path}/n/b*", f"{tmp_path}/_p=1"):
+        got = read(tables.scripts_from_directory, folder)
+        assert got and got == read(tables._read_by_spark, folder)
+    (tmp_path / "none").mkdir()
+    assert read(tables.scripts_from_directory, f"{tmp_path}/none") == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.scripts_from_directory(spark, f"{tmp_path}/missing")
+
+
+def test_a_store_is_listed_as_a_local_folder_is(tmp_path):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    odd_files(tmp_path)
+    local = fs.LocalFileSystem()
+    listed = []
+    for store, root in ((local, str(tmp_path)), (fs.SubTreeFileSystem("/", local), str(tmp_path))):
+        found, folders = [], [root]
+        while folders:
+            batch = pa.RecordBatch.from_pydict({"path": folders})
+            rows = [r for out in tables._lister(store)(iter([batch])) for r in out.to_pylist()]
+            folders = [r["path"] for r in rows if r["folder"]]
+            found += [r["path"].removeprefix("/") for r in rows if not r["folder"]]
+        listed.append(sorted(found))
+    assert listed[0] == listed[1] and len(listed[0]) > 8
+
+
+def test_the_driver_holds_no_list_of_the_scripts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "BATCH_ROWS", 7, raising=False)
+    monkeypatch.setattr(tables, "TASK_FILES", 60, raising=False)
+    for i in range(400):
+        (tmp_path / f"g{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"g{i % 3}" / f"s{i}.sql").write_text(f"SELECT {i}")
+    files = tables.scripts_from_directory(spark, str(tmp_path))
+    assert not [f for f in files.inputFiles() if f.endswith(".sql")] and "FileScan text" not in files._jdf.queryExecution().toString()
+    assert files.rdd.getNumPartitions() == 7
+    assert {(r.name, r.sql_text) for r in files.collect()} == {(f"s{i}", f"SELECT {i}") for i in range(400)} and files.count() == 400
+
+
 def test_graph_json(spark, tmp_path):
     nodes = spark.createDataFrame([("n", "N")], "id string, label string")
     edges = spark.createDataFrame([("n", "m")], "source string, target string")
